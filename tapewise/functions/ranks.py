@@ -70,7 +70,7 @@ def ranked(df: DataFrame, keys: Sequence[str], value: str, rank: str = "rank",
 
 def text_position(df: DataFrame, keys: Sequence[str], text: str, pos: str, chars: int = 4) -> DataFrame:
     """Adds each row's 1-based position in ascending text order, spread over tasks by text prefix."""
-    rows = seeded(df, keys, F.substring(text, 1, chars), {"_before": (F.count(F.lit(1)), F.sum)})
+    rows = seeded(df.withColumn(BUCKET, F.substring(text, 1, chars)), keys, {"_before": (F.count(F.lit(1)), F.sum)})
     w = in_bucket(keys, text)
     offset = F.first("_before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     seeds_so_far = F.sum(1 - F.col(SEED)).over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -1,10 +1,11 @@
-"""Ordered scans that never put a whole entity into one task.
+"""Ordered scans that never put a hot entity into one task.
 
 A plain window over `partitionBy(entity)` sorts everything an entity owns in one task, and one
-entity may own a third of the table. Here the order axis is cut into buckets. Each bucket is
-summarized with a partially aggregated groupBy, the summaries (one small row per bucket) are
-scanned per entity, and the state before each bucket enters the bucket as one *seed row*. Ordinary
-window functions then run per (entity, bucket).
+entity may own a third of the table. Here the order axis of such a hot entity is cut into buckets of
+about ROWS_PER_BUCKET rows (every other entity is one bucket). Each bucket is summarized with a
+partially aggregated groupBy, the summaries (one small row per bucket) are scanned per entity, and
+the state before each bucket enters the bucket as one *seed row*. Ordinary window functions then run
+per (entity, bucket).
 """
 
 from __future__ import annotations
@@ -15,37 +16,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exprs import DAY_MS
-
 BUCKET = "_bucket"
+ROWS_PER_BUCKET = 1_000_000
 SEED = "_seed"      # 0 = seed row, 1 = ordinary row: seeds sort first
 
 Combine = Callable[[Column], Column]
 
 
-def time_bucket(t: Column, width_ms: int = DAY_MS) -> Column:
-    return F.floor(t / F.lit(width_ms)).cast("long")
+def split_hot(df: DataFrame, by: Sequence[str], at: str, rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds `_bucket`: 0 for ordinary entities, slices of the `at` axis for those with more than `rows`
+    rows.
+
+    Only hot entities are listed, at most (table rows / `rows`) of them: a proven bound of a few dozen
+    bytes per million rows, which makes the list safe to broadcast. The table is not shuffled."""
+    span = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / rows))
+    hot = span.filter(F.col("_n") > rows).select(*by, "_lo", width.alias("_width"))
+    slot = F.floor((F.col(at) - F.col("_lo")) / F.col("_width")).cast("long")
+    return (df.join(F.broadcast(hot), list(by), "left").withColumn(BUCKET, F.coalesce(slot, F.lit(0).cast("long")))
+            .drop("_lo", "_width"))
 
 
 def last_value(c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 
 
-def seeded(df: DataFrame, keys: Sequence[str], bucket: Column,
-           state: dict[str, tuple[Column, Combine]]) -> DataFrame:
-    """`df` plus one seed row per (keys, bucket) carrying the state before that bucket.
+def seeded(df: DataFrame, keys: Sequence[str], state: dict[str, tuple[Column, Combine]]) -> DataFrame:
+    """`df` (with `_bucket`) plus one seed row per (keys, bucket) carrying the state before that bucket.
 
     state: column name -> (aggregate of one bucket, how the aggregates of earlier buckets combine).
-    Adds columns `_bucket`, `_seed` and the state columns (null on ordinary rows)."""
-    keyed = df.withColumn(BUCKET, bucket)
-    per = keyed.groupBy(*keys, BUCKET).agg(*[agg.alias(name) for name, (agg, _) in state.items()])
+    Adds `_seed` and the state columns (null on ordinary rows)."""
+    per = df.groupBy(*keys, BUCKET).agg(*[agg.alias(name) for name, (agg, _) in state.items()])
     before = (Window.partitionBy(*keys).orderBy(BUCKET)
               .rowsBetween(Window.unboundedPreceding, -1))
     seeds = per.select(*keys, BUCKET, F.lit(0).alias(SEED),
                        *[combine(F.col(name)).over(before).alias(name) for name, (_, combine) in state.items()])
     # An entity's first bucket has no state before it.
     has_state = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in state])
-    return (keyed.withColumn(SEED, F.lit(1))
+    return (df.withColumn(SEED, F.lit(1))
             .unionByName(seeds.filter(has_state), allowMissingColumns=True))
 
 
@@ -58,37 +66,36 @@ def drop_seeds(df: DataFrame, *extra: str) -> DataFrame:
     return df.filter(F.col(SEED) == 1).drop(BUCKET, SEED, *extra)
 
 
-def _running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
-             values: dict[str, Column], fold: Callable) -> DataFrame:
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], fold: Callable,
+             rows: int) -> DataFrame:
     work = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
     state = {f"_s_{n}": (fold(F.col(f"_v_{n}")), fold) for n in values}
-    work = seeded(work, keys, bucket, state)
+    work = seeded(split_hot(work, keys, order[0], rows), keys, state)
     w = in_bucket(keys, *order).rowsBetween(Window.unboundedPreceding, 0)
     work = work.select("*", *[fold(F.coalesce(F.col(f"_v_{n}"), F.col(f"_s_{n}"))).over(w).alias(n) for n in values])
     return drop_seeds(work, *[f"_v_{n}" for n in values], *state)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
-                values: dict[str, Column]) -> DataFrame:
-    """Adds inclusive running sums (name -> summed expression) in the given order."""
-    return _running(df, keys, order, bucket, values, F.sum)
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds inclusive running sums (name -> summed expression); order[0] is the numeric time axis."""
+    return _running(df, keys, order, values, F.sum, rows)
 
 
-def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
-                values: dict[str, Column]) -> DataFrame:
-    """Adds inclusive running maxima (name -> expression) in the given order."""
-    return _running(df, keys, order, bucket, values, F.max)
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds inclusive running maxima (name -> expression); order[0] is the numeric time axis."""
+    return _running(df, keys, order, values, F.max, rows)
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-             values: dict[str, Column]) -> DataFrame:
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+             rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds values of the preceding row (name -> expression), null on an entity's first row.
 
-    `order` must be columns that order the rows of an entity without ties."""
-    packed = F.struct(*[v.alias(n) for n, v in values.items()])
-    work = df.withColumn("_now", packed)
-    at = F.struct(*order)
-    work = seeded(work, keys, bucket, {"_before": (F.max_by("_now", at), last_value)})
+    `order` must be columns that order the rows of an entity without ties, the numeric time axis first."""
+    work = df.withColumn("_now", F.struct(*[v.alias(n) for n, v in values.items()]))
+    state = {"_before": (F.max_by("_now", F.struct(*order)), last_value)}
+    work = seeded(split_hot(work, keys, order[0], rows), keys, state)
     lagged = F.lag(F.coalesce(F.col("_now"), F.col("_before"))).over(in_bucket(keys, *order))
     work = drop_seeds(work.withColumn("_prev", lagged), "_now", "_before")
     return work.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values])
@@ -96,7 +103,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
 
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
          values: Sequence[str], directions: dict[str, str], tolerance_ms: int | None = None,
-         bucket_ms: int = 7 * DAY_MS) -> DataFrame:
+         rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Each left row with the nearest right row of the same entity, within the tolerance.
 
     directions: "backward" (at or before the left row) and/or "forward" (at or after it) -> prefix
@@ -111,8 +118,8 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, rig
         *by, F.col(right_on).alias("_t"), F.struct(*names).alias("_right"))
     # Ties in time: right rows come before left rows, because the same instant matches.
     rows = (lrows.withColumn("_side", F.lit(1))
-            .unionByName(rrows.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-            .withColumn(BUCKET, time_bucket(F.col("_t"), bucket_ms)))
+            .unionByName(rrows.withColumn("_side", F.lit(0)), allowMissingColumns=True))
+    rows = split_hot(rows, by, "_t", rows_per_bucket)
     right_t = F.when(F.col("_side") == 0, F.col("_t"))
     per = rows.groupBy(*by, BUCKET).agg(F.max_by("_right", right_t).alias("_hi"),
                                         F.min_by("_right", right_t).alias("_lo"))
@@ -147,22 +154,23 @@ def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
     `weight` must lie in [0, 1]; weight 0 restarts the recurrence. Written with running products,
     cut into segments before a product can underflow: after a factor of 2^-192 the earlier value no
     longer shows in a double. A single weight below 2^-64 counts as a restart for the same reason."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    work = (df.withColumn("_w", F.when(weight < 2.0 ** -64, F.lit(0.0)).otherwise(weight))
-            .withColumn("_b", shift)
-            .withColumn("_run", F.sum(F.when(F.col("_w") == 0, 1).otherwise(0)).over(upto)))
-    run = Window.partitionBy(*keys, "_run").orderBy(*order)
-    loss = F.when(F.col("_w") == 0, F.lit(0.0)).otherwise(-F.log2("_w"))
-    work = work.withColumn(
-        "_cut", F.floor(F.sum(loss).over(run.rowsBetween(Window.unboundedPreceding, 0)) / 256).cast("long"))
-    seg = Window.partitionBy(*keys, "_run", "_cut").orderBy(*order)
-    seg_upto = seg.rowsBetween(Window.unboundedPreceding, 0)
+    keys, order = list(keys), list(order)
+    work = (df.withColumn("_af_w", F.when(weight < 2.0 ** -64, F.lit(0.0)).otherwise(weight))
+            .withColumn("_af_b", shift))
+    # Lost bits so far, a restart counting as more than any segment: segments never span a restart.
+    loss = F.when(F.col("_af_w") == 0, F.lit(1024.0)).otherwise(-F.log2("_af_w"))
+    whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    work = work.withColumn("_af_cut", F.floor(F.sum(loss).over(whole) / 256).cast("long"))
+    seg = Window.partitionBy(*keys, "_af_cut").orderBy(*order)
+    upto = seg.rowsBetween(Window.unboundedPreceding, 0)
     # A segment's product starts at 1: the weight of its first row acts on the value carried in.
-    work = work.withColumn("_start", F.row_number().over(seg) == 1)
-    work = work.withColumn("_p", F.product(F.when(F.col("_start"), F.lit(1.0)).otherwise(F.col("_w"))).over(seg_upto))
-    work = work.withColumn("_own", F.col("_p") * F.sum(F.col("_b") / F.col("_p")).over(seg_upto))
-    work = work.withColumn("_in", F.when(F.col("_start"), F.coalesce(F.lag("_own").over(run) * F.col("_w"), F.lit(0.0))))
-    carried = F.first("_in", ignorenulls=True).over(seg_upto)
-    return (work.withColumn(name, F.col("_own") + F.col("_p") * carried)
-            .drop("_w", "_b", "_run", "_cut", "_start", "_p", "_own", "_in"))
+    work = work.withColumn("_af_start", F.row_number().over(seg) == 1)
+    work = work.withColumn(
+        "_af_p", F.product(F.when(F.col("_af_start"), F.lit(1.0)).otherwise(F.col("_af_w"))).over(upto))
+    work = work.withColumn("_af_own", F.col("_af_p") * F.sum(F.col("_af_b") / F.col("_af_p")).over(upto))
+    # The same sort order as the segments, so this window and the next need no further sort.
+    before = F.lag("_af_own").over(Window.partitionBy(*keys).orderBy("_af_cut", *order))
+    work = work.withColumn("_af_in", F.when(F.col("_af_start"), F.coalesce(before * F.col("_af_w"), F.lit(0.0))))
+    carried = F.first("_af_in", ignorenulls=True).over(upto)
+    return (work.withColumn(name, F.col("_af_own") + F.col("_af_p") * carried)
+            .drop("_af_w", "_af_b", "_af_cut", "_af_start", "_af_p", "_af_own", "_af_in"))

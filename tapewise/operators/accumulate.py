@@ -49,8 +49,8 @@ def _expand(closes: DataFrame, first, last, hold: int, reach: int) -> DataFrame:
     lo = F.greatest(F.lit(0), F.ceil((F.col("day") - F.col("_a")) / hold)).cast("int")
     hi = F.floor((F.least(F.col("day") + reach, F.col("_b")) - F.col("_a")) / hold).cast("int")
     return (rows.withColumn("_lo", lo).withColumn("_hi", hi).filter(F.col("_lo") <= F.col("_hi"))
-            .withColumn("day_at", F.col("_a") + F.explode(F.sequence("_lo", "_hi")) * hold)
-            .withColumn("age", F.col("day_at") - F.col("day")).drop("_a", "_b", "_lo", "_hi"))
+            .withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).withColumn("day_at", F.col("_a") + F.col("_k") * hold)
+            .withColumn("age", F.col("day_at") - F.col("day")).drop("_a", "_b", "_lo", "_hi", "_k"))
 
 
 def coin_features(closes: DataFrame, benchmark: str = BENCHMARK, hold_weeks: int = HOLD_WEEKS,

@@ -1,7 +1,7 @@
 """Behavior features from fills: round trips, leverage path, sizing, style, copyability.
 
-A user's (or one coin's) fills may be far more than one task can hold, so fills are processed per
-(user, coin, day) or (user, day): the state before a day comes from one summary row per earlier day."""
+One user may own a third of all fills, so the fills of a hot user are processed in slices of time: the
+state before a slice comes from one summary row per earlier slice."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY_MS, HOUR_MS, ratio
 from ..functions.ranks import exact_quantiles
-from ..functions.scan import BUCKET, SEED, affine_scan, asof, previous, time_bucket
+from ..functions.scan import BUCKET, ROWS_PER_BUCKET, SEED, affine_scan, asof, previous, split_hot
 from ..session import shared
 from .latest import dedup_fills
 
@@ -21,6 +21,7 @@ SPOT_DIRS = ("Buy", "Sell", "Spot Dust Conversion")
 FLIP_DIRS = ("Long > Short", "Short > Long")
 MAX_PLAUSIBLE_LEVERAGE = 50.0
 EQUITY_TOLERANCE_MS = 15 * DAY_MS
+DUST_USD = 1e-6
 SUB_POLL_HOURS = 2 / 60
 SHORT_TRADE_HOURS = 0.25
 # (rule, feature, limit, closed trades needed to act on it)
@@ -58,7 +59,7 @@ def perp_fills(fills: DataFrame) -> DataFrame:
         "_l.position_after", "_l.closed_pnl", "_l.fee", "_l.liquidated", "tid", "_l.leg")
 
 
-def round_trips(perp: DataFrame, bucket_ms: int = DAY_MS) -> DataFrame:
+def round_trips(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row per trade, from flat to flat (still open: closed_ms is null).
 
     Adds are compared with the average entry before them: an add at a worse price averages down. The
@@ -67,7 +68,7 @@ def round_trips(perp: DataFrame, bucket_ms: int = DAY_MS) -> DataFrame:
     keys, order = ["user", "coin"], list(ORDER)
     here = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     start, after, px, size = F.col("start_position"), F.col("position_after"), F.col("px"), F.abs(F.col("signed_sz"))
-    rows = perp.withColumn(BUCKET, time_bucket(F.col("time_ms"), bucket_ms))
+    rows = split_hot(perp, keys, "time_ms", rows_per_bucket)
     rows = rows.withColumn("_before", F.lag("position_after").over(here)).withColumn(
         "_first", F.row_number().over(here) == 1)
     rows = rows.withColumn("_opens", (start == 0) | F.coalesce(F.col("_before") == 0, F.lit(False)))
@@ -78,12 +79,12 @@ def round_trips(perp: DataFrame, bucket_ms: int = DAY_MS) -> DataFrame:
             .withColumn("_b", F.when(grows, px * size / F.abs(after)).otherwise(0.0))
             .withColumn("_open_b", F.when(grows, px * (F.abs(start) + size) / F.abs(after)).otherwise(px))
             .withColumn("_long", F.col("signed_sz") > 0))
-    rows = affine_scan(rows.withColumn("_rw", F.when(F.col("_opens"), 0.0).otherwise(F.col("_w"))),
-                       [*keys, BUCKET], order, F.col("_rw"),
-                       F.when(F.col("_opens"), F.col("_open_b")).otherwise(F.col("_b")), "_own")
+    rows = rows.withColumn("_rw", F.when(F.col("_opens"), 0.0).otherwise(F.col("_w")))
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
     # Product of the weights after the bucket's first row: what is left of anything injected there.
     rows = rows.withColumn("_left", F.product(F.when(F.col("_first"), 1.0).otherwise(F.col("_rw"))).over(upto))
+    rows = shared(affine_scan(rows, [*keys, BUCKET], order, F.col("_rw"),
+                              F.when(F.col("_opens"), F.col("_open_b")).otherwise(F.col("_b")), "_own"))
     key = F.struct(*order)
     opening = F.struct(*order, F.col("_long").alias("long"))
     summary = rows.groupBy(*keys, BUCKET).agg(
@@ -133,14 +134,14 @@ def equity_points(equity: DataFrame) -> DataFrame:
     return equity.groupBy("user", "time_ms").agg(F.min("account_value").alias("equity"))
 
 
-def gross_notional(perp: DataFrame, bucket_ms: int = DAY_MS) -> DataFrame:
+def gross_notional(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Gross notional across coins after every fill: each position at its own last fill price.
 
     The gross is a running sum of changes per coin; each bucket starts from what the coins were worth
-    at the end of earlier buckets."""
+    at the end of earlier buckets. Rounding dust of the sums counts as flat."""
     order = list(ORDER)
-    rows = perp.select("user", "coin", *order, (F.abs(F.col("position_after")) * F.col("px")).alias("x"),
-                       time_bucket(F.col("time_ms"), bucket_ms).alias(BUCKET))
+    rows = split_hot(perp.select("user", "coin", *order, (F.abs(F.col("position_after")) * F.col("px")).alias("x")),
+                     ["user"], "time_ms", rows_per_bucket)
     per = rows.groupBy("user", "coin", BUCKET).agg(F.max_by("x", F.struct(*order)).alias("x"))
     before = F.lag("x").over(Window.partitionBy("user", "coin").orderBy(BUCKET))
     per = per.withColumn("x_in", before)
@@ -154,16 +155,17 @@ def gross_notional(perp: DataFrame, bucket_ms: int = DAY_MS) -> DataFrame:
     change = F.when(F.col(SEED) == 1, F.col("x") - F.coalesce("_last", F.lit(0.0))).otherwise(F.coalesce("gross_in", F.lit(0.0)))
     rows = rows.withColumn("_last", last).withColumn("_d", change)
     upto = Window.partitionBy("user", BUCKET).orderBy(SEED, *order).rowsBetween(Window.unboundedPreceding, 0)
-    return (rows.withColumn("gross", F.sum("_d").over(upto)).filter(F.col(SEED) == 1)
-            .select("user", "time_ms", "tid", "leg", "gross"))
+    rows = rows.withColumn("gross", F.sum("_d").over(upto)).filter(F.col(SEED) == 1)
+    return rows.select("user", "time_ms", "tid", "leg",
+                       F.when(F.abs("gross") < DUST_USD, 0.0).otherwise(F.col("gross")).alias("gross"))
 
 
-def gross_exposure(perp: DataFrame, equity: DataFrame, bucket_ms: int = DAY_MS) -> DataFrame:
+def gross_exposure(perp: DataFrame, equity: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Gross notional with the equity of that moment. Equity is the sample at or before the fill; if
     that is over a day old (or missing) the larger of it and the next sample. Leverage is null when
     equity is not positive or the leverage is impossible."""
-    both = asof(gross_notional(perp, bucket_ms), equity_points(equity), ["user"], "time_ms", "time_ms", ["equity"],
-                {"backward": "b_", "forward": "f_"}, EQUITY_TOLERANCE_MS, bucket_ms=30 * DAY_MS)
+    both = asof(gross_notional(perp, rows_per_bucket), equity_points(equity), ["user"], "time_ms", "time_ms", ["equity"],
+                {"backward": "b_", "forward": "f_"}, EQUITY_TOLERANCE_MS, rows_per_bucket)
     stale = F.col("b_equity").isNull() | (F.col("time_ms") - F.col("b_time_ms") > DAY_MS)
     used = F.when(stale, F.greatest("b_equity", "f_equity")).otherwise(F.col("b_equity"))
     rows = both.withColumn("equity", used)
@@ -221,11 +223,10 @@ def coin_concentration(trades: DataFrame) -> DataFrame:
                                        ratio(F.sum(F.col("n") * F.col("n")), total * total).alias("hhi"))
 
 
-def size_sequence(trades: DataFrame, bucket_ms: int = 7 * DAY_MS) -> DataFrame:
+def size_sequence(trades: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Each closed trade with the size ratio to the user's previous closed trade and that one's PnL."""
     seq = previous(_closed(trades), ["user"], ["opened_ms", "coin", "open_tid", "open_leg"],
-                   time_bucket(F.col("opened_ms"), bucket_ms),
-                   {"prev_pnl": F.col("pnl_net"), "prev_notional": F.col("initial_notional")})
+                   {"prev_pnl": F.col("pnl_net"), "prev_notional": F.col("initial_notional")}, rows_per_bucket)
     return seq.filter(F.col("prev_notional") > 0).withColumn("ratio", F.col("initial_notional") / F.col("prev_notional"))
 
 

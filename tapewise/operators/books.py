@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY_MS, HOUR_MS, day_ms, ratio, round_even
 from ..functions.ranks import exact_quantiles, top_n
-from ..functions.scan import running_max, time_bucket
+from ..functions.scan import running_max
 from ..session import shared
 from .latest import last_in_bucket
 
@@ -117,11 +117,11 @@ def strategy_equity(strategies: DataFrame, marked: DataFrame) -> DataFrame:
         F.coalesce(ratio(gross, equity), F.lit(0.0)).alias("leverage"), F.coalesce("n", F.lit(0)).cast("long").alias("books"))
 
 
-def drawdown_halts(snapshots: DataFrame, halt_drawdown: float = HALT_DRAWDOWN, bucket_ms: int = DAY_MS) -> DataFrame:
+def drawdown_halts(snapshots: DataFrame, halt_drawdown: float = HALT_DRAWDOWN) -> DataFrame:
     """First snapshot per strategy that lies more than the limit under the running peak.
 
-    Peaks are chained day by day: a strategy's snapshots are never sorted in one task."""
-    peaks = running_max(snapshots, ["strategy"], ["ts_ms"], time_bucket(F.col("ts_ms"), bucket_ms), {"peak": F.col("equity")})
+    Peaks of a long history are chained slice by slice, never sorted in one task."""
+    peaks = running_max(snapshots, ["strategy"], ["ts_ms"], {"peak": F.col("equity")})
     under = peaks.filter(F.col("equity") < F.col("peak") * (1 - halt_drawdown))
     return under.groupBy("strategy").agg(F.min(F.struct("ts_ms", "equity", "peak")).alias("f")).select(
         "strategy", "f.ts_ms", "f.equity", "f.peak", (1 - ratio(F.col("f.equity"), F.col("f.peak"))).alias("drawdown"))

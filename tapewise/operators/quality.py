@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import DAY_MS, HOUR_MS
-from ..functions.scan import previous, time_bucket
+from ..functions.exprs import HOUR_MS
+from ..functions.scan import previous
 
 # Longest accepted age of a job's last finished run, in ms; longest accepted failure rate.
 MAX_AGE_MS = {"leaderboard": 3 * HOUR_MS, "wallets": 10 * HOUR_MS, "normalize": 10 * HOUR_MS}
 MAX_FAILURE_RATE = 0.10
 
 
-def fill_gaps(fills: DataFrame, batch_ms: int = DAY_MS) -> DataFrame:
+def fill_gaps(fills: DataFrame) -> DataFrame:
     """Per (user, batch): whether fills may have been lost since the previous batch.
 
     A fetch starts at the last stored fill, which is returned again; a batch whose oldest fill is newer
     than the cursor has lost what lay between. The batch is the fetch the fill came from (`batch`)."""
     per = fills.groupBy("user", "batch").agg(F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"))
-    chained = previous(per, ["user"], ["batch"], time_bucket(F.col("batch"), batch_ms), {"cursor_ms": F.col("last_ms")})
+    chained = previous(per, ["user"], ["batch"], {"cursor_ms": F.col("last_ms")})
     cursor = F.coalesce("cursor_ms", F.lit(0))
     return chained.select("user", "batch", "first_ms", cursor.alias("cursor_ms"),
                           ((cursor > 0) & (F.col("first_ms") > cursor)).alias("gap_suspected"))
@@ -49,10 +49,9 @@ def failure_rate(runs: DataFrame, limit: float = MAX_FAILURE_RATE) -> DataFrame:
                       F.when(F.col("gaps") > 0, "WARN").otherwise("OK").alias("gap_level"))
 
 
-def version_changes(observations: DataFrame, bucket_ms: int = DAY_MS) -> DataFrame:
+def version_changes(observations: DataFrame) -> DataFrame:
     """Source versions when they change (observations: source, seen_ms, etag): first sightings only of
     each run of equal versions."""
-    seen = previous(observations, ["source"], ["seen_ms"], time_bucket(F.col("seen_ms"), bucket_ms),
-                    {"before": F.col("etag")})
+    seen = previous(observations, ["source"], ["seen_ms"], {"before": F.col("etag")})
     return seen.filter(F.col("before").isNull() | (F.col("before") != F.col("etag"))).select(
         "source", "etag", F.col("seen_ms").alias("first_seen_ms"))

@@ -21,7 +21,7 @@ SPARK = {
     "each": "explode(array({0}))",
 }
 DUCK = {
-    "ms": "epoch_ms({0})",
+    "ms": "(epoch_us({0}) // 1000)",
     "hash": "('0x' || substr(md5({0}), 1, 12))::bigint",
     "floor": "cast(floor({0}) as bigint)",
     "text": "cast({0} as varchar)",
@@ -56,7 +56,7 @@ FIXTURES: dict[str, str] = {}
 FIXTURES["fx_equity"] = """
 with daily as (
   select concat('w', @text(l_suppkey * 3 + l_linenumber % 3)) as usr, @floor(@ms(l_shipdate) / 86400000) as day,
-         0.3 * sum(l_extendedprice * (l_discount - 0.05)) as x
+         sum(l_extendedprice * (l_discount - 0.0503)) / 3.1e0 as x
   from lineitem group by concat('w', @text(l_suppkey * 3 + l_linenumber % 3)), @floor(@ms(l_shipdate) / 86400000)
 ), curve as (
   select usr, day, sum(x) over (partition by usr order by day rows unbounded preceding) as pnl from daily
@@ -70,7 +70,7 @@ select usr as user, period, day * 86400000 + 82800000 as time_ms, 50000 + pnl as
 FIXTURES["fx_fills"] = f"""
 with lines as (
   select concat('w', @text(l_suppkey * 3 + l_linenumber % 3)) as usr, concat('C', @text(l_partkey % 4)) as coin, l_orderkey as oid,
-         @ms(l_shipdate) as day_ms, @hash({_LINE_KEY}) as h, l_quantity as q, l_extendedprice / l_quantity as px0,
+         @ms(l_shipdate) as day_ms, @hash({_LINE_KEY}) as h, l_quantity as q, l_extendedprice / (l_quantity * 1.0000037e0) as px0,
          l_extendedprice as ep, l_tax as tax, l_discount as disc, l_linenumber as ln, @each(0, 1, 2, 3) as k
   from lineitem
 ), cycles as (
@@ -99,7 +99,7 @@ from sized
 FIXTURES["fx_candles"] = """
 with px as (
   select p_brand as coin, @floor(@ms(l_shipdate) / 86400000) as day,
-         sum(l_extendedprice) / sum(l_quantity) as close, sum(l_quantity) as volume
+         sum(l_extendedprice) / (sum(l_quantity) * 1.0000037e0) as close, sum(l_quantity) as volume
   from lineitem join part on l_partkey = p_partkey
   group by p_brand, @floor(@ms(l_shipdate) / 86400000)
 )
@@ -112,10 +112,10 @@ select 'b', coin, '1d', day * 86400000, close, volume from px
 FIXTURES["fx_leaderboard"] = """
 with daily as (
   select l_suppkey * 3 + l_linenumber % 3 as id, @floor((@floor(@ms(l_shipdate) / 86400000) + 3) / 7) as week,
-         sum(l_extendedprice * (l_discount - 0.05)) as pnl, sum(l_quantity) * 1000 as vlm
+         sum(l_extendedprice * (l_discount - 0.0503)) as pnl, sum(l_quantity) * 1000 as vlm
   from lineitem group by l_suppkey * 3 + l_linenumber % 3, @floor((@floor(@ms(l_shipdate) / 86400000) + 3) / 7)
 ), curve as (
-  select id, week, pnl, vlm, 50000 + 0.3 * sum(pnl) over (partition by id order by week rows unbounded preceding) as av,
+  select id, week, pnl, vlm, 50000 + sum(pnl) over (partition by id order by week rows unbounded preceding) / 3.1e0 as av,
          sum(vlm) over (partition by id order by week rows unbounded preceding) as all_vlm,
          sum(pnl) over (partition by id order by week rows unbounded preceding) as all_pnl
   from daily
@@ -159,7 +159,7 @@ select distinct concat('s', @text(@floor(user_id / 10))) as strategy, @text(user
 FIXTURES["fx_markets"] = """
 with px as (
   select concat('C', @text(l_partkey % 4)) as coin, l_partkey % 4 as c,
-         sum(l_extendedprice) / sum(l_quantity) as mid from lineitem group by concat('C', @text(l_partkey % 4)), l_partkey % 4
+         sum(l_extendedprice) / (sum(l_quantity) * 1.0000037e0) as mid from lineitem group by concat('C', @text(l_partkey % 4)), l_partkey % 4
 )
 select coin, mid, mid * 1.0005 as oracle, 1.25e-5 as funding, mid * 0.999 as impact_bid,
        case when c = 2 then null else mid * 1.001 end as impact_ask, case when c = 1 then null else c end as sz_decimals from px

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on (time zone) or profit from (adaptive execution, skew splitting).
@@ -58,24 +57,28 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
-_SHARED: list[DataFrame] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """Keep a frame that several branches of one plan read, on memory and then local disks.
+    """Write a frame that several branches of one plan read to a table in the shared folder, and read it
+    from there: computed once, its lineage cut, safe against lost executors, columns still pruned.
 
-    Spark recomputes lost blocks from the lineage, so this survives lost executors. Frames stay until
-    `release_shared()`; releasing early only costs a recomputation."""
-    if not df.isStreaming and not df.storageLevel.useMemory:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        _SHARED.append(df)
-    return df
+    The tables stay until `release_shared()`."""
+    if getattr(df, "_is_shared", False):
+        return df
+    spark = df.sparkSession
+    path = new_folder(spark, "shared")
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._is_shared = True
+    return out
 
 
 def release_shared() -> None:
-    """Drop every frame kept by `shared` (between independent queries)."""
-    while _SHARED:
-        try:
-            _SHARED.pop().unpersist()
-        except Exception:   # the session that owned the frame has ended
-            continue
+    """Delete the tables written by `shared`; frames built on them can no longer run."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
