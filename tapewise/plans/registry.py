@@ -13,7 +13,6 @@ from .fixtures import FIXTURES, duck_fixture, spark_fixture
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
-DIGITS = 6
 
 
 class Tables:
@@ -21,6 +20,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        # Dates and grids are UTC; the given timestamps carry no zone.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getattr__(self, name: str) -> DataFrame:
         return spark_fixture(self.spark, self.sf_dir, name)
@@ -30,16 +31,21 @@ class Tables:
 
 
 def shown(df: DataFrame, columns: str) -> DataFrame:
-    """The named columns; ~name is rounded (sums of floating numbers depend on their order)."""
+    """The named columns; ~name is rounded to six digits, ~~name (large running sums) to three: sums of
+    floating numbers depend on their order."""
     out = []
     for c in columns.split():
-        if c[0] == "~":
-            out.append((F.round(F.col(c[1:]).cast("double"), DIGITS) + F.lit(0.0)).alias(c[1:]))
-        else:
-            out.append(F.col(c))
+        name, digits = _digits(c)
+        out.append(F.col(name) if digits is None else
+                   (F.round(F.col(name).cast("double"), digits) + F.lit(0.0)).alias(name))
     return df.select(*out)
 
 
+def _digits(column: str) -> tuple[str, int | None]:
+    name = column.lstrip("~")
+    return name, {0: None, 1: 6, 2: 3}[len(column) - len(name)]
+
+
 def query(name: str, columns: str, sql: str | None = None):
     """Register fn(tables) -> DataFrame. `columns` are shown by the query and the SQL alike; `sql` is a
     FROM clause over the named common table expressions."""
@@ -68,6 +74,6 @@ def oracle(columns: str, source: str) -> str:
 
     need(source)
     parts = [f"{w} as ({CTES[w] if w in CTES else duck_fixture(w)})" for w in ordered]
-    cols = ", ".join(f'round("{c[1:]}", {DIGITS}) + 0e0 as "{c[1:]}"' if c[0] == "~" else f'"{c}"' for c in columns.split())
+    cols = ", ".join(f'"{n}"' if d is None else f'round("{n}", {d}) + 0e0 as "{n}"' for n, d in map(_digits, columns.split()))
     head = f"with {', '.join(parts)} " if parts else ""
     return f"{head}select {cols} from {source}"

@@ -101,11 +101,37 @@ def _(t):
     return H.equity_points(t.fx_equity)
 
 
-@query("H4_gross_exposure", "user time_ms tid leg ~gross ~equity ~leverage", "perp_expo")
+@query("H4_gross_exposure", "user time_ms tid leg ~~gross ~equity ~leverage", "perp_expo")
 def _(t):
     return H.gross_exposure(shared(H.perp_fills(t.fx_fills)), t.fx_equity)
 
 
+def style_sql(cut: int, suffix: str = "") -> dict[str, str]:
+    """Style change with the recent part starting at `cut`."""
+    changes = ", ".join(f"case when o.{c} = 0 and n.{c} > 0 then 'infinity'::double else n.{c} / nullif(o.{c}, 0) end as change_{d}"
+                        for c, d in (("size", "size"), ("duration", "duration"), ("lev", "leverage")))
+    return {
+        f"st{suffix}": f"""select t.*, opened_ms >= {cut} as recent, case when eq > 0 then initial_notional / eq end as size_frac
+          from win_trips t left join at_open using (user, opened_ms)""",
+        f"st_side{suffix}": f"""select user, recent, median(size_frac) as size, median(duration_h) as duration, list(distinct coin) as coins
+          from st{suffix} group by user, recent""",
+        f"lev_side{suffix}": f"select user, time_ms >= {cut} as recent, median(leverage) as lev from win_expo where leverage is not null group by all",
+        f"side_all{suffix}": f"select * from st_side{suffix} left join lev_side{suffix} using (user, recent)",
+        f"style{suffix}": f"""select n.user, {changes},
+          len(list_intersect(n.coins, o.coins))::double / len(list_distinct(list_concat(n.coins, o.coins))) as coin_overlap
+          from side_all{suffix} n join side_all{suffix} o on n.user = o.user and n.recent and not o.recent""",
+    }
+
+
+FEATURES = """select * from cover left join tf using (user) left join conc using (user) left join mart using (user)
+  left join lev using (user) left join style using (user) left join copy_ using (user)"""
+
+
+def recent_sql(days: int, suffix: str) -> dict[str, str]:
+    """The features with another length of the recent part."""
+    return {**style_sql(NOW - days * DAY, suffix), f"feats{suffix}": FEATURES.replace("join style ", f"join style{suffix} ")}
+
+
 cte(
     closed_="select * from win_trips where closed_ms is not null",
     tf=f"""select user, count(*) as n_trades, count(*) / {float(WINDOW)} as trades_per_day, count(distinct coin) as n_coins,
@@ -127,16 +153,7 @@ cte(
       max(leverage) as max_leverage, avg(case when leverage is null then 1.0 else 0.0 end) as leverage_unknown_share
       from win_expo group by user""",
     at_open="select user, time_ms as opened_ms, arg_min(coalesce(equity, -1), (tid, leg)) as eq from win_expo group by user, time_ms",
-    st="""select t.*, opened_ms >= %d as recent, case when eq > 0 then initial_notional / eq end as size_frac
-      from win_trips t left join at_open using (user, opened_ms)""" % CUT,
-    st_side="select user, recent, median(size_frac) as size, median(duration_h) as duration, list(distinct coin) as coins from st group by user, recent",
-    lev_side=f"select user, time_ms >= {CUT} as recent, median(leverage) as lev from win_expo where leverage is not null group by all",
-    side_all="select * from st_side left join lev_side using (user, recent)",
-    style=f"""select n.user, {', '.join(
-        f"case when o.{c} = 0 and n.{c} > 0 then 'infinity'::double else n.{c} / nullif(o.{c}, 0) end as change_{d}"
-        for c, d in (('size', 'size'), ('duration', 'duration'), ('lev', 'leverage')))},
-      len(list_intersect(n.coins, o.coins))::double / len(list_distinct(list_concat(n.coins, o.coins))) as coin_overlap
-      from side_all n join side_all o on n.user = o.user and n.recent and not o.recent""",
+    **style_sql(CUT),
     copy_="""select user, invisible_share, short_trade_share, median_fills_per_trade, median_partial_exits,
       100 * (1 - invisible_share) * (1 - 0.5 * short_trade_share) / (1 + 0.1 * median_partial_exits) as copyability_estimate from
       (select user, avg(case when duration_h < 2 / 60 then 1.0 else 0.0 end) as invisible_share,
@@ -145,8 +162,7 @@ cte(
     cover=f"""select user, min(time_ms) as first_fill_ms, count(*) as fills_total, count(*) filter (time_ms >= {START}) / {float(WINDOW)} as fills_per_day,
       count(*) filter (time_ms >= {START} and liquidated) as liquidation_fills, min(time_ms) < {START} as window_complete
       from perp group by user having count(*) filter (time_ms >= {START}) > 0""",
-    feats="""select * from cover left join tf using (user) left join conc using (user) left join mart using (user)
-      left join lev using (user) left join style using (user) left join copy_ using (user)""",
+    feats=FEATURES,
 )
 
 
@@ -510,7 +526,7 @@ cte(
     open_books="select * from fx_books where not closed",
     mark="""select b.*, cash + coalesce(sum(size * mid), 0) as equity, coalesce(sum(abs(size) * mid), 0) as gross from open_books b
       left join (select p.book_id, size, mid from fx_book_positions p join fx_markets m on p.coin = m.coin) p on p.book_id = b.book_id
-      group by all""",
+      group by b.book_id, b.strategy, b.trader, b.cash, b.closed""",
     expo_="""select trader, coin, size * mid / trader_equity as x from fx_positions join fx_markets using (coin) join fx_trader_equity using (trader)
       where trader_equity > 0 and size * mid <> 0""",
     scales="select trader, least(1, 5 / sum(abs(x))) as scale from expo_ group by trader",
@@ -719,7 +735,7 @@ cte(status_strats="""select distinct 's' || (user_id % 8)::varchar as strategy,
       case when user_id % 8 = 5 then 'halted' else 'active' end as status from events""",
     status="""select s.*, coalesce(max(ts_ms), -1) as ts_ms, coalesce(arg_max(e.equity, ts_ms), capital) as equity,
       coalesce(arg_max(e.gross, ts_ms), 0) as gross, coalesce(arg_max(e.books, ts_ms), 0) as books from status_strats s
-      left join fx_strategy_equity e using (strategy) group by all""")
+      left join fx_strategy_equity e using (strategy) group by s.strategy, capital, peak_equity, status""")
 
 
 @query("P19_strategy_status", "strategy status ts_ms ~equity ~return ~drawdown ~leverage books",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 ENVELOPE = ("platform string, dataset string, fetched_at string, request string, payload string, "
             "source_version string, _corrupt string")
-FILE_PATTERN = "*.jsonl.gz"
+FILE_PATTERN = "*.gz"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -56,7 +56,7 @@ def write_tables(records: DataFrame, dataset: str, out_dir: str) -> None:
     """Write every table a raw dataset feeds, partitioned by (date, run) of the raw file. Partitions are
     overwritten one by one, so normalizing a file again replaces exactly its own rows."""
     folder = F.regexp_extract("path", r"date=([^/]+)/", 1)
-    run = F.regexp_extract("path", r"([^/]+)\.jsonl\.gz$", 1)
+    run = F.regexp_extract("path", r"([^/]+?)(\.jsonl|\.txt)?\.gz$", 1)
     tagged = records.withColumn("date", folder).withColumn("run", run)
     for table, build in BUILDERS[dataset]:
         (build(tagged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -5,13 +5,13 @@ shared folder, so a restarted query continues where it stopped."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.behavior import behavior_features, exit_rules
+from ..operators.behavior import EXIT_RULES, behavior_features, exit_rules
 from ..session import new_folder, shared
 from ..sources.raw import FILE_PATTERN, parse_records
 from ..sources.tables import write_tables
@@ -63,14 +63,14 @@ def stream_last_hour_equity(snapshots: DataFrame, delay: str = "10 minutes") ->
 
 
 def stream_watch(fills: DataFrame, history: Callable[[], DataFrame], equity: DataFrame, now_ms: int, sink: str,
-                 checkpoint: str, window_days: int = 60) -> StreamingQuery:
+                 checkpoint: str, window_days: int = 60, rules: Sequence[tuple] = EXIT_RULES) -> StreamingQuery:
     """Exit rules for the users whose fills arrive in a batch, over their stored history plus the batch."""
     def watch(batch: DataFrame, batch_id: int) -> None:
         batch = shared(batch)
         touched = batch.select("user").distinct()
         known = history().join(touched, "user", "left_semi")
         features = behavior_features(known.unionByName(batch.select(*known.columns)), equity, now_ms, window_days)
-        exit_rules(features).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        exit_rules(features, rules).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return (fills.writeStream.foreachBatch(watch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
