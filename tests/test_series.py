@@ -61,7 +61,7 @@ def test_skill_persists_and_luck_does_not(spark):
     table = {r.signal: r for r in S.summarize(S.retroactive_persistence(world(spark))).collect()}
     assert table["sharpe"].mean_ic > 0.3 and table["sharpe"].ic_tstat > 3
     assert abs(table["random"].mean_ic) < 0.2
-    assert table["sharpe"].periods == 12
+    assert table["sharpe"].periods == 11
 
 
 def test_no_look_ahead(spark):
