@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
-from .common import read
+from . import html, lines, mixing, packing, pivots, rules, simhash, token_files, toxicity
+from .common import read, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,12 +25,119 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # The texts are read once: what the mix needs of them is small.
+    named = table(docs.select("doc_id", *mixing.measured(docs)), "measured")
+    mixed = mixing.apply_mix(named, mixing.mix_table(named, (3, 1, 2), 1.5, 2.0))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+ORACLES["op1_mix_sources"] = """
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         ('0x' || md5(concat(coalesce(cast(doc_id as varchar), ''), '|', coalesce(text, '')))[1:15])::bigint as h
+  from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, 2 * sum(size)::bigint as cap,
+         [3.0::double, 1.0::double, 2.0::double][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+  from sized group by source),
+levels as (
+  select *, (1.5::double * (select sum(source_size) from sources) - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0)::double)
+            / sum(weight) over (order by cap / weight desc, source desc nulls first rows unbounded preceding) as level,
+         row_number() over o as place
+  from sources window o as (order by cap / weight, source nulls last)),
+targets as (
+  select source, source_size,
+         case when l.level is null then cap::double else least(cap::double, weight * l.level) end as target
+  from sources left join (select level from levels where cap >= weight * level order by place limit 1) l on true),
+wanted as (
+  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as copies,
+         target - (case when source_size > 0 then floor(target / source_size)::bigint else 0 end) * source_size as rest
+  from targets),
+running as (
+  select d.*, w.source_size, w.target, w.copies, w.rest,
+         sum(size) over (partition by d.source order by h range between unbounded preceding and current row)::bigint as upto,
+         sum(size) over (partition by d.source, h)::bigint as own
+  from sized d join wanted w on d.source is not distinct from w.source)
+select doc_id, size, source_size, target,
+       size * (copies + (upto <= rest or (upto - own <= rest and upto - rest < rest - (upto - own)))::int) as taken
+from running
+"""
+
+
+@query
+def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of repeated three-line windows."""
+    return lines.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op2_line_windows"] = """
+with split as (
+  select doc_id, text, string_split(text, chr(10)) as ls from documents),
+numbered as (
+  select doc_id, unnest(ls) as line, unnest(range(len(ls))) as i from split),
+full_lines as (
+  select *, row_number() over (partition by doc_id order by i) as k
+  from numbered where regexp_matches(line, '[^\x20\x09-\x0D]')),
+windows as (
+  select a.doc_id, a.i as first, c.i as last, concat(a.line, chr(10), b.line, chr(10), c.line) as w
+  from full_lines a join full_lines b on a.doc_id = b.doc_id and b.k = a.k + 1 join full_lines c on a.doc_id = c.doc_id and c.k = a.k + 2),
+repeats as (
+  select * from (select *, row_number() over (partition by w order by doc_id, first) as nth from windows) where nth > 1),
+gone as (
+  select distinct doc_id, i from (select doc_id, unnest(range(first, last + 1)) as i from repeats)),
+kept as (
+  select n.doc_id, string_agg(n.line, chr(10) order by n.i) as text, count(*) as n
+  from numbered n left join gone g on n.doc_id = g.doc_id and n.i = g.i where g.i is null group by n.doc_id)
+select s.doc_id, case when s.text is null then null else coalesce(k.text, '') end as text,
+       coalesce(len(s.ls), 0)::bigint as n_lines, (coalesce(len(s.ls), 0) - coalesce(k.n, 0))::bigint as n_removed
+from split s left join kept k on s.doc_id = k.doc_id
+"""
+
+
+@query
+def op3_pivot_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.98."""
+    return pivots.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of all documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.judge(docs, rules.learn_rules(docs, read(spark, sf_dir, "labels"))).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of all documents by a network trained on labelled ones that are not held out."""
+    return toxicity.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op7_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents at 3 bits."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 @query
 def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens; end id 1."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+@query
+def op9_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, end id 2, read back."""
