@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lines, mixing, packing, pivots, rules, simhash, token_files, toxicity
+from . import html, lines, mixing, packing, paragraphs, pivots, rules, simhash, token_files, toxicity
 from .common import read, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op6_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated paragraphs."""
+    return paragraphs.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op7_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents at 3 bits."""

@@ -188,23 +188,45 @@ def near_links(fps: DataFrame, bits: int = 3, shard_size: int = 2000, sample_siz
     return cells.groupBy("shard", "cell").applyInPandas(shard_links, "a long, b long")
 
 
+def grouped(docs: DataFrame, bits: int = 3, width: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Written tables: rows (the columns of `docs` without text, and fp, a signed long) and groups (fp, label: the same
+    for fingerprints that a chain of pairs within `bits` bits joins). Rows of one fingerprint meet in one row per
+    task before any shuffle: fingerprints, not documents, are compared."""
+    rows = table(fingerprints(docs, width=width), "fingerprints")
+    distinct = table(rows.select("fp").distinct(), "distinct")
+    found = components(near_links(distinct, bits))
+    groups = table(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "groups")
+    drop(found, distinct)
+    return rows, groups
+
+
 def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
-    """doc_id, fp (signed long) and component_id of every row of `docs` (doc_id, text): the smallest doc_id that a
-    chain of fingerprints within `bits` bits reaches, its own included. Rows without a doc_id take part, but give no
-    component_id: it is null where no member has one. Rows of one fingerprint meet in one row per task before any
-    shuffle; fingerprints, not documents, are compared."""
-    rows = table(fingerprints(docs.select("doc_id", "text"), width=width), "fingerprints")
+    """doc_id, fp (signed long) and component_id of every row of `docs` (doc_id, text): the smallest doc_id in its group,
+    its own included. Rows without a doc_id take part, but give no component_id: it is null where no member has one."""
+    rows, groups = grouped(docs.select("doc_id", "text"), bits, width)
     firsts = table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    links = near_links(firsts.select("fp"), bits)
-    found = components(links)
-    named = firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    groups = table(named, "groups")
-    lowest = groups.groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = table(groups.select("fp", "label").join(table(lowest, "lowest"), "label").select("fp", "component_id"), "ids")
-    drop(found, groups, firsts)
+    lowest = table(groups.join(firsts, "fp").groupBy("label").agg(F.min("first").alias("component_id")), "lowest")
+    ids = table(groups.join(lowest, "label").select("fp", "component_id"), "ids")
+    drop(groups, firsts, lowest)
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
+    """The rows of `docs` (doc_id, text, other columns) without near-duplicates: of each group the row with the smallest
+    doc_id stays (null last; of one id the one with the smallest text hash; of rows equal in both any one)."""
+    mark = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), F.xxhash64("text").alias("_tie")]
+    rows, groups = grouped(docs.select(*mark, "text"), bits, width)
+    alike = rows.groupBy("fp", "_doc", "_tie").agg(F.count(F.lit(1)).alias("n"))
+    best = table(alike.groupBy("fp").agg(F.min(F.struct("_doc", "_tie", "n")).alias("best")), "best")
+    chosen = table(best.join(groups, "fp").groupBy("label").agg(F.min("best").alias("best")).select("best.*"), "chosen")
+    drop(rows, groups, best)
+    kept = docs.select("*", *mark).join(chosen, ["_doc", "_tie"])
+    if chosen.filter("n > 1").isEmpty():
+        return kept.select(docs.columns)
+    repeated = kept.filter("n > 1").dropDuplicates(["_doc", "_tie"])
+    return kept.filter("n = 1").unionByName(repeated).select(docs.columns)
+
+
 def hexadecimal(fp: Column | str) -> Column:
     """16 lowercase hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, F.lit("0")))
