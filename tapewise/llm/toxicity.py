@@ -80,6 +80,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
+def scatter(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of values by index."""
+    out, order = np.zeros((n, values.shape[1]), values.dtype), np.argsort(index, kind="stable")
+    ordered = index[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 def recur(gates: np.ndarray, index: np.ndarray, mask: np.ndarray | None, u: np.ndarray, backward: bool, keep: bool) -> tuple[np.ndarray, list]:
     """States (windows, steps, hidden) of one direction. gates: of distinct words."""
     size, steps, h = u.shape[0], index.shape[1], np.zeros((len(index), u.shape[0]), u.dtype)
@@ -100,7 +109,7 @@ def recur(gates: np.ndarray, index: np.ndarray, mask: np.ndarray | None, u: np.n
 
 def unroll(d_out: np.ndarray, trace: list, index: np.ndarray, mask: np.ndarray, u: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the gates of distinct words and of u."""
-    d_gates, d_u = np.zeros((distinct, u.shape[1]), u.dtype), np.zeros_like(u)
+    d_in, d_u = np.empty((*index.shape, u.shape[1]), u.dtype), np.zeros_like(u)
     dh = np.zeros_like(d_out[:, 0])
     for t, h, z, r, n, v in reversed(trace):
         dh = dh + d_out[:, t]
@@ -108,11 +117,11 @@ def unroll(d_out: np.ndarray, trace: list, index: np.ndarray, mask: np.ndarray,
         da = np.where(live, dh, 0)
         dn = da * (1 - z) * (1 - n * n)
         dz, dr = da * (h - n) * z * (1 - z), dn * v * r * (1 - r)
-        np.add.at(d_gates, index[:, t], np.concatenate([dz, dr, dn], axis=1))
+        d_in[:, t] = np.concatenate([dz, dr, dn], axis=1)
         dv = np.concatenate([dz, dr, dn * r], axis=1)
         d_u += h.T @ dv
         dh = np.where(live, da * z, dh) + dv @ u.T
-    return d_gates, d_u
+    return scatter(index.ravel(), d_in.reshape(-1, u.shape[1]), distinct), d_u
 
 
 @dataclass
@@ -172,10 +181,8 @@ class Network:
             dg, g[f"u{s}"] = unroll(d_states[:, :, k * hidden:(k + 1) * hidden], sides[k][1], index, mask, p[f"u{s}"], len(x))
             g |= {f"w{s}": x.T @ dg, f"b{s}": dg.sum(axis=0)}
             dx += dg @ p[f"w{s}"].T
-        g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-        np.add.at(g["word"], numbers, dx)
-        np.add.at(g["gram"], grams, np.repeat(dx / sizes[:, None].astype(x.dtype), sizes, axis=0))
-        return g
+        each = np.repeat(dx / sizes[:, None].astype(x.dtype), sizes, axis=0)
+        return g | {"word": scatter(numbers, dx, len(p["word"])), "gram": scatter(grams, each, len(p["gram"]))}
 
     def window_scores(self, words: Words, first: np.ndarray, size: np.ndarray, block: int = 2048) -> np.ndarray:
         """Probabilities of windows."""
@@ -203,7 +210,7 @@ class Network:
         return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, steps: tuple[int, int] = (150, 450), batch: int = 64, rate: float = 4e-3,
+def train(texts: list[bytes], labels: np.ndarray, steps: tuple[int, int] = (100, 300), batch: int = 128, rate: float = 5e-3,
           known_words: int = 4096, seed: int = 5) -> Network | None:
     """A network from texts and 0/1 labels; None unless there are both kinds. Words in three texts or more get vectors,
     the `known_words` most frequent ones at most."""
@@ -231,6 +238,9 @@ def train(texts: list[bytes], labels: np.ndarray, steps: tuple[int, int] = (150,
             for some in np.array_split(chosen, max(1, len(chosen) // batch))[:until - step]:
                 mask = ramp[:size[some].max()] < size[some][:, None]
                 raw = words.which[np.minimum(first[some][:, None] + ramp[:mask.shape[1]], len(words.which) - 1)]
+                # Some clean windows get their words in runs: repetition says nothing.
+                runs = np.flatnonzero(~positive[some] & (rng.random(len(some)) < 0.2))
+                raw[runs] = raw[runs[:, None], ramp[:mask.shape[1]] // rng.choice([2, 8, 32], len(runs))[:, None]]
                 distinct, index = np.unique(raw, return_inverse=True)
                 own = words.sizes[distinct]
                 grams = words.grams[np.repeat(offsets[distinct] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
