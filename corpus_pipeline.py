@@ -9,18 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewise.llm import lines, mixing, packing, simhash, toxicity
-from tapewise.llm.common import read, table
+from tapewise.llm.common import read, table, tuck, untuck
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network does not reject; it learns from the labelled ones that are not held out."""
-    return toxicity.judge(docs, read(spark, sf_dir, "labels"), keep_text=True).filter("predicted = 0").select(docs.columns)
+    rows = tuck(docs, "doc_id", "text")
+    return toxicity.judge(rows, read(spark, sf_dir, "labels"), keep_text=True).filter("predicted = 0").select(untuck(rows, docs))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of three-line windows that came before; n_chars follows the text."""
-    found = lines.remove_repeats(docs)
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    rows = tuck(docs, "doc_id", "text", "n_chars")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return lines.remove_repeats(rows).withColumn("n_chars", n_chars).select(untuck(rows, docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: weights 3, 1, 2 by source name, 150 % of all words, no
     source more than twice."""
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixing.mix(docs).filter("copies > 0").select(*docs.columns, copies.alias("_copy")).select(docs.columns)
+    rows = tuck(docs, "doc_id", "text", "source")
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return mixing.mix(rows).filter("copies > 0").select(*rows.columns, copy).select(untuck(rows, docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,20 @@ def drop(*tables: DataFrame) -> None:
         hadoop.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+REST = "_rest"
+
+
+def tuck(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct: whatever they are called, no name of ours meets theirs."""
+    others = [c for c in df.columns if c not in needed]
+    return df.select(*needed, *([F.struct(*[f"`{c}`" for c in others]).alias(REST)] if others else []))
+
+
+def untuck(df: DataFrame, like: DataFrame, *without: str) -> list[Column]:
+    """The columns of `like`, in order, from a frame that `tuck` began with; those in `without` are left out."""
+    return [F.col(c) if c in df.columns else F.col(REST).getField(c).alias(c) for c in like.columns if c not in without]
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

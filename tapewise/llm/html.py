@@ -15,6 +15,7 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .blocks import TABLE
 
@@ -233,12 +234,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("_html")
+            column = batch.column("html")
             for lo in range(0, batch.num_rows, 256):
                 size = min(256, batch.num_rows - lo)
                 texts = [main_text(h or "", tree) for h in column.slice(lo, size).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, size) for c in kept], pa.array(texts, pa.string()),
                                                   pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"])
 
-    schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + ["text string", "n_chars long"])
-    return pages.select(*[pages[c] for c in kept], pages["html"].alias("_html")).mapInArrow(run, schema)
+    schema = StructType([*[pages.schema[c] for c in kept], StructField("text", StringType()), StructField("n_chars", LongType())])
+    return pages.drop("text", "n_chars").mapInArrow(run, schema)

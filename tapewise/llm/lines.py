@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, table
+from .common import drop, table, tuck, untuck
 
 LAST = (1 << 63) - 1        # stands for a null doc_id in comparisons
 
@@ -47,7 +47,8 @@ def remove_repeats(docs: DataFrame, width: int = 3) -> DataFrame:
     Documents with fewer than `width` lines with a word stay as they are; a null text stays null and has no lines. Lines
     without a word belong to no window; between two lines of a repeat they go with it. Rows with the same doc_id, or all
     without one, count as one place: they are no repeats of each other; a null doc_id comes after all others."""
-    docs = docs.drop("n_lines", "n_removed")
+    given = docs.drop("n_lines", "n_removed")
+    docs = tuck(given, "doc_id", "text")
     mark = [F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.xxhash64("text").alias("_tie")]
     found = table(windows(docs, mark, width), "windows")
     # One row per window and task before the shuffle, whatever repeats how often.
@@ -69,6 +70,6 @@ def remove_repeats(docs: DataFrame, width: int = 3) -> DataFrame:
         F.array_repeat(F.lit(True), (F.size(lines) - 1 - F.element_at(gone, -1)).cast("int")))
     kept = F.filter(F.zip_with(lines, flags, lambda line, stays: F.struct(line.alias("line"), stays.alias("stays"))), lambda x: x["stays"])
     text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    return rows.select(*[F.col(c) if c != "text" else text.alias("text") for c in docs.columns],
+    return rows.select(*[text.alias("text") if c == "text" else column for c, column in zip(given.columns, untuck(docs, given))],
                        F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"),
                        F.coalesce(n, F.lit(0)).cast("long").alias("n_removed"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, n_words, table
+from .common import drop, n_words, table, tuck, untuck
 
 BITS, LEVELS = 12, 5        # of a hash of 60 bits
 
@@ -91,9 +91,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
     Sources in code point order, null last, have `weights`, repeating. A source of size 0 has the target 0. Rows equal in
     id and text share a hash, so they are taken alike."""
-    named = docs.drop("size", "source_size", "target", "copies").select("*", *measured(docs))
+    own = ["size", "source_size", "target", "copies"]
+    docs = docs.drop(*own)
+    rows = tuck(docs, "doc_id", "text", "source")
+    named = rows.select("*", *measured(rows))
     sized = table(named.select("_key", "size", "_hash"), "sizes")
-    return apply_mix(named, mix_table(sized, weights, share, cap))
+    mixed = apply_mix(named, mix_table(sized, weights, share, cap))
+    return mixed.select(*untuck(rows, docs), *own)
 
 
 def measured(docs: DataFrame) -> list[Column]:

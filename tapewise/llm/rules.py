@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import REST, n_words, tuck, untuck
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 BLANK = r"[\x20\x09-\x0D]"
@@ -30,8 +30,9 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
     Window positions are found by sorting the hashes of a text's windows, only where two are equal: no shuffle, and the
     work grows as n log n with the length of a text. 64-bit hashes of one text stand for its words and windows."""
-    docs = docs.drop(*STATISTICS)
-    kept = [c for c in docs.columns if c != "text"]
+    given = docs.drop(*STATISTICS)
+    docs = tuck(given, "text")
+    kept = [REST] if REST in docs.columns else []
     text = F.coalesce("text", F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     full = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -55,7 +56,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         (a["x"] == b["x"]).alias("same"), a["i"].alias("a"), b["i"].alias("b"))), lambda t: t["same"])
     covered = F.array_distinct(F.flatten(F.transform(twins, lambda t: F.array(t["a"], t["a"] + 1, t["a"] + 2, t["b"], t["b"] + 1, t["b"] + 2))))
     repeat = F.when(F.col("_s").isNull(), 0).otherwise(F.size(covered)).cast("long")
-    return df.select(*kept, *numbers, "n_lines", "n_dup_lines", repeat.alias("n_repeat_words")).select(*kept, *STATISTICS)
+    return df.select(*kept, *numbers, "n_lines", "n_dup_lines", repeat.alias("n_repeat_words")).select(*untuck(docs, given, "text"), *STATISTICS)
 
 
 def base_failed() -> Column:

@@ -18,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import byte_texts, drop, slices, table
+from .common import byte_texts, drop, slices, table, tuck, untuck
 from .graph import components, merge
 
 HALF = np.uint64(0xFFFFFFFF)
@@ -50,21 +51,20 @@ def text_fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
-    """`docs` without its text, with `fp`, the fingerprint as a signed long. A null or empty text has fingerprint 0."""
-    kept = [c for c in docs.columns if c not in (text, "fp")]
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """`docs` (text, other columns) without text, with `fp`, the fingerprint as a signed long; a column of that name is
+    replaced. A null or empty text has fingerprint 0."""
+    kept = [c for c in docs.columns if c not in ("text", "fp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("_text")
+            column = batch.column("text")
             for lo, hi in slices(column):
                 fp = text_fingerprints(byte_texts(column.slice(lo, hi - lo)), width).view(np.int64)
                 rest = [batch.column(c).slice(lo, hi - lo) for c in kept]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(fp)], [*kept, "fp"])
 
-    taken = docs.select(*[docs[c] for c in kept], docs[text].alias("_text"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["fp long"])
-    return taken.mapInArrow(run, schema)
+    return docs.drop("fp").mapInArrow(run, StructType([*[docs.schema[c] for c in kept], StructField("fp", LongType())]))
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -214,6 +214,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame
 def keep_one(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     """The rows of `docs` (doc_id, text, other columns) without near-duplicates: of each group the row with the smallest
     doc_id stays (null last; of one id the one with the smallest text hash; of rows equal in both any one)."""
+    given, docs = docs, tuck(docs, "doc_id", "text")
     mark = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), F.xxhash64("text").alias("_tie")]
     rows, groups = grouped(docs.select(*mark, "text"), bits, width)
     alike = rows.groupBy("fp", "_doc", "_tie").agg(F.count(F.lit(1)).alias("n"))
@@ -222,9 +223,9 @@ def keep_one(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     drop(rows, groups, best)
     kept = docs.select("*", *mark).join(chosen, ["_doc", "_tie"])
     if chosen.filter("n > 1").isEmpty():
-        return kept.select(docs.columns)
+        return kept.select(untuck(docs, given))
     repeated = kept.filter("n > 1").dropDuplicates(["_doc", "_tie"])
-    return kept.filter("n = 1").unionByName(repeated).select(docs.columns)
+    return kept.filter("n = 1").unionByName(repeated).select(untuck(docs, given))
 
 
 def hexadecimal(fp: Column | str) -> Column:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import byte_texts, slices
 from .tokens import LENGTH_MIX, POWERS, VALUES
@@ -288,8 +289,8 @@ def score(docs: DataFrame, network: Network | None, keep_text: bool = False) ->
                 columns = {c: batch.column(c).slice(lo, hi - lo) for c in kept} | ({"text": part} if keep_text else {}) | {"score": pa.array(scores)}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["text string"] * keep_text + ["score double"]
-    return docs.select(*kept, "text").mapInArrow(run, ", ".join(schema))
+    schema = StructType([*[docs.schema[c] for c in kept], *[docs.schema["text"]] * keep_text, StructField("score", DoubleType())])
+    return docs.drop("score").mapInArrow(run, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
