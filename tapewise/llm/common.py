@@ -62,7 +62,7 @@ def tuck(df: DataFrame, *needed: str) -> DataFrame:
 
 def untuck(df: DataFrame, like: DataFrame, *without: str) -> list[Column]:
     """The columns of `like`, in order, from a frame that `tuck` began with; those in `without` are left out."""
-    return [F.col(c) if c in df.columns else F.col(REST).getField(c).alias(c) for c in like.columns if c not in without]
+    return [F.col(c) if c in df.columns and c != REST else F.col(REST).getField(c).alias(c) for c in like.columns if c not in without]
 
 
 def n_words(text: Column) -> Column:

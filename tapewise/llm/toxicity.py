@@ -22,6 +22,8 @@ from .common import byte_texts, slices
 from .tokens import LENGTH_MIX, POWERS, VALUES
 
 WINDOW, STRIDE = 64, 48
+EDGE = b"\xff \xff \xff"       # words that no text has, around each: so the network learns what an end is
+EDGES = 2 * len(EDGE.split())
 BUCKET_BITS = 14
 WORD_BYTES = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 THRESHOLD = 0.7
@@ -38,12 +40,12 @@ class Words:
 
 
 def words_of(texts: list[bytes]) -> Words:
-    """Runs of ASCII letters and digits and of any other non-ASCII characters, A-Z lower-cased."""
-    raw = np.frombuffer(b"\n" + b"\n".join(texts).lower() + b"\n", np.uint8)
+    """Runs of ASCII letters and digits and of any other non-ASCII characters, A-Z lower-cased, between edges."""
+    raw = np.frombuffer(b"\n" + b"".join(b"%b %b %b\n" % (EDGE, t.lower(), EDGE) for t in texts), np.uint8)
     inside = WORD_BYTES[raw]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, stops = edges[0::2], edges[1::2]
-    ends = np.cumsum([len(t) + 1 for t in texts])
+    ends = np.cumsum([len(t) + 2 * len(EDGE) + 3 for t in texts])
     begins = np.searchsorted(starts, np.concatenate([[0], ends]))
     if not len(starts):
         return Words(np.empty(0, np.int64), begins, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
@@ -68,9 +70,10 @@ def words_of(texts: list[bytes]) -> Words:
 
 
 def windows_of(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, words, text) of all windows: every STRIDE words, and the last WINDOW words of a text."""
+    """(first word, words, text) of all windows, edges included: every STRIDE words, and the last WINDOW words of a text.
+    A text without a word of its own has none."""
     n = np.diff(begins)
-    count = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(n.dtype))
+    count = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > EDGES).astype(n.dtype))
     text = np.repeat(np.arange(len(n)), count)
     k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     first = np.minimum(k * STRIDE, np.maximum(n[text] - WINDOW, 0))
