@@ -84,22 +84,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """Exact median and nearest-rank quantiles of the finite values per group.
 
     `nearest` maps a column name to a probability q: the value at 0-based index round((n - 1) q),
-    halves rounded up. A histogram over grid cells finds the cells that hold the wanted ranks; only
-    the rows of those cells are counted by value and shuffled, and no group is ever collected."""
+    halves rounded up. Equal values are counted first, on the map side, so a value that most rows share is one row per
+    task; a histogram of the counts over grid cells finds the cells that hold the wanted ranks, and only the values of
+    those cells are scanned. No group is ever collected."""
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     wanted = {name: F.floor((F.col("_n") - 1) * q + 0.5) + 1 for name, q in (nearest or {}).items()}
     ranks = list(wanted.values()) + ([low, high] if medians else [])
-    rows = df.filter(finite(value)).select(*keys, F.col(value).cast("double").alias("_value"),
-                                           value_bucket(value).alias(BUCKET))
-    hist = rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.filter(finite(value)).groupBy(*keys, value_bucket(value).alias(BUCKET), F.col(value).cast("double").alias("_value")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    hist = counts.groupBy(*keys, BUCKET).agg(F.sum("_c").alias("_c"))
     group = Window.partitionBy(*keys)
     before = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     cells = hist.select("*", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
                         F.sum("_c").over(group).alias("_n"))
     covers = lambda r: (F.col("_before") < r) & (r <= F.col("_before") + F.col("_c"))
     cells = cells.filter(reduce(lambda a, b: a | b, [covers(r) for r in ranks])).drop("_c")
-    hit = rows.join(cells, [*keys, BUCKET]).groupBy(*keys, BUCKET, "_value").agg(
-        F.count(F.lit(1)).alias("_c"), F.max("_before").alias("_b"), F.max("_n").alias("_n"))
+    hit = counts.join(cells.withColumnRenamed("_before", "_b"), [*keys, BUCKET])
     upto = Window.partitionBy(*keys, BUCKET).orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
     hit = hit.withColumn("_before", F.col("_b") + F.coalesce(F.sum("_c").over(upto), F.lit(0)))
     pick = lambda r: F.max(F.when(covers(r), F.col("_value")))

@@ -1,11 +1,12 @@
 """Ordered scans that never put a hot entity into one task.
 
 A plain window over `partitionBy(entity)` sorts everything an entity owns in one task, and one
-entity may own a third of the table. Here the order axis of such a hot entity is cut into buckets of
-about ROWS_PER_BUCKET rows (every other entity is one bucket). Each bucket is summarized with a
-partially aggregated groupBy, the summaries (one small row per bucket) are scanned per entity, and
-the state before each bucket enters the bucket as one *seed row*. Ordinary window functions then run
-per (entity, bucket).
+entity may own a third of the table. Entities with more than ROWS_PER_BUCKET rows are therefore cut
+into buckets of about that many rows: cuts lie between rows in their full order, so neither a burst
+nor many rows of one instant end up in one bucket. Each bucket is summarized with a partially
+aggregated groupBy, the summaries (one small row per bucket) are scanned per entity, and the state
+before each bucket enters the bucket as one *seed row*. Ordinary window functions then run per
+(entity, bucket). All other entities take a plain window.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared
+
 BUCKET = "_bucket"
 ROWS_PER_BUCKET = 1_000_000
 SEED = "_seed"      # 0 = seed row, 1 = ordinary row: seeds sort first
@@ -23,18 +26,31 @@ SEED = "_seed"      # 0 = seed row, 1 = ordinary row: seeds sort first
 Combine = Callable[[Column], Column]
 
 
-def split_hot(df: DataFrame, by: Sequence[str], at: str, rows: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Adds `_bucket`: 0 for ordinary entities, slices of the `at` axis for those with more than `rows`
-    rows.
+def split_hot(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary entities, rows of entities with more than `rows` rows with `_bucket`, or None).
+
+    Buckets number the slices of a range sort by (by, order, hash of the row): increasing in `order` within an
+    entity, and balanced by rows whatever the distribution of the order columns, ties included. The sorted
+    slices are written once, so a bucket means the same rows wherever the result is read. The list of hot
+    entities has at most (table rows / `rows`) entries; Spark decides by its size how to join it."""
+    by = list(by)
+    hot = shared(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows))
+    found = hot.agg(F.sum("_n")).first()[0]
+    if not found:
+        return df, None
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[k]) for k in by])
+    # Twice as many slices as needed: the sort's cuts come from a sample.
+    slices = 2 * -(-found // rows)
+    owned = df.join(hot.select(*by), same, "left_semi").withColumn("_tie", F.xxhash64(*df.columns))
+    sliced = owned.repartitionByRange(slices, *by, *order, "_tie").withColumn(BUCKET, F.spark_partition_id().cast("long")).drop("_tie")
+    return df.join(hot.select(*by), same, "left_anti"), shared(sliced)
 
-    Only hot entities are listed, at most (table rows / `rows`) of them: a proven bound of a few dozen
-    bytes per million rows, which makes the list safe to broadcast. The table is not shuffled."""
-    span = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / rows))
-    hot = span.filter(F.col("_n") > rows).select(*by, "_lo", width.alias("_width"))
-    slot = F.floor((F.col(at) - F.col("_lo")) / F.col("_width")).cast("long")
-    return (df.join(F.broadcast(hot), list(by), "left").withColumn(BUCKET, F.coalesce(slot, F.lit(0).cast("long")))
-            .drop("_lo", "_width"))
+
+def sliced(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """`df` with `_bucket`: that of `split_hot` for hot entities, 0 for all others."""
+    cold, hot = split_hot(df, by, order, rows)
+    cold = cold.withColumn(BUCKET, F.lit(0).cast("long"))
+    return cold if hot is None else cold.unionByName(hot)
 
 
 def last_value(c: Column) -> Column:
@@ -69,22 +85,27 @@ def drop_seeds(df: DataFrame, *extra: str) -> DataFrame:
 def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], fold: Callable,
              rows: int) -> DataFrame:
     work = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
+    cold, hot = split_hot(work, keys, order, rows)
+    plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = cold.select(*df.columns, *[fold(F.col(f"_v_{n}")).over(plain).alias(n) for n in values])
+    if hot is None:
+        return out
     state = {f"_s_{n}": (fold(F.col(f"_v_{n}")), fold) for n in values}
-    work = seeded(split_hot(work, keys, order[0], rows), keys, state)
+    work = seeded(hot, keys, state)
     w = in_bucket(keys, *order).rowsBetween(Window.unboundedPreceding, 0)
     work = work.select("*", *[fold(F.coalesce(F.col(f"_v_{n}"), F.col(f"_s_{n}"))).over(w).alias(n) for n in values])
-    return drop_seeds(work, *[f"_v_{n}" for n in values], *state)
+    return out.unionByName(drop_seeds(work, *[f"_v_{n}" for n in values], *state))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
                 rows: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Adds inclusive running sums (name -> summed expression); order[0] is the numeric time axis."""
+    """Adds inclusive running sums (name -> summed expression) in the given order."""
     return _running(df, keys, order, values, F.sum, rows)
 
 
 def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
                 rows: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Adds inclusive running maxima (name -> expression); order[0] is the numeric time axis."""
+    """Adds inclusive running maxima (name -> expression) in the given order."""
     return _running(df, keys, order, values, F.max, rows)
 
 
@@ -92,13 +113,15 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: d
              rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds values of the preceding row (name -> expression), null on an entity's first row.
 
-    `order` must be columns that order the rows of an entity without ties, the numeric time axis first."""
+    `order` must be columns that order the rows of an entity without ties."""
     work = df.withColumn("_now", F.struct(*[v.alias(n) for n, v in values.items()]))
-    state = {"_before": (F.max_by("_now", F.struct(*order)), last_value)}
-    work = seeded(split_hot(work, keys, order[0], rows), keys, state)
-    lagged = F.lag(F.coalesce(F.col("_now"), F.col("_before"))).over(in_bucket(keys, *order))
-    work = drop_seeds(work.withColumn("_prev", lagged), "_now", "_before")
-    return work.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values])
+    cold, hot = split_hot(work, keys, order, rows)
+    out = cold.withColumn("_prev", F.lag("_now").over(Window.partitionBy(*keys).orderBy(*order))).drop("_now")
+    if hot is not None:
+        state = {"_before": (F.max_by("_now", F.struct(*order)), last_value)}
+        lagged = F.lag(F.coalesce(F.col("_now"), F.col("_before"))).over(in_bucket(keys, *order))
+        out = out.unionByName(drop_seeds(seeded(hot, keys, state).withColumn("_prev", lagged), "_now", "_before"))
+    return out.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values])
 
 
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
@@ -108,9 +131,8 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, rig
 
     directions: "backward" (at or before the left row) and/or "forward" (at or after it) -> prefix
     of the added columns: prefix + right_on and prefix + each value, null where nothing matches.
-    The right side must be unique per (by, right_on). Both sides are shuffled once by
-    (by, time bucket); only one summary row per bucket is scanned per entity, so a hot entity is
-    split by time."""
+    The right side must be unique per (by, right_on). Both sides are shuffled once by entity; only
+    entities with more than `rows_per_bucket` rows on both sides together are cut into buckets."""
     names = [right_on, *values]
     lcols = left.columns
     lrows = left.select(*by, F.col(left_on).alias("_t"), F.struct(*lcols).alias("_left"))
@@ -119,32 +141,39 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, rig
     # Ties in time: right rows come before left rows, because the same instant matches.
     rows = (lrows.withColumn("_side", F.lit(1))
             .unionByName(rrows.withColumn("_side", F.lit(0)), allowMissingColumns=True))
-    rows = split_hot(rows, by, "_t", rows_per_bucket)
-    right_t = F.when(F.col("_side") == 0, F.col("_t"))
-    per = rows.groupBy(*by, BUCKET).agg(F.max_by("_right", right_t).alias("_hi"),
-                                        F.min_by("_right", right_t).alias("_lo"))
-    scan = Window.partitionBy(*by).orderBy(BUCKET)
-    seeds = per.select(
-        *by, BUCKET, F.lit(0).alias(SEED),
-        F.last("_hi", ignorenulls=True).over(scan.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_lo", ignorenulls=True).over(scan.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    rows = rows.withColumn(SEED, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
-    found = {}
-    for direction in directions:
+    cold, hot = split_hot(rows, by, ["_t", "_side"], rows_per_bucket)
+
+    def nearest(direction: str, w, found: Column) -> Column:
         order = F.col("_t").asc() if direction == "backward" else F.col("_t").desc()
-        carry = "_before" if direction == "backward" else "_after"
-        w = in_bucket(by, order, "_side").rowsBetween(Window.unboundedPreceding, 0)
-        found[direction] = F.last(F.coalesce(F.col("_right"), F.col(carry)), ignorenulls=True).over(w)
-    rows = rows.select("*", *[c.alias(f"_{d}") for d, c in found.items()])
-    rows = rows.filter((F.col(SEED) == 1) & (F.col("_side") == 1))
-    out = [F.col(f"_left.{c}").alias(c) for c in lcols]
+        return F.last(found, ignorenulls=True).over(w(order, "_side").rowsBetween(Window.unboundedPreceding, 0)).alias(f"_{direction}")
+
+    plain = lambda *order: Window.partitionBy(*by).orderBy(*order)
+    out = cold.select("_t", "_side", "_left", *[nearest(d, plain, F.col("_right")) for d in directions]).filter(F.col("_side") == 1)
+    if hot is not None:
+        right_t = F.when(F.col("_side") == 0, F.col("_t"))
+        per = hot.groupBy(*by, BUCKET).agg(F.max_by("_right", right_t).alias("_hi"), F.min_by("_right", right_t).alias("_lo"))
+        scan = Window.partitionBy(*by).orderBy(BUCKET)
+        seeds = per.select(
+            *by, BUCKET, F.lit(0).alias(SEED),
+            F.last("_hi", ignorenulls=True).over(scan.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+            F.first("_lo", ignorenulls=True).over(scan.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+        work = hot.withColumn(SEED, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
+        bucket = lambda *order: in_bucket(by, *order)
+        carried = {"backward": "_before", "forward": "_after"}
+        work = work.select("_t", "_side", "_left", SEED, *[nearest(d, bucket, F.coalesce(F.col("_right"), F.col(carried[d]))) for d in {**directions, "backward": ""}])
+        if "forward" in directions:     # a cut may lie inside an instant: its right row is then in an earlier bucket
+            now = F.when(F.col("_backward")[right_on] == F.col("_t"), F.col("_backward"))
+            work = work.withColumn("_forward", F.coalesce(now, F.col("_forward")))
+        work = work.filter((F.col(SEED) == 1) & (F.col("_side") == 1))
+        out = out.unionByName(work.select(out.columns))
+    shown = [F.col(f"_left.{c}").alias(c) for c in lcols]
     for direction, prefix in directions.items():
         match = F.col(f"_{direction}")
         if tolerance_ms is not None:
             near = F.abs(F.col("_t") - match[right_on]) <= tolerance_ms
             match = F.when(near, match)
-        out += [match[n].alias(prefix + n) for n in names]
-    return rows.select(*out)
+        shown += [match[n].alias(prefix + n) for n in names]
+    return out.select(*shown)
 
 
 def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, shift: Column,

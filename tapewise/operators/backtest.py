@@ -49,11 +49,16 @@ def stack_selections(**selections: DataFrame) -> DataFrame:
 
 def copy_backtest(returns: DataFrame, selection: DataFrame, strategies: Sequence[str], lookback_weeks: int = 12,
                   hold_weeks: int = 4, rebalance_cost: float = REBALANCE_COST,
-                  friction_per_step: float = 0.0) -> DataFrame:
+                  friction_per_step: float = 0.0, exclude: DataFrame | None = None) -> DataFrame:
     """One row per (strategy, formation date): n_selected, n_missing, turnover, gross_ret, net_ret, equity.
 
+    Users in `exclude` (column user) count neither as returns nor as selections.
+
     A selected user without data in the holding window contributes 0 and counts as missing; a date
     without a selection earns 0 and has no turnover."""
+    if exclude is not None:
+        gone = exclude.select("user").distinct()
+        returns, selection = returns.join(gone, "user", "left_anti"), selection.join(gone, "user", "left_anti")
     returns = shared(returns)
     held = expand_holding(returns, lookback_weeks, hold_weeks).groupBy("formation_ms", "user").agg(
         (F.product(1 + F.coalesce("ret", F.lit(0.0))) - 1).alias("ret"), F.count("ret").alias("steps"),
@@ -150,13 +155,16 @@ def compare(periods: DataFrame, hold_weeks: int = 4) -> DataFrame:
 
 
 def random_baseline(returns: DataFrame, signals: DataFrame, n: int, seeds: int = 20, lookback_weeks: int = 12,
-                    hold_weeks: int = 4, **costs) -> DataFrame:
+                    hold_weeks: int = 4, exclude: DataFrame | None = None, **costs) -> DataFrame:
     """Metrics of picking n eligible users at random, one row per seed, all seeds in one job."""
-    pool = signals.select("formation_ms", "user").withColumn(
+    pool = signals.select("formation_ms", "user")
+    if exclude is not None:
+        pool = pool.join(exclude.select("user").distinct(), "user", "left_anti")
+    pool = pool.withColumn(
         "seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     picks = random_pick(pool, n, F.col("seed"), keys=["seed", "formation_ms"])
     selection = picks.withColumn("strategy", F.col("seed").cast("string"))
-    table = copy_backtest(returns, selection, [str(i) for i in range(seeds)], lookback_weeks, hold_weeks, **costs)
+    table = copy_backtest(returns, selection, [str(i) for i in range(seeds)], lookback_weeks, hold_weeks, exclude=exclude, **costs)
     return summarize_backtest(table, hold_weeks).withColumn("seed", F.col("strategy").cast("int")).drop("strategy")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY_MS, HOUR_MS, ratio
 from ..functions.ranks import exact_quantiles
-from ..functions.scan import BUCKET, ROWS_PER_BUCKET, SEED, affine_scan, asof, previous, split_hot
+from ..functions.scan import BUCKET, ROWS_PER_BUCKET, SEED, affine_scan, asof, previous, sliced
 from ..session import shared
 from .latest import dedup_fills
 
@@ -68,7 +68,7 @@ def round_trips(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Data
     keys, order = ["user", "coin"], list(ORDER)
     here = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     start, after, px, size = F.col("start_position"), F.col("position_after"), F.col("px"), F.abs(F.col("signed_sz"))
-    rows = split_hot(perp, keys, "time_ms", rows_per_bucket)
+    rows = sliced(perp, keys, order, rows_per_bucket)
     rows = rows.withColumn("_before", F.lag("position_after").over(here)).withColumn(
         "_first", F.row_number().over(here) == 1)
     rows = rows.withColumn("_opens", (start == 0) | F.coalesce(F.col("_before") == 0, F.lit(False)))
@@ -140,8 +140,8 @@ def gross_notional(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> D
     The gross is a running sum of changes per coin; each bucket starts from what the coins were worth
     at the end of earlier buckets. Rounding dust of the sums counts as flat."""
     order = list(ORDER)
-    rows = split_hot(perp.select("user", "coin", *order, (F.abs(F.col("position_after")) * F.col("px")).alias("x")),
-                     ["user"], "time_ms", rows_per_bucket)
+    rows = sliced(perp.select("user", "coin", *order, (F.abs(F.col("position_after")) * F.col("px")).alias("x")),
+                  ["user"], order, rows_per_bucket)
     per = rows.groupBy("user", "coin", BUCKET).agg(F.max_by("x", F.struct(*order)).alias("x"))
     before = F.lag("x").over(Window.partitionBy("user", "coin").orderBy(BUCKET))
     per = per.withColumn("x_in", before)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import HOUR_MS
-from ..functions.scan import previous
+from ..functions.scan import previous, running_max
 
 # Longest accepted age of a job's last finished run, in ms; longest accepted failure rate.
 MAX_AGE_MS = {"leaderboard": 3 * HOUR_MS, "wallets": 10 * HOUR_MS, "normalize": 10 * HOUR_MS}
@@ -19,7 +19,9 @@ def fill_gaps(fills: DataFrame) -> DataFrame:
     A fetch starts at the last stored fill, which is returned again; a batch whose oldest fill is newer
     than the cursor has lost what lay between. The batch is the fetch the fill came from (`batch`)."""
     per = fills.groupBy("user", "batch").agg(F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"))
-    chained = previous(per, ["user"], ["batch"], {"cursor_ms": F.col("last_ms")})
+    # The cursor never goes back: it is the last fill of any earlier batch.
+    reached = running_max(per, ["user"], ["batch"], {"reached_ms": F.col("last_ms")})
+    chained = previous(reached, ["user"], ["batch"], {"cursor_ms": F.col("reached_ms")})
     cursor = F.coalesce("cursor_ms", F.lit(0))
     return chained.select("user", "batch", "first_ms", cursor.alias("cursor_ms"),
                           ((cursor > 0) & (F.col("first_ms") > cursor)).alias("gap_suspected"))

@@ -61,8 +61,10 @@ def candidate_signals(equity: DataFrame, now_ms: int, vaults: DataFrame | None =
         pool = pool.join(vaults.select(F.col("vault_address").alias("user")).distinct(), "user", "left_anti")
     behavior = None
     if fills is not None:
-        pool = activity_filter(pool, fills, now_ms)
-        behavior = shared(behavior_features(fills, equity, now_ms, window_days))
+        pool = shared(activity_filter(pool, fills, now_ms))
+        # Features are needed for the pool alone.
+        wanted = pool.select("user")
+        behavior = shared(behavior_features(fills.join(wanted, "user", "left_semi"), equity.join(wanted, "user", "left_semi"), now_ms, window_days))
     pool = behavior_exclusions(score_from_signals(shared(pool), behavior), behavior)
     if leaderboard is not None:
         newest = newest_snapshot(leaderboard, F.coalesce("data_as_of_ms", "snapshot_ms"))

@@ -479,14 +479,14 @@ def _(t):
     return B.compare(shared(backtest(t)).unionByName(held_benchmark(t, returns(t))))
 
 
-cte(seeded10="""select i::varchar as strategy, formation_ms, user from el, range(5) s(i) qualify row_number() over
+cte(seeded10="""select i::varchar as strategy, formation_ms, user from el, range(20) s(i) qualify row_number() over
       (partition by i, formation_ms order by md5(concat_ws('|', user, i::varchar, formation_ms::varchar)), user) <= 10""",
     **backtest_sql("seeded10"))
 
 
 def baseline(t):
     r = returns(t)
-    return B.random_baseline(r, shared(eligible(t, r)), 10, seeds=5)
+    return B.random_baseline(r, shared(eligible(t, r)), 10)
 
 
 @query("B6_random_baseline", "seed " + METRIC_COLUMNS.replace("strategy ", ""),
@@ -496,8 +496,8 @@ def _(t):
 
 
 @query("B7_baseline_quantiles", "metric ~median ~p10 ~p90",
-       "(select 'cagr' as metric, median(cagr) as median, list_sort(list(cagr))[floor(4 * 0.1 + 0.5)::int + 1] as p10, "
-       "list_sort(list(cagr))[floor(4 * 0.9 + 0.5)::int + 1] as p90 from seeded10_bt_m)")
+       "(select 'cagr' as metric, median(cagr) as median, list_sort(list(cagr))[floor(19 * 0.1 + 0.5)::int + 1] as p10, "
+       "list_sort(list(cagr))[floor(19 * 0.9 + 0.5)::int + 1] as p90 from seeded10_bt_m)")
 def _(t):
     return B.baseline_quantiles(shared(baseline(t)))
 

@@ -308,16 +308,15 @@ def _(t):
 ACT_DAYS, ACT_MAX = 60, 0.5
 SINCE = NOW - ACT_DAYS * DAY
 cte(activity=f"""select user, count(*) filter (time_ms >= {SINCE}) / {float(ACT_DAYS)} as fills_per_day, max(time_ms) as last_fill_ms
-      from fx_fills where user not like 'w%7' group by user""",
+      from fx_fills group by user""",
     active=f"""select distinct e.user, fills_per_day, coalesce(last_fill_ms, -1) as last_fill_ms from fx_equity e left join activity using (user)
       where last_fill_ms is null or (fills_per_day <= {ACT_MAX} and last_fill_ms >= {SINCE})""")
 
 
 @query("C9_activity_filter", "user ~fills_per_day last_fill_ms", "active")
 def _(t):
-    known = t.fx_fills.filter(~F.col("user").endswith("7"))
     pool = t.fx_equity.select("user").distinct()
-    return L.activity_filter(pool, known, NOW, ACT_MAX, ACT_DAYS).fillna(-1, ["last_fill_ms"])
+    return L.activity_filter(pool, t.fx_fills, NOW, ACT_MAX, ACT_DAYS).fillna(-1, ["last_fill_ms"])
 
 
 MIN_EQUITY = 40_000.0
@@ -366,9 +365,9 @@ def _(t):
 cte(
     lbn="""select * from fx_leaderboard where coalesce(data_as_of_ms, snapshot_ms) =
       (select max(coalesce(data_as_of_ms, snapshot_ms)) from fx_leaderboard)""",
-    cohort_rows="""(select user, 'top_alltime_pnl' as cohort from lbn order by alltime_pnl desc, user limit 30) union all
-      (select user, 'top_month_roi' from lbn where account_value >= 40000 and month_vlm > 0 order by month_roi desc, user limit 30) union all
-      (select user, 'random' from lbn where account_value >= 40000 and month_vlm > 0 order by md5(concat_ws('|', user, '0')), user limit 30)""",
+    cohort_rows="""(select user, 'top_alltime_pnl' as cohort from lbn order by alltime_pnl desc, user limit 100) union all
+      (select user, 'top_month_roi' from lbn where account_value >= 40000 and month_vlm > 0 order by month_roi desc, user limit 100) union all
+      (select user, 'random' from lbn where account_value >= 40000 and month_vlm > 0 order by md5(concat_ws('|', user, '0')), user limit 100)""",
     cohorts_="select user, list_sort(list(distinct cohort)) as cohorts from cohort_rows group by user",
     tracked="""select distinct user, '2001-01-01' as added_at, ['candidates', 'random'] as cohorts from fx_equity where user like 'w1%'""",
     merged="""select user, coalesce(added_at, '2001-11-05') as added_at,
@@ -382,7 +381,7 @@ def newest_board(t):
 
 
 def cohorts(t):
-    return L.universe_cohorts(newest_board(t), 0, 30, 30, 30, MIN_EQUITY)
+    return L.universe_cohorts(newest_board(t), 0, 100, 100, 100, MIN_EQUITY)
 
 
 def universe(t):
@@ -413,10 +412,10 @@ def _(t):
 
 
 @query("C15_candidate_funnel", "user",
-       "((select user from pool where trader_score is not null order by trader_score desc, user limit 20) union "
-       "(select user from pool where sharpe is not null order by sharpe desc, user limit 10))")
+       "((select user from pool where trader_score is not null order by trader_score desc, user limit 100) union "
+       "(select user from pool where sharpe is not null order by sharpe desc, user limit 50))")
 def _(t):
-    return L.candidate_funnel(candidates(t), 20, 10)
+    return L.candidate_funnel(candidates(t), 100, 50)
 
 
 @query("C15_ranking_report", "rank user ~trader_score ~sharpe ~consistency ~account_value behavior_known",
@@ -448,10 +447,10 @@ def _(t):
 
 
 @query("C18_cohort_coverage", "cohort tracked with_history",
-       "(select cohort, count(*) as tracked, count(*) filter (user in (select user from fx_equity where user not like '%3')) as with_history "
+       "(select cohort, count(*) as tracked, count(*) filter (user in (select user from fx_equity)) as with_history "
        "from (select user, unnest(cohorts) as cohort from merged) group by cohort)")
 def _(t):
-    return L.cohort_coverage(universe(t), t.fx_equity.filter(~F.col("user").endswith("3")))
+    return L.cohort_coverage(universe(t), t.fx_equity)
 
 
 # --- risk ------------------------------------------------------------------------------------------
@@ -783,7 +782,7 @@ def _(t):
 # --- data quality ----------------------------------------------------------------------------------
 
 cte(batches="""select user, time_ms // 2592000000 as batch, min(time_ms) as first_ms, max(time_ms) as last_ms from fx_fills group by all""",
-    cursors="""select *, coalesce(lag(last_ms) over (partition by user order by batch), 0) as cursor_ms from batches""")
+    cursors="""select *, coalesce(max(last_ms) over (partition by user order by batch rows between unbounded preceding and 1 preceding), 0) as cursor_ms from batches""")
 
 
 @query("Q1_fill_gaps", "user batch first_ms cursor_ms gap_suspected",

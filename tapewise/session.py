@@ -72,13 +72,24 @@ def shared(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
-    out._is_shared = True
+    out._is_shared, out._shared_path = True, path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table that `shared` wrote for this frame; frames built on it can no longer run."""
+    path = getattr(df, "_shared_path", None)
+    if path:
+        _WRITTEN.remove((df.sparkSession, path))
+        _delete(df.sparkSession, path)
+
+
 def release_shared() -> None:
     """Delete the tables written by `shared`; frames built on them can no longer run."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(*_WRITTEN.pop())

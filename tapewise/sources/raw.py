@@ -7,8 +7,10 @@ nested objects inside it stay JSON text for a second parse."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,48 @@ ENVELOPE = ("platform string, dataset string, fetched_at string, request string,
 FILE_PATTERN = "*.gz"
 
 
+def gzip_state(content: bytes) -> str:
+    """whole, truncated (the content breaks off inside a member) or damaged (anything else that is no gzip)."""
+    rest = memoryview(content)
+    if not rest:
+        return "truncated"
+    while rest:
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof:
+            if not rest:
+                return "truncated"
+            try:
+                member.decompress(rest[:1 << 20], 1 << 20)
+                while member.unconsumed_tail and not member.eof:
+                    member.decompress(member.unconsumed_tail, 1 << 20)
+            except zlib.error:
+                return "damaged"
+            rest = rest[1 << 20:]
+        rest = memoryview(member.unused_data + bytes(rest))
+        if not bytes(rest[:64]).strip(b"\0"):       # padding
+            break
+    return "whole"
+
+
+def gzip_states(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, state) of every gzip file below a path. A task holds one file's compressed bytes at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = [gzip_state(c.as_buffer().to_pybytes()) for c in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(states)], ["path", "state"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", FILE_PATTERN).option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), "content").mapInArrow(run, "path string, state string")
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Raw lines of gzip files. A truncated last gzip member ends its file quietly: every complete
-    record before it is kept. Adds the file's path and its `date=` folder."""
+    """Raw lines of gzip files and the file's path. A file that breaks off (its writer was stopped) ends quietly:
+    every complete record before is kept. Lines of files with any other damage are left out; `gzip_states` names
+    those files."""
     lines = (spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", FILE_PATTERN)
              .option("recursiveFileLookup", "true").text(path))
-    return lines.select("value", F.col("_metadata.file_path").alias("path"))
+    damaged = gzip_states(spark, path).filter(F.col("state") == "damaged").select("path")
+    return lines.select("value", F.col("_metadata.file_path").alias("path")).join(damaged, "path", "left_anti").select("value", "path")
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
@@ -64,6 +102,15 @@ def http_date(text: Column) -> Column:
     return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
+def _last_entries(entries: Column, key: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+    """Map of an array's entries; of a key that comes again the last value counts."""
+    ordered = F.array_sort(F.transform(F.filter(entries, lambda e: key(e).isNotNull()),
+                                       lambda e, i: F.struct(key(e).alias("k"), i.alias("i"), value(e).alias("v"))))
+    after = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1)))
+    marked = F.zip_with(ordered, after, lambda e, f: F.struct(e["k"].alias("k"), e["v"].alias("v"), F.coalesce(f["k"] != e["k"], F.lit(True)).alias("last")))
+    return F.map_from_entries(F.transform(F.filter(marked, lambda m: m["last"]), lambda m: F.struct(m["k"], m["v"])))
+
+
 FILE_COLUMNS = ("date", "run")
 
 
@@ -81,8 +128,7 @@ LEADERBOARD = ("leaderboardRows array<struct<ethAddress:string, accountValue:str
 def leaderboard_rows(records: DataFrame) -> DataFrame:
     """One row per account and snapshot, the four windows and three metrics side by side."""
     rows = records.withColumn("r", F.explode(F.from_json("payload", LEADERBOARD)["leaderboardRows"]))
-    rows = rows.withColumn("w", F.map_from_entries(F.transform(
-        "r.windowPerformances", lambda p: F.struct(F.lower(p[0]), p[1]))))
+    rows = rows.withColumn("w", _last_entries(F.col("r.windowPerformances"), lambda p: F.lower(p[0]), lambda p: p[1]))
     metric = lambda window, name: _num(F.get_json_object(F.try_element_at("w", F.lit(window)), f"$.{name}")).alias(f"{window}_{name}")
     return _keep(rows, F.col("fetched_at").alias("snapshot_at"),
         http_date(F.get_json_object("source_version", "$.last_modified")).alias("data_as_of"),
@@ -128,7 +174,7 @@ def _portfolio(rows: DataFrame, user: Column, portfolio: Column) -> DataFrame:
     time without one is null."""
     periods = _keep(rows, user.alias("user"), F.explode(F.from_json(portfolio, "array<array<string>>")).alias("p"))
     s = _keep(periods, "user", F.col("p")[0].alias("period"), F.from_json(F.col("p")[1], SERIES).alias("s"))
-    s = s.withColumn("pnl", F.map_from_entries(F.transform("s.pnlHistory", lambda x: F.struct(x[0], x[1]))))
+    s = s.withColumn("pnl", _last_entries(F.col("s.pnlHistory"), lambda x: x[0], lambda x: x[1]))
     points = _keep(s, "user", "period", "pnl", F.explode("s.accountValueHistory").alias("v"))
     return _keep(points, "user", "period", _long(F.col("v")[0]).alias("time_ms"), _num(F.col("v")[1]).alias("account_value"),
                          _num(F.try_element_at("pnl", F.col("v")[0])).alias("pnl"))

@@ -10,10 +10,12 @@ from pyspark.sql.types import StructType
 
 from ..operators.latest import dedup_equity
 from ..schemas import TABLES
-from .raw import BUILDERS, FILE_PATTERN, raw_scan
+from ..session import shared
+from .raw import BUILDERS, FILE_PATTERN, gzip_states, parse_records, read_lines
 
 SETTLE_SECONDS = 300
-LEDGER = "_normalized"
+LEDGER, QUARANTINE = "_normalized", "_quarantine"
+FILES_PER_JOB = 5_000       # file names that are in the driver at a time
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -46,7 +48,8 @@ def pending_files(spark: SparkSession, raw_dir: str, ledger: str, settle_seconds
     cutoff = datetime.now(timezone.utc) - timedelta(seconds=settle_seconds)
     files = (spark.read.format("binaryFile").option("pathGlobFilter", FILE_PATTERN).option("recursiveFileLookup", "true")
              .option("modifiedBefore", cutoff.strftime("%Y-%m-%dT%H:%M:%S")).load(raw_dir)
-             .select("path", F.unix_millis("modificationTime").alias("mtime")))   # the content is never read
+             # the content is never read
+             .select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("mtime")))
     if _exists(spark, ledger):
         files = files.join(spark.read.schema("path string, mtime long").parquet(ledger), ["path", "mtime"], "left_anti")
     return files
@@ -63,21 +66,41 @@ def write_tables(records: DataFrame, dataset: str, out_dir: str) -> None:
          .partitionBy("date", "run").parquet(f"{out_dir}/{table}"))
 
 
+def normalize_files(spark: SparkSession, files: list[tuple[str, int]], dataset: str, out_dir: str, quarantine: str | None = None) -> int:
+    """Normalize the given (path, mtime) and enter them into the ledger; how many.
+
+    Files with damage other than an early end give no rows, stay out of the ledger and go to the quarantine, as do
+    lines that are no complete record."""
+    paths = [p for p, _ in files]
+    listed = spark.createDataFrame(files, "path string, mtime long")
+    damaged = shared(gzip_states(spark, paths).filter(F.col("state") == "damaged").select("path"))
+    parsed = parse_records(read_lines(spark, paths))
+    write_tables(parsed.filter(F.col("_corrupt").isNull()).drop("_corrupt"), dataset, out_dir)
+    bad = parsed.filter(F.col("_corrupt").isNotNull()).select("path", F.lit("incomplete record").alias("reason"), F.col("_corrupt").alias("line"))
+    bad = bad.unionByName(damaged.select("path", F.lit("damaged file").alias("reason"), F.lit(None).cast("string").alias("line")))
+    bad.write.mode("append").parquet(quarantine or f"{out_dir}/{QUARANTINE}/{dataset}")
+    listed.join(damaged, "path", "left_anti").coalesce(1).write.mode("append").parquet(f"{out_dir}/{LEDGER}/{dataset}")
+    return len(files)
+
+
+def normalize_dataset(spark: SparkSession, raw_dir: str, dataset: str, out_dir: str, settle_seconds: int = SETTLE_SECONDS,
+                      quarantine: str | None = None) -> int:
+    """Normalize the files of one folder that are new or have changed; how many. FILES_PER_JOB names at a time are in
+    the driver."""
+    pending = pending_files(spark, raw_dir, f"{out_dir}/{LEDGER}/{dataset}", settle_seconds)
+    done, some = 0, []
+    for r in shared(pending).toLocalIterator():
+        some.append((r.path, r.mtime))
+        if len(some) == FILES_PER_JOB:
+            done += normalize_files(spark, some, dataset, out_dir, quarantine)
+            some = []
+    return done + (normalize_files(spark, some, dataset, out_dir, quarantine) if some else 0)
+
+
 def normalize_incremental(spark: SparkSession, raw_root: str, out_dir: str, datasets: list[str] | None = None,
                           settle_seconds: int = SETTLE_SECONDS) -> dict[str, int]:
     """Bring the processed tables up to date with raw_root/<dataset>/date=.../<run>.jsonl.gz.
 
-    Returns the number of files normalized per dataset. Only file names pass through the driver."""
-    done = {}
-    for dataset in datasets or list(BUILDERS):
-        raw_dir = f"{raw_root}/{dataset}"
-        if not _exists(spark, raw_dir):
-            continue
-        ledger = f"{out_dir}/{LEDGER}/{dataset}"
-        todo = [(r.path, r.mtime) for r in pending_files(spark, raw_dir, ledger, settle_seconds).toLocalIterator()]
-        done[dataset] = len(todo)
-        if not todo:
-            continue
-        write_tables(raw_scan(spark, [p for p, _ in todo]), dataset, out_dir)
-        spark.createDataFrame(todo, "path string, mtime long").coalesce(1).write.mode("append").parquet(ledger)
-    return done
+    Returns the number of files read per dataset."""
+    return {d: normalize_dataset(spark, f"{raw_root}/{d}", d, out_dir, settle_seconds)
+            for d in datasets or list(BUILDERS) if _exists(spark, f"{raw_root}/{d}")}

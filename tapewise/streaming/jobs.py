@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.behavior import EXIT_RULES, behavior_features, exit_rules
-from ..session import new_folder, shared
-from ..sources.raw import FILE_PATTERN, parse_records
-from ..sources.tables import write_tables
+from ..session import forget, new_folder, shared
+from ..sources.raw import FILE_PATTERN
+from ..sources.tables import SETTLE_SECONDS, normalize_dataset
 
 
 def event_time(df: DataFrame, ms: str = "time_ms") -> DataFrame:
@@ -23,21 +23,20 @@ def event_time(df: DataFrame, ms: str = "time_ms") -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, raw_dir: str, dataset: str, out_dir: str, checkpoint: str,
-                  quarantine: str | None = None) -> StreamingQuery:
-    """Normalize the raw files of one dataset as they arrive (available now, then stop). The checkpoint
-    is the log of processed files; lines that are not complete records go to the quarantine."""
-    lines = (spark.readStream.option("pathGlobFilter", FILE_PATTERN).option("recursiveFileLookup", "true")
-             .option("ignoreCorruptFiles", "true").text(raw_dir)
-             .select("value", F.col("_metadata.file_path").alias("path")))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        records = shared(parse_records(batch))
-        write_tables(records.filter(F.col("_corrupt").isNull()).drop("_corrupt"), dataset, out_dir)
-        if quarantine:
-            (records.filter(F.col("_corrupt").isNotNull()).select("path", "_corrupt")
-             .write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}"))
-
-    return (lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+                  quarantine: str | None = None, settle_seconds: int = SETTLE_SECONDS) -> StreamingQuery:
+    """Normalize the raw files of one dataset as they arrive (available now, then stop).
+
+    A file stream names a path once, but a raw file may grow, and may still be written when it is first seen. The stream
+    therefore only tells that files have come; which ones are read is decided by the ledger of (path, mtime), before
+    the stream starts and with every batch: files that are new or have changed, and are older than the settle window.
+    Incomplete lines and damaged files go to the quarantine."""
+    def read_pending(batch: DataFrame | None = None, batch_id: int = -1) -> None:
+        normalize_dataset(spark, raw_dir, dataset, out_dir, settle_seconds, quarantine)
+
+    read_pending()
+    names = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+             .option("pathGlobFilter", FILE_PATTERN).option("recursiveFileLookup", "true").load(raw_dir).select("path", "modificationTime"))
+    return (names.writeStream.foreachBatch(read_pending).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -71,6 +70,7 @@ def stream_watch(fills: DataFrame, history: Callable[[], DataFrame], equity: Dat
         known = history().join(touched, "user", "left_semi")
         features = behavior_features(known.unionByName(batch.select(*known.columns)), equity, now_ms, window_days)
         exit_rules(features, rules).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        forget(batch)
 
     return (fills.writeStream.foreachBatch(watch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -51,6 +51,30 @@ def test_asof_both_directions(spark, rows):
         assert x.f_rt == (fwd if fwd is not None and fwd - x.t <= 40 else None)
 
 
+@pytest.mark.parametrize("kind", ["burst", "instant"])
+def test_slices_follow_rows_not_time(spark, kind):
+    r = random.Random(6)
+    # Nearly all rows of one user in one hour, or in one instant, of ten years.
+    when = lambda i: r.randrange(10 ** 11) if i % 20 == 0 else (10 ** 10 + r.randrange(3_600_000) if kind == "burst" else 10 ** 10)
+    df = spark.createDataFrame([("hot", when(i), i) for i in range(20_000)] + [("cold", i, i) for i in range(500)], "user string, t long, id long")
+    cold, hot = S.split_hot(df, ["user"], ["t"], 1000)
+    assert cold.count() == 500 and hot.count() == 20_000
+    slices = hot.groupBy(S.BUCKET).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy(S.BUCKET).collect()
+    assert max(s.n for s in slices) <= 2000
+    assert all(a.hi <= b.lo for a, b in zip(slices, slices[1:]))
+    assert S.split_hot(df, ["user"], ["t"], 30_000)[1] is None
+
+
+@pytest.mark.parametrize("rows", [50, 10_000])
+def test_asof_within_one_instant(spark, rows):
+    left = [("a", 5, i) for i in range(600)] + [("a", 4, 600), ("a", 6, 601), (None, 5, 602)]
+    right = [("a", 5, 1.0), ("a", 9, 2.0), (None, 5, 3.0)]
+    out = S.asof(spark.createDataFrame(left, "user string, t long, id int"), spark.createDataFrame(right, "user string, rt long, v double"),
+                 ["user"], "t", "rt", ["v"], {"backward": "b_", "forward": "f_"}, None, rows).collect()
+    got = {x.id: (x.b_v, x.f_v) for x in out}
+    assert got == {i: (1.0, 1.0) for i in range(600)} | {600: (None, 1.0), 601: (1.0, 2.0), 602: (3.0, 3.0)}
+
+
 def test_affine_scan_survives_underflow(spark):
     r = random.Random(3)
     data = [("k", i, 0.0 if i == 0 or r.random() < 0.002 else (1.0 if r.random() < 0.3 else r.uniform(0.01, 0.9)), r.uniform(0, 10))
@@ -84,6 +108,15 @@ def test_ranks_and_quantiles(spark):
     assert [u for u, _ in sorted(pos.items(), key=lambda i: i[1])] == sorted(u for g, u, _ in data if g == "g")
 
 
+def test_quantiles_of_a_value_that_most_rows_share(spark):
+    data = [("g", 7.0)] * 900 + [("g", float(v)) for v in range(100)] + [("h", 1.0), ("h", 4.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {x.k: x for x in K.exact_quantiles(df, ["k"], "v", nearest={"p0": 0.0, "p95": 0.95, "p99": 0.99}, size="n").collect()}
+    s = sorted(v for k, v in data if k == "g")
+    assert (got["g"].median, got["g"].p0, got["g"].p95, got["g"].p99, got["g"].n) == (7.0, 0.0, s[int(999 * 0.95 + 0.5)], s[int(999 * 0.99 + 0.5)], 1000)
+    assert (got["h"].median, got["h"].n) == (2.5, 2)
+
+
 def test_value_bucket_is_monotone(spark):
     vals = sorted([0.0, 5e-324, 1e-300, 0.1, 0.1000001, 1.0, 1.5, 2.0, 1e10, 1e300] + [-5e-324, -0.1, -1.0, -1e300])
     df = spark.createDataFrame([(v,) for v in vals], "v double")

@@ -37,58 +37,59 @@ def tape(seed, n=600, users=("hot", "cold"), gaps=True):
     return rows
 
 
-def walk(perp):
-    """Round trips and gross exposure by a plain loop."""
-    trades, gross = [], {}
-    groups = {}
-    for r in sorted(perp, key=lambda x: (x.time_ms, x.tid, x.leg)):
-        groups.setdefault((r.user, r.coin), []).append(r)
-        book = gross.setdefault(r.user, {"now": {}, "path": []})
-        book["now"][r.coin] = abs(r.position_after) * r.px
-        book["path"].append((r.time_ms, r.tid, r.leg, sum(book["now"].values())))
-    for (user, coin), g in groups.items():
-        t = None
-        for r in g:
-            s, a, q, px = r.start_position, r.position_after, r.signed_sz, r.px
-            if t is None or s == 0:
-                if t:
-                    trades.append(t)
-                t = dict(user=user, coin=coin, opened_ms=r.time_ms, closed_ms=None, long=q > 0, n=0, adds=0, losing=0, part=0, avg=px, mx=0.0, pnl=0.0)
-            t["n"] += 1
-            t["pnl"] += r.closed_pnl - r.fee
-            up = abs(a) > abs(s)
-            if up and s != 0:
-                t["adds"] += 1
-                t["losing"] += (px < t["avg"]) if t["long"] else (px > t["avg"])
-            if up:
-                t["avg"] = (t["avg"] * abs(s) + px * abs(q)) / abs(a)
-            elif a != 0:
-                t["part"] += 1
-            t["mx"] = max(t["mx"], abs(a) * px, abs(s) * px)
-            if a == 0:
-                t["closed_ms"] = r.time_ms
-                trades.append(t)
-                t = None
-        if t:
-            trades.append(t)
-    return trades, gross
-
-
-@pytest.mark.parametrize("rows", [9, 10_000])
-def test_round_trips_and_exposure_match_a_loop(spark, rows):
+def legs(*rows):
+    """Fills (user, coin, time, dir, px, signed size, position before, realized PnL) with a fee of 1 each."""
+    return [(u, t, c, "B" if q > 0 else "A", d, px, abs(q), start, pnl, 1.0, False, i, i) for i, (u, c, t, d, px, q, start, pnl) in enumerate(rows)]
+
+
+TAPE = legs(
+    ("a", "BTC", 1, "Open Long", 100.0, 2.0, 0.0, 0.0), ("a", "BTC", 2, "Open Long", 90.0, 2.0, 2.0, 0.0),      # 4 at 95, the add below the entry
+    ("a", "BTC", 3, "Close Long", 110.0, -1.0, 4.0, 15.0), ("a", "BTC", 4, "Close Long", 120.0, -3.0, 3.0, 75.0),
+    ("a", "BTC", 5, "Open Short", 120.0, -5.0, 0.0, 0.0), ("a", "BTC", 6, "Short > Long", 100.0, 8.0, -5.0, 100.0),       # flips to 3 at 100
+    ("a", "BTC", 7, "Open Long", 112.0, 2.0, 10.0, 0.0),      # the fills from 3 to 10 are lost
+    ("a", "ETH", 5, "Open Long", 10.0, 1.0, 0.0, 0.0),
+    ("b", "ETH", 1, "Open Short", 50.0, -1.0, 0.0, 0.0), ("b", "ETH", 2, "Open Short", 60.0, -1.0, -1.0, 0.0),     # 2 at 55, against the position
+    ("b", "ETH", 3, "Open Short", 40.0, -2.0, -2.0, 0.0), ("b", "ETH", 4, "Close Short", 45.0, 4.0, -4.0, 10.0))
+# user, coin, opened, closed, side, fills, adds, adds at a loss, partial exits, initial and largest notional, entry, net PnL
+TRADES = [
+    ("a", "BTC", 1, 4, "long", 4, 1, 1, 1, 200.0, 440.0, 95.0, 86.0),
+    ("a", "BTC", 5, 6, "short", 2, 0, 0, 0, 600.0, 600.0, 120.0, 100.0 - 1.0 - 5 / 8),
+    ("a", "BTC", 6, None, "long", 2, 1, 0, 0, 300.0, 1344.0, 102.0, -1.0 - 3 / 8),
+    ("a", "ETH", 5, None, "long", 1, 0, 0, 0, 10.0, 10.0, 10.0, -1.0),
+    ("b", "ETH", 1, 4, "short", 4, 2, 1, 0, 50.0, 180.0, 47.5, 6.0)]
+GROSS = {("a", 1, ""): 200.0, ("a", 2, ""): 360.0, ("a", 3, ""): 330.0, ("a", 4, ""): 0.0, ("a", 6, "close"): 10.0, ("a", 6, "open"): 310.0, ("a", 7, ""): 1354.0,
+         ("b", 1, ""): 50.0, ("b", 2, ""): 120.0, ("b", 3, ""): 160.0, ("b", 4, ""): 0.0}
+
+
+@pytest.mark.parametrize("rows", [2, 10_000])
+def test_round_trips_and_exposure_of_a_known_tape(spark, rows):
+    perp = H.perp_fills(spark.createDataFrame(TAPE, FILLS)).persist()
+    got = sorted((t.user, t.coin, t.opened_ms, t.closed_ms, t.side, t.n_fills, t.n_adds, t.n_adds_losing, t.n_partial_exits, t.initial_notional,
+                  t.max_notional, round(t.avg_entry, 9), round(t.pnl_net, 9)) for t in H.round_trips(perp, rows).collect())
+    assert got == TRADES
+    path = {(r.user, r.time_ms, r.leg): r.gross for r in H.gross_notional(perp, rows).collect() if (r.user, r.time_ms) != ("a", 5)}
+    assert path == pytest.approx(GROSS)
+
+
+def test_round_trips_account_for_every_fill_whatever_the_slices(spark):
     perp = H.perp_fills(spark.createDataFrame(tape(1), FILLS)).persist()
-    trades, gross = walk(perp.collect())
-    got = H.round_trips(perp, rows).collect()
-    key = lambda t: (t["user"], t["coin"], t["opened_ms"])
-    assert len(got) == len(trades)
-    for a, b in zip(sorted(got, key=key), sorted(trades, key=key)):
-        assert (a.closed_ms, a.n_fills, a.n_adds, a.n_adds_losing, a.n_partial_exits, a.side == "long") == (
-            b["closed_ms"], b["n"], b["adds"], b["losing"], b["part"], b["long"])
-        assert a.avg_entry == pytest.approx(b["avg"]) and a.max_notional == pytest.approx(b["mx"]) and a.pnl_net == pytest.approx(b["pnl"])
-    path = {(r.user, r.time_ms, r.tid, r.leg): r.gross for r in H.gross_notional(perp, rows).collect()}
-    for u, g in gross.items():
-        for t, tid, leg, x in g["path"]:
-            assert path[(u, t, tid, leg)] == pytest.approx(x, abs=1e-6)
+    fills = perp.toPandas()
+    whole, cut = ({(t.user, t.coin, t.opened_ms, t.open_tid, t.open_leg): t.asDict() for t in H.round_trips(perp, n).collect()} for n in (10_000, 9))
+    assert whole.keys() == cut.keys() and len(whole) > 50
+    for k, t in whole.items():
+        assert {c: v for c, v in t.items() if not isinstance(v, float)} == {c: v for c, v in cut[k].items() if not isinstance(v, float)}
+        assert {c: v for c, v in t.items() if isinstance(v, float)} == pytest.approx({c: v for c, v in cut[k].items() if isinstance(v, float)})
+        assert t["n_adds_losing"] <= t["n_adds"] and t["initial_notional"] <= t["max_notional"] + 1e-9
+    assert sum(t["n_fills"] for t in whole.values()) == len(fills)
+    assert sum(t["pnl_net"] for t in whole.values()) == pytest.approx((fills.closed_pnl - fills.fee).sum())
+    # Gross: the last value of each coin, summed.
+    fills["x"] = fills.position_after.abs() * fills.px
+    for n in (10_000, 9):
+        path = {(r.user, r.time_ms, r.tid, r.leg): r.gross for r in H.gross_notional(perp, n).collect()}
+        for user, g in fills.groupby("user"):
+            wide = g.sort_values(["time_ms", "tid", "leg"]).set_index(["time_ms", "tid", "leg"]).pivot(columns="coin", values="x")
+            for at, total in wide.sort_index().ffill().fillna(0).sum(axis=1).items():
+                assert path[(user, *at)] == pytest.approx(total, abs=1e-6)
 
 
 def test_flip_is_split(spark):
@@ -216,11 +217,64 @@ def test_truncated_gzip_and_incremental_normalization(spark, tmp_path):
     assert sorted(r.tid for r in tables.read_table(spark, out, "fills").collect()) == [1, 2, 3]
 
 
+def test_damage_is_quarantined_and_read_again_when_mended(spark, tmp_path):
+    folder = tmp_path / "raw" / "fills" / "date=2026-01-01"
+    folder.mkdir(parents=True)
+    text = "".join(envelope("0xA", [fill(i)]) + "\n" for i in range(2000)).encode()
+    good = gzip.compress(text)
+    bad = bytearray(good)
+    bad[len(bad) // 2] ^= 0xFF
+    (folder / "whole.jsonl.gz").write_bytes(gzip.compress((envelope("0xB", [fill(7)]) + "\n").encode()) + b"\0" * 20)
+    (folder / "flipped.jsonl.gz").write_bytes(bytes(bad))
+    (folder / "text.jsonl.gz").write_bytes(b"no gzip at all")
+    (folder / "cut.jsonl.gz").write_bytes(good[:len(good) // 2])
+    states = {r.path.rpartition("/")[2].split(".")[0]: r.state for r in raw.gzip_states(spark, str(tmp_path / "raw")).collect()}
+    assert states == {"whole": "whole", "flipped": "damaged", "text": "damaged", "cut": "truncated"}
+    out, run = str(tmp_path / "out"), lambda: tables.normalize_incremental(spark, str(tmp_path / "raw"), out, ["fills"], -60)
+    run()
+    users = lambda: {r.run: r.n for r in tables.read_table(spark, out, "fills").groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert users()["whole"] == 1 and 0 < users()["cut"] < 2000 and set(users()) == {"whole", "cut"}
+    reasons = {(r.path.rpartition("/")[2], r.reason) for r in spark.read.parquet(f"{out}/{tables.QUARANTINE}/fills").collect()}
+    assert reasons >= {("flipped.jsonl.gz", "damaged file"), ("text.jsonl.gz", "damaged file")}
+    (folder / "flipped.jsonl.gz").write_bytes(good)
+    (folder / "text.jsonl.gz").unlink()
+    run()
+    assert users()["flipped"] == 2000 and run() == {"fills": 0}
+
+
+def test_stream_ingest_reads_files_that_grow(spark, tmp_path):
+    folder = tmp_path / "raw" / "fills" / "date=2026-01-01"
+    folder.mkdir(parents=True)
+    path, out = folder / "r.jsonl.gz", str(tmp_path / "out")
+    one, two = (gzip.compress((envelope("0xA", [fill(i)]) + "\n").encode()) for i in (1, 2))
+    ingest = lambda settle: jobs.stream_ingest(spark, str(tmp_path / "raw" / "fills"), "fills", out, str(tmp_path / "log"), settle_seconds=settle).awaitTermination()
+    path.write_bytes(one)
+    ingest(300)
+    assert tables.read_table(spark, out, "fills") is None       # it may still be written
+    ingest(-60)
+    assert [r.tid for r in tables.read_table(spark, out, "fills").collect()] == [1]
+    path.write_bytes(one + two)
+    later = path.stat().st_mtime + 5
+    os.utime(path, (later, later))
+    ingest(-60)
+    assert sorted(r.tid for r in tables.read_table(spark, out, "fills").collect()) == [1, 2]
+
+
+def test_repeated_keys_keep_the_last_value(spark):
+    series = {"accountValueHistory": [[5, "1.0"], [6, "2.0"]], "pnlHistory": [[5, "10"], [6, "20"], [5, "30"]]}
+    lines = [envelope("0xA", [["day", series]]), envelope("0xA", [["day", {"accountValueHistory": [[1, "1"]], "pnlHistory": []}]])]
+    rows = raw.equity_rows(raw.parse_records(spark.createDataFrame([(x,) for x in lines], "value string"))).collect()
+    assert sorted((r.time_ms, r.pnl) for r in rows if r.time_ms > 1) == [(5, 30.0), (6, 20.0)] and [r.pnl for r in rows if r.time_ms == 1] == [None]
+    board = {"leaderboardRows": [{"ethAddress": "0xA", "accountValue": "1", "windowPerformances": [["day", {"pnl": "1", "roi": "2"}], ["week", {"pnl": "3"}], ["Day", {"pnl": "4"}]]}]}
+    r = raw.leaderboard_rows(raw.parse_records(spark.createDataFrame([(envelope("0xA", board),)], "value string"))).collect()[0]
+    assert (r.day_pnl, r.day_roi, r.week_pnl) == (4.0, None, 3.0)
+
+
 def test_stream_ingest_quarantines(spark, tmp_path):
     folder = tmp_path / "raw" / "fills" / "date=2026-01-01"
     folder.mkdir(parents=True)
     (folder / "r.jsonl.gz").write_bytes(gzip.compress((envelope("0xA", [fill(1)]) + '\n{"platform": "p", "payl').encode()))
     jobs.stream_ingest(spark, str(tmp_path / "raw" / "fills"), "fills", str(tmp_path / "out"), str(tmp_path / "log"),
-                       str(tmp_path / "bad")).awaitTermination()
+                       str(tmp_path / "bad"), settle_seconds=-60).awaitTermination()
     assert [r.tid for r in tables.read_table(spark, str(tmp_path / "out"), "fills").collect()] == [1]
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
