@@ -16,8 +16,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import byte_texts, drop, slices, table
+from .common import byte_texts, drop, slices, table, tuck, untuck
 from .graph import components, merge
 from .tokens import LENGTH_MIX, POWERS, VALUES
 
@@ -72,14 +73,18 @@ def paragraphs(texts: list[bytes]) -> Units:
     line = np.searchsorted(lines, starts) - 1
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts - 1, side="right")
     opens = np.concatenate([[True], line[1:] != line[:-1]])
-    # Lowest of the neighbourhood: lower than those before, not higher than those after.
-    ahead = np.concatenate([word, np.zeros(2, np.uint64)])
-    value = mixed(ahead[:n] * np.uint64(3) + ahead[1:n + 1] * np.uint64(5) + ahead[2:n + 2] * np.uint64(7))
+    # Lowest of the neighbourhood: lower than those before, not higher than those after; other texts do not count.
+    ahead, whose = np.concatenate([word, np.zeros(REACH, np.uint64)]), np.concatenate([np.full(REACH, -1), owner, np.full(REACH, -1)])
+    value = word * np.uint64(3)
+    for k, factor in ((1, 5), (2, 7)):
+        value = value + np.where(whose[REACH + k:REACH + k + n] == owner, ahead[k:k + n], np.uint64(0)) * np.uint64(factor)
+    value = mixed(value)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     padded = np.concatenate([np.full(REACH, top), value, np.full(REACH, top)])
     lowest = np.ones(n, bool)
     for k in range(1, REACH + 1):
-        lowest &= (value < padded[REACH - k:REACH - k + n]) & (value <= padded[REACH + k:REACH + k + n])
+        before, after = slice(REACH - k, REACH - k + n), slice(REACH + k, REACH + k + n)
+        lowest &= ((value < padded[before]) | (whose[before] != owner)) & ((value <= padded[after]) | (whose[after] != owner))
     first_of_line = np.flatnonzero(opens)
     long = np.repeat(np.diff(np.append(first_of_line, n)) > LONGEST, np.diff(np.append(first_of_line, n)))
     begin = np.flatnonzero(opens | lowest & long)
@@ -157,9 +162,19 @@ def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("_doc", "_tie", "text").join(rows, ["_doc", "_tie"]).select("text", "places").mapInArrow(run, "content long, shingles binary")
 
 
-def near_links(candidates: DataFrame, sets: DataFrame, similarity: float, cell: int = 1024) -> DataFrame:
+def pair_overlaps(keys: np.ndarray, base: int, tokens: np.ndarray, first: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a[i] and b[i]; keys: sorted set * base + token of all sets."""
+    size = count[a]
+    begin = np.cumsum(size) - size
+    wanted = np.repeat(b, size) * base + tokens[np.repeat(first[a] - begin, size) + np.arange(int(size.sum()))]
+    hit = keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+    return np.add.reduceat(hit, begin, dtype=np.int64)
+
+
+def near_links(candidates: DataFrame, sets: DataFrame, similarity: float, cell: int = 1024, bucket: int = 4096) -> DataFrame:
     """Links (a, b) of contents in candidates (band, value, content; distinct) whose sets reach `similarity`: the same
-    components as all such pairs have. A long list of a value is cut into a grid of cells, blocks by blocks."""
+    components as all such pairs have. A long list of a value is cut into a grid of cells, blocks by blocks; a task takes
+    buckets of about `bucket` rows, cells and short lists together."""
     key = ["band", "value"]
     lists = candidates.join(sets, "content")
     sizes = table(candidates.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks")), "lists")
@@ -167,24 +182,52 @@ def near_links(candidates: DataFrame, sets: DataFrame, similarity: float, cell:
     # Block i meets block j in cell (smaller, larger).
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("lo"), F.greatest(j, block).alias("hi")))
     placed = lists.join(sizes, key).select(*key, "content", "shingles", block.alias("block"), F.explode(cells).alias("c")).select("*", "c.lo", "c.hi").drop("c")
-
-    def verify(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("content").sort_values("content")
-        ids, label = rows.content.to_numpy(), np.arange(len(rows))
-        sets = [np.frombuffer(s, np.uint64) for s in rows.shingles]
-        sizes = np.array([len(s) for s in sets])
-        home, asking = np.flatnonzero(rows.block == group[2]), np.flatnonzero(rows.block == group[3])
-        for i in range(0, len(asking), 128):
-            if not len(home):
-                break
-            some = asking[i:i + 128]
-            both = overlap([sets[h] for h in home], [sets[a] for a in some])
-            a, b = np.nonzero(both >= similarity * (sizes[some][:, None] + sizes[home][None, :] - both) - 1e-9)
-            merge(label, some[a], home[b])
+    buckets = max(1, candidates.count() // bucket)
+    where = F.pmod(F.xxhash64(*key, "lo", "hi"), F.lit(buckets)).alias("bucket")
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*key, "lo", "hi", "content"])
+        ids, at, own = np.unique(rows.content.to_numpy(), return_index=True, return_inverse=True)
+        sets = [np.frombuffer(s, np.uint64) for s in rows.shingles.iloc[at]]
+        count = np.array([len(s) for s in sets])
+        first = np.cumsum(count) - count
+        base, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+        keys = np.sort(np.repeat(np.arange(len(ids)), count) * len(base) + tokens)
+        label = np.arange(len(ids))
+
+        def judge(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> None:
+            near = both >= similarity * (count[a] + count[b] - both) - 1e-9
+            merge(label, a[near], b[near])
+
+        place = rows[[*key, "lo", "hi"]].to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1)]))
+        size = np.diff(np.append(begin, len(rows)))
+        lo, hi, block = rows.lo.to_numpy(), rows.hi.to_numpy(), rows.block.to_numpy()
+        short = (size <= 64) & (lo[begin] == hi[begin])
+        # Short lists: each row with those before it in its list.
+        rank = np.where(np.repeat(short, size), np.arange(len(rows)) - np.repeat(begin, size), 0)
+        upto = np.cumsum(rank)
+        i = 0
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 300_000, side="right")))
+            n = rank[i:j]
+            a = np.repeat(np.arange(i, j), n)
+            b = np.repeat(np.arange(i, j) - n - (np.cumsum(n) - n), n) + np.arange(len(a))
+            if len(a):
+                judge(own[a], own[b], pair_overlaps(keys, len(base), tokens, first, count, own[a], own[b]))
+            i = j
+        for k in np.flatnonzero(~short).tolist():
+            part = slice(begin[k], begin[k] + size[k])
+            home, asking = own[part][block[part] == lo[begin[k]]], own[part][block[part] == hi[begin[k]]]
+            for i in range(0, len(asking) if len(home) else 0, 128):
+                some = asking[i:i + 128]
+                both = overlap([sets[h] for h in home], [sets[x] for x in some])
+                a, b = np.nonzero(both)
+                judge(some[a], home[b], both[a, b])
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": ids[label[linked]], "b": ids[linked]})
 
-    return placed.groupBy(*key, "lo", "hi").applyInPandas(verify, "a long, b long")
+    return placed.select("*", where).groupBy("bucket").applyInPandas(verify, "a long, b long")
 
 
 def cut_texts(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -212,8 +255,8 @@ def cut_texts(docs: DataFrame, columns: list[str]) -> DataFrame:
                 made |= {"text": pa.array(out, pa.string()), "n_paragraphs": pa.array(np.diff(begin).astype(np.int64))}
                 yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
-    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + ["text string", "n_paragraphs long"]
-    return docs.select(*columns, "text", "gone").mapInArrow(run, ", ".join(schema))
+    schema = StructType([*[docs.schema[c] for c in [*columns, "text"]], StructField("n_paragraphs", LongType())])
+    return docs.select(*columns, "text", "gone").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
@@ -227,8 +270,10 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
 
     Contents are pre-aggregated before every shuffle, and only those that share a band's value with another paragraph
     go beyond counting; their sets are read again from their texts, not stored for all."""
-    docs = docs.drop("n_paragraphs", "n_removed", "words_removed", "origins", "gone")
-    docs = docs.select("*", F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.xxhash64("text").alias("_tie"))
+    own = ["n_paragraphs", "n_removed", "words_removed", "origins"]
+    given = docs.drop(*own)
+    tucked = tuck(given, "doc_id", "text")
+    docs = tucked.select("*", F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.xxhash64("text").alias("_tie"))
     bands = tune(similarity, recall)
     units = unit_table(docs, bands)
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"s{k}").alias("value")) for k in range(bands)]))
@@ -262,4 +307,4 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
     marked = docs.join(removed, ["_doc", "_tie"], "left").select(
         *kept, "text", "gone", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"),
         F.coalesce("origins", F.array().cast("array<bigint>")).alias("origins"))
-    return cut_texts(marked, [*kept, "n_removed", "words_removed", "origins"])
+    return cut_texts(marked, [*kept, "n_removed", "words_removed", "origins"]).select(*untuck(tucked, given), *own)
