@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .blocks import TABLE
+from .common import tuck, untuck
 
 # Element names of the HTML standard.
 SKIPPED = {"script", "style", "noscript", "template", "textarea", "select", "button", "form", "svg", "math", "iframe", "object", "head",
@@ -229,7 +230,9 @@ def main_text(html: str, tree: Node) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """`pages` (html, other columns) without html, with `text`, the main text (empty if there is none; a null page is empty),
     and `n_chars`, its code points; columns of these names are replaced. One pass over the pages, a row at a time."""
-    kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
+    given = pages.drop("text", "n_chars")
+    pages = tuck(given, "html")
+    kept = pages.columns[1:]
     tree = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,4 +245,4 @@ def extract(pages: DataFrame) -> DataFrame:
                                                   pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"])
 
     schema = StructType([*[pages.schema[c] for c in kept], StructField("text", StringType()), StructField("n_chars", LongType())])
-    return pages.drop("text", "n_chars").mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema).select(*untuck(pages, given, "html"), "text", "n_chars")

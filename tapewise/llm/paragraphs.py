@@ -288,7 +288,8 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
     several = found.groupBy("band", "value").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo < hi").select("band", "value")
     candidates = table(found.join(several, ["band", "value"]), "candidates")
     near = candidates.select("content").distinct()
-    one = occurrences.join(near, "content").groupBy("content").agg(F.min(F.struct("_doc", "_tie", "place")).alias("at")).select("at.*")
+    # A content that many documents share is one row per task before the join.
+    one = occurrences.groupBy("content").agg(F.min(F.struct("_doc", "_tie", "place")).alias("at")).join(near, "content").select("at.*")
     sets = table(shingle_table(docs, one).groupBy("content").agg(F.first("shingles").alias("shingles")), "sets")
     linked = components(near_links(candidates, sets, similarity))
     drop(found, candidates, sets, repeated)

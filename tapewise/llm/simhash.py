@@ -54,7 +54,9 @@ def text_fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """`docs` (text, other columns) without text, with `fp`, the fingerprint as a signed long; a column of that name is
     replaced. A null or empty text has fingerprint 0."""
-    kept = [c for c in docs.columns if c not in ("text", "fp")]
+    given = docs.drop("fp")
+    docs = tuck(given, "text")
+    kept = docs.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +66,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 rest = [batch.column(c).slice(lo, hi - lo) for c in kept]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(fp)], [*kept, "fp"])
 
-    return docs.drop("fp").mapInArrow(run, StructType([*[docs.schema[c] for c in kept], StructField("fp", LongType())]))
+    found = docs.mapInArrow(run, StructType([*[docs.schema[c] for c in kept], StructField("fp", LongType())]))
+    return found.select(*untuck(docs, given, "text"), "fp")
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:

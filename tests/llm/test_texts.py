@@ -29,6 +29,13 @@ def test_words_and_windows():
         assert all(b - a <= toxicity.STRIDE for a, b in zip(first, first[1:]))
 
 
+def test_words_by_slices():
+    texts = [b"", b"One, two's \xc3\xa9t\xc3\xa9!", b"x" * 300, b"one one TWO", b"", b"three ets"]
+    whole, parts = toxicity.words_of(texts), toxicity.all_words(texts, 5)
+    assert whole.begins.tolist() == parts.begins.tolist() and whole.which.tolist() == parts.which.tolist()
+    assert whole.hashes.tolist() == parts.hashes.tolist() and whole.grams.tolist() == parts.grams.tolist()
+
+
 def test_gradients_are_those_of_the_loss():
     words = toxicity.words_of([b"an idiot is here now", b"all good words here", b"x"])
     net = toxicity.Network.new(words.hashes[:3], 5, 4, 3)
