@@ -49,7 +49,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     df = df.select(*kept, *numbers, lines.cast("long").alias("n_lines"), (lines - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
                    windows.alias("_w"))
     several = F.size(F.array_distinct("_w")) < F.size("_w")
-    placed = F.when(several, F.array_sort(F.transform("_w", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
+    placed = F.when(several, F.sort_array(F.transform("_w", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
     df = df.select(*kept, *numbers, "n_lines", "n_dup_lines", placed.alias("_s"))
     rest = F.size("_s") - 1
     twins = F.filter(F.zip_with(F.slice("_s", F.lit(1), rest), F.slice("_s", F.lit(2), rest), lambda a, b: F.struct(
@@ -173,7 +173,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> lis
     """Rules from at most `sample` labelled documents (those with the smallest hash) that pass the base limits."""
     marked = labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality")
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = text_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).filter(~base_failed()).collect()     # at most `sample`
+    rows = text_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).collect()     # at most `sample`
+    # Here, not by a Spark filter: that would be pushed below the steps of the statistics and compute them again.
+    rows = [r for r in rows if r.n_words >= MIN_WORDS and 100 * r.n_repeat_words <= MAX_REPEAT_PERCENT * r.n_words]
     rows.sort(key=lambda r: (r.doc_id, r.quality, *[r[c] for c in STATISTICS]))
     if not rows:
         return []
