@@ -32,7 +32,7 @@ def windows(docs: DataFrame, keys: list[Column], width: int = 3) -> DataFrame:
         chain = F.zip_with(chain, F.slice("_lines", F.lit(k + 1), count), lambda c, x: F.struct(
             F.xxhash64(c["w1"], x["h1"]).alias("w1"), F.xxhash64(c["w2"], x["h2"]).alias("w2"), c["first"].alias("first"), x["i"].alias("last")))
     names = [c for c in df.columns if c != "_lines"]
-    df = df.select(*names, F.array_sort(chain).alias("_chain"))
+    df = df.select(*names, F.sort_array(chain).alias("_chain"))
     before = F.slice(F.concat(F.slice("_chain", 1, 1), F.col("_chain")), F.lit(1), F.size("_chain"))
     marked = F.zip_with("_chain", before, lambda c, p: F.struct(
         c["w1"].alias("w1"), c["w2"].alias("w2"), c["first"].alias("first"), c["last"].alias("last"),
@@ -59,8 +59,9 @@ def remove_repeats(docs: DataFrame, width: int = 3) -> DataFrame:
     later = later.unionByName(found.filter("again").select("_doc", "_tie", "first", "last"))
     covered = table(later.groupBy("_doc", "_tie").agg(F.collect_set(F.struct("first", "last")).alias("_spans")), "covered")     # of one text
     drop(found, repeated)
-    rows = docs.select("*", *mark).join(covered, ["_doc", "_tie"], "left").drop("_doc", "_tie")
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["last"])))))
+    # Always by a shuffle: what is covered grows with the texts, so the plan is the same at every size.
+    rows = docs.select("*", *mark).join(covered.hint("merge"), ["_doc", "_tie"], "left").drop("_doc", "_tie")
+    gone = F.sort_array(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["last"])))))
     rows = rows.withColumn("_gone", F.when(F.col("_spans").isNotNull(), gone)).drop("_spans")
     lines, gone, n = lines_of(F.col("text")), F.col("_gone"), F.size("_gone")
     # For each removed position, the kept ones before it; then those after the last: one flag per line.
