@@ -119,7 +119,8 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, pivots: int = 256
     asking = F.transform(F.sequence(F.lit(0), F.col("mines") - 1), lambda i: F.struct((i * F.col("parts") + part).cast("int").alias("cell"), F.lit(False).alias("home")))
     at_home = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct((mine * F.col("parts") + j).cast("int").alias("cell"), F.lit(True).alias("home")))
     cells = placed.select(*key, "cid", "size", "near", "vec", F.explode(F.when(F.col("home"), F.concat(asking, at_home)).otherwise(asking)).alias("c"))
-    cells = cells.select(*key, "cid", "size", "near", "vec", "c.cell", "c.home")
+    # Dealt out by cell: a partitioning by list alone would bring the cells of a long list together again.
+    cells = cells.select(*key, "cid", "size", "near", "vec", "c.cell", "c.home").repartition(*key, "cell")
 
     def cell_links(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
         pivot = int(group[2])
