@@ -9,6 +9,7 @@ window of toxic texts and the highest windows of the others."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import byte_texts, slices
+from .common import byte_texts, slices, tuck, untuck
 from .tokens import LENGTH_MIX, POWERS, VALUES
 
 WINDOW, STRIDE = 64, 48
@@ -69,6 +70,27 @@ def words_of(texts: list[bytes]) -> Words:
     return Words(which, begins, hashes, sizes, grams.astype(np.int64))
 
 
+def all_words(texts: list[bytes], limit: int = 1 << 20) -> Words:
+    """As `words_of`, over slices of about `limit` bytes: what is kept is little beside the arrays that each needs."""
+    parts, held = [[]], 0
+    for t in texts:
+        if held > limit:
+            parts.append([])
+            held = 0
+        parts[-1].append(t)
+        held += len(t)
+    found = [words_of(p) for p in parts]
+    hashes, at, inverse = np.unique(np.concatenate([w.hashes for w in found]), return_index=True, return_inverse=True)
+    base = np.cumsum([0] + [len(w.hashes) for w in found])
+    which = np.concatenate([inverse[b + w.which].astype(np.int32) for b, w in zip(base, found)])
+    begins = np.concatenate([[0]] + [w.begins[1:] for w in found])
+    counts = np.cumsum([0] + [len(w.which) for w in found])
+    begins[1:] += np.repeat(counts[:-1], [len(p) for p in parts])
+    sizes, grams = np.concatenate([w.sizes for w in found]), np.concatenate([w.grams for w in found])
+    own, first = sizes[at], (np.cumsum(sizes) - sizes)[at]
+    return Words(which, begins, hashes, own, grams[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))])
+
+
 def windows_of(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, words, text) of all windows, edges included: every STRIDE words, and the last WINDOW words of a text.
     A text without a word of its own has none."""
@@ -152,8 +174,13 @@ class Network:
         return np.where(found, at + 1, 0)
 
     def inputs(self, numbers: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        means = np.add.reduceat(self.p["gram"][grams], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
-        return self.p["word"][numbers] + means
+        out, ends = self.p["word"][numbers], np.cumsum(sizes)
+        for i in range(0, len(sizes), 1 << 15):         # blocks: a word has a vector per byte
+            part = slice(i, i + (1 << 15))
+            begin = (ends - sizes)[part]
+            sums = np.add.reduceat(self.p["gram"][grams[begin[0]:ends[part][-1]]], begin - begin[0], axis=0)
+            out[part] += sums / sizes[part, None].astype(np.float32)
+        return out
 
     def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray | None, keep: bool = False) -> tuple[np.ndarray, tuple]:
         p = self.p
@@ -214,15 +241,15 @@ class Network:
         return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, steps: tuple[int, int] = (100, 300), batch: int = 128, rate: float = 5e-3,
+def train(texts: list[bytes], labels: np.ndarray, steps: tuple[int, int] = (60, 140), batch: int = 128, rate: float = 5e-3,
           known_words: int = 4096, seed: int = 5) -> Network | None:
     """A network from texts and 0/1 labels; None unless there are both kinds. Words in three texts or more get vectors,
     the `known_words` most frequent ones at most."""
     if not len(labels) or labels.min() == labels.max():
         return None
-    rng, words = np.random.default_rng(seed), words_of(texts)
+    rng, words = np.random.default_rng(seed), all_words(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(words.begins))
-    held = np.bincount(np.unique(words.which * len(texts) + owner) // len(texts), minlength=len(words.hashes))
+    held = np.bincount(np.unique(words.which.astype(np.int64) * len(texts) + owner) // len(texts), minlength=len(words.hashes))
     often = np.argsort(-held, kind="stable")[:known_words]
     net = Network.new(words.hashes[often[held[often] >= 3]])
     numbers, offsets, ramp = net.numbers(words.hashes), np.cumsum(words.sizes) - words.sizes, np.arange(WINDOW)
@@ -266,7 +293,7 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000) -> Network | None:
     """A network from at most `toxic` and `clean` labelled documents (those with the smallest hash) that are not held
-    out; they come to the driver."""
+    out: one task trains on them, the driver gets the parameters."""
     free = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = None
     for kind, sample in ((0, clean), (1, toxic)):
@@ -274,14 +301,23 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 40
         chosen = some if chosen is None else chosen.unionByName(some)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         "doc_id", "toxic", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).orderBy(F.xxhash64("doc_id", "text")).limit(toxic + clean)
-    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.toxic, bytes(r.text)))        # at most as many
-    return train([bytes(r.text) for r in rows], np.array([r.toxic for r in rows], np.int64))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))))     # at most as many
+        if rows:
+            network = train([r[2] for r in rows], np.array([r[1] for r in rows], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)])], ["network"])
+
+    made = found.coalesce(1).mapInArrow(fit, "network binary").collect()
+    return pickle.loads(bytes(made[0].network)) if made else None
 
 
 def score(docs: DataFrame, network: Network | None, keep_text: bool = False) -> DataFrame:
     """`docs` (text, other columns), without text unless it is to be kept, with `score`; columns of that name are
     replaced. Without a network every score is 0; a null text or one without a word has 0."""
-    kept = [c for c in docs.columns if c not in ("score", "text")]
+    given = docs.drop("score")
+    docs = tuck(given, "text")
+    kept = docs.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +329,7 @@ def score(docs: DataFrame, network: Network | None, keep_text: bool = False) ->
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = StructType([*[docs.schema[c] for c in kept], *[docs.schema["text"]] * keep_text, StructField("score", DoubleType())])
-    return docs.drop("score").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).select(*untuck(docs, given, *(() if keep_text else ("text",))), "score")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
