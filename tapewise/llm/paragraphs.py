@@ -2,9 +2,11 @@
 
 A paragraph is a line; a line of more than LONGEST words is cut further where the hash of three words is the lowest
 among REACH neighbours on either side. Such cuts depend on the words around them alone, so a passage that was pasted
-into other text falls into the same paragraphs there, but for its ends. A paragraph is compared by its set of five-word
-shingles. Bands of MinHash values, tuned for recall, name candidates; candidates are verified by the exact Jaccard
-similarity of their sets; equal and linked paragraphs make components, and only the first of each component stays."""
+into other text falls into the same paragraphs there, but for its ends. A line that is cut can be compared as a whole
+too, so that a change inside it does not hide a repeat. What is compared is the set of five-word shingles. Bands of MinHash
+values, tuned for recall, name candidates; candidates are verified by the exact Jaccard similarity of their sets; equal
+and linked ones make components. Of the lines of a component only the first stays; of the paragraphs that are left by
+then, again only the first of each component."""
 
 from __future__ import annotations
 
@@ -57,14 +59,36 @@ class Units:
 
 def paragraphs(texts: list[bytes]) -> Units:
     """Words are what ASCII white space separates, A-Z lower-cased."""
+    return units_of(texts)[0]
+
+
+NONE = Units(*[np.empty(0, t) for t in (int, int, int, int, int, int, np.uint64, np.uint64, int, int)])
+
+
+def runs(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers begin[i], begin[i] + 1, ..., `size[i]` of them, one run after the other; and their places in the runs."""
+    ramp = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(begin, size) + ramp, ramp
+
+
+@dataclass
+class Lines:
+    """Lines of several paragraphs, each as one unit whose place is that of its first paragraph."""
+    units: Units
+    span: np.ndarray        # paragraphs of each
+    head: np.ndarray        # of each paragraph of the texts, the place of its line's first
+    part: np.ndarray        # and whether its line has others
+
+
+def units_of(texts: list[bytes]) -> tuple[Units, Lines]:
+    """(paragraphs, lines of several paragraphs)."""
     raw = np.frombuffer(b"\n" + b"\n".join(texts).lower() + b"\n", np.uint8)
     inside = INK[raw]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, stops = edges[0::2], edges[1::2]
     n = len(starts)
     if not n:
-        none = np.empty(0, np.int64)
-        return Units(none, none, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none)
+        return NONE, Lines(NONE, NONE.place, NONE.place, NONE.place.astype(bool))
     span, offsets = raw[starts[0]:stops[-1]], starts - starts[0]
     at = np.arange(len(span)) - np.repeat(offsets, np.diff(np.append(offsets, len(span))))
     terms = np.where(inside[starts[0]:stops[-1]], VALUES[span] * POWERS[at % (len(POWERS) - 1)], np.uint64(0))
@@ -91,17 +115,23 @@ def paragraphs(texts: list[bytes]) -> Units:
     size = np.diff(np.append(begin, n))
     text = owner[begin]
     place = np.arange(len(begin)) - np.searchsorted(text, text)
-    # Sum of word hash * power of the place: equal words in equal places.
-    ramp = np.arange(n) - np.repeat(begin, size)
-    content = mixed(np.add.reduceat(mixed(word + ramp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begin) + size.astype(np.uint64))
-    count = np.maximum(size - SHINGLE + 1, 0)
-    total = int(count.sum())
-    first = np.cumsum(count) - count
-    at = np.repeat(begin - first, count) + np.arange(total)
-    shingle = np.zeros(total, np.uint64)
+    shingle = np.zeros(max(0, n - SHINGLE + 1), np.uint64)      # from every word on
     for k in range(SHINGLE):
-        shingle = mixed(shingle + word[at + k] + np.uint64(k))
-    return Units(text, place, size, starts[begin], stops[begin + size - 1], line[begin], content, shingle, first, count)
+        shingle = mixed(shingle + word[k:k + len(shingle)] + np.uint64(k))
+
+    def made(begin: np.ndarray, size: np.ndarray, place: np.ndarray) -> Units:
+        # Sum of word hash * power of the place: equal words in equal places.
+        at, ramp = runs(begin, size)
+        content = np.add.reduceat(mixed(word[at] + ramp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.cumsum(size) - size)
+        count = np.maximum(size - SHINGLE + 1, 0)
+        return Units(owner[begin], place, size, starts[begin], stops[begin + size - 1], line[begin], mixed(content + size.astype(np.uint64)),
+                     shingle[runs(begin, count)[0]], np.cumsum(count) - count, count)
+
+    heads = np.flatnonzero(opens[begin])        # paragraphs that begin a line
+    span = np.diff(np.append(heads, len(begin)))
+    several = heads[span > 1]
+    whole = made(begin[several], np.diff(np.append(begin[heads], n))[span > 1], place[several]) if len(several) else NONE
+    return made(begin, size, place), Lines(whole, span[span > 1], np.repeat(place[heads], span), np.repeat(span > 1, span))
 
 
 def signatures(units: Units, bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,42 +154,51 @@ def overlap(home: list[np.ndarray], asking: list[np.ndarray]) -> np.ndarray:
     return np.bincount(np.repeat(query, size) * len(home) + row[at], minlength=len(asking) * len(home)).reshape(len(asking), len(home))
 
 
-def unit_table(docs: DataFrame, bands: int) -> DataFrame:
-    """Written table of compared paragraphs: _doc, _tie (the row of docs), place, words, content and one MinHash value per band."""
+def unit_table(docs: DataFrame, bands: int, whole_lines: bool) -> DataFrame:
+    """Written table of compared paragraphs and lines: _doc, _tie (the row of docs), place, head (the place of its line's first
+    paragraph), span (paragraphs of a line, 0 for a part of one), words, content and one MinHash value per band."""
     names = [f"s{k}" for k in range(bands)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
             for lo, hi in slices(text, 1 << 20):
-                units = paragraphs(byte_texts(text.slice(lo, hi - lo)))
-                some, values = signatures(units, bands)
-                rows = pa.array(lo + units.text[some])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_doc").take(rows), batch.column("_tie").take(rows), pa.array(units.place[some].astype(np.int32)),
-                     pa.array(units.words[some].astype(np.int32)), pa.array(units.content[some].view(np.int64)), *[pa.array(v.view(np.int64)) for v in values]],
-                    ["_doc", "_tie", "place", "words", "content", *names])
+                pieces, lines = units_of(byte_texts(text.slice(lo, hi - lo)))
+                kinds = [(pieces, lines.head, np.where(lines.part, 0, 1)), (lines.units, lines.units.place, lines.span)]
+                for units, head, span in kinds if whole_lines else kinds[:1]:
+                    some, values = signatures(units, bands)
+                    rows = pa.array(lo + units.text[some])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("_doc").take(rows), batch.column("_tie").take(rows), *[pa.array(x[some].astype(np.int32)) for x in (units.place, head, span, units.words)],
+                         pa.array(units.content[some].view(np.int64)), *[pa.array(v.view(np.int64)) for v in values]],
+                        ["_doc", "_tie", "place", "head", "span", "words", "content", *names])
 
     return table(docs.select("_doc", "_tie", "text").mapInArrow(
-        run, "_doc long, _tie long, place int, words int, content long, " + ", ".join(f"{s} long" for s in names)), "units")
+        run, "_doc long, _tie long, place int, head int, span int, words int, content long, " + ", ".join(f"{s} long" for s in names)), "units")
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(content, shingles) of the paragraphs in wanted (_doc, _tie, place)."""
+    """(content, shingles) of the paragraphs and lines in wanted (_doc, _tie, place, span)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, places = batch.column("text"), batch.column("places").to_pylist()
+            text = batch.column("text")
             for lo, hi in slices(text, 1 << 20):
-                units = paragraphs(byte_texts(text.slice(lo, hi - lo)))
-                begin = np.searchsorted(units.text, np.arange(hi - lo))
-                some = np.array([begin[i] + p for i in range(hi - lo) for p in places[lo + i]], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(units.content[some].view(np.int64)),
-                     pa.array([np.unique(units.shingles[units.first[u]:units.first[u] + units.count[u]]).tobytes() for u in some.tolist()], pa.binary())],
-                    ["content", "shingles"])
-
-    rows = wanted.groupBy("_doc", "_tie").agg(F.collect_set("place").alias("places"))       # of one text
-    return docs.select("_doc", "_tie", "text").join(rows, ["_doc", "_tie"]).select("text", "places").mapInArrow(run, "content long, shingles binary")
+                pieces, lines = units_of(byte_texts(text.slice(lo, hi - lo)))
+                for units, column in ((pieces, "places"), (lines.units, "lines")):
+                    places = batch.column(column).slice(lo, hi - lo).to_pylist()
+                    at = {(t, p): u for u, (t, p) in enumerate(zip(units.text.tolist(), units.place.tolist()))}
+                    some = np.array([at[i, p] for i, chosen in enumerate(places) for p in chosen], np.int64)
+                    # Bounded batches: the sets of long lines are as long as their texts.
+                    sizes = np.cumsum(units.count[some])
+                    for part in np.split(some, np.searchsorted(sizes, np.arange(1 << 20, int(sizes[-1]), 1 << 20)) if len(sizes) else []):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(units.content[part].view(np.int64)),
+                             pa.array([np.unique(units.shingles[units.first[u]:units.first[u] + units.count[u]]).tobytes() for u in part.tolist()], pa.binary())],
+                            ["content", "shingles"])
+
+    rows = wanted.groupBy("_doc", "_tie").agg(F.collect_set(F.when(F.col("span") < 2, F.col("place"))).alias("places"),     # of one text
+                                              F.collect_set(F.when(F.col("span") > 1, F.col("place"))).alias("lines"))
+    return docs.select("_doc", "_tie", "text").join(rows, ["_doc", "_tie"]).select("text", "places", "lines").mapInArrow(run, "content long, shingles binary")
 
 
 def pair_overlaps(keys: np.ndarray, base: int, tokens: np.ndarray, first: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,7 +213,7 @@ def pair_overlaps(keys: np.ndarray, base: int, tokens: np.ndarray, first: np.nda
 def near_links(candidates: DataFrame, sets: DataFrame, similarity: float, cell: int = 1024, bucket: int = 4096) -> DataFrame:
     """Links (a, b) of contents in candidates (band, value, content; distinct) whose sets reach `similarity`: the same
     components as all such pairs have. A long list of a value is cut into a grid of cells, blocks by blocks; a task takes
-    buckets of about `bucket` rows, cells and short lists together."""
+    buckets of about `bucket` rows or 4 MB, cells and short lists together. Pairs that are linked already are left out."""
     key = ["band", "value"]
     lists = candidates.join(sets, "content")
     sizes = table(candidates.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks")), "lists")
@@ -182,7 +221,9 @@ def near_links(candidates: DataFrame, sets: DataFrame, similarity: float, cell:
     # Block i meets block j in cell (smaller, larger).
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("lo"), F.greatest(j, block).alias("hi")))
     placed = lists.join(sizes, key).select(*key, "content", "shingles", block.alias("block"), F.explode(cells).alias("c")).select("*", "c.lo", "c.hi").drop("c")
-    buckets = max(1, candidates.count() // bucket)
+    held = sets.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("bytes")).first()
+    n = candidates.count()
+    buckets = max(1, n // bucket, n * (held["bytes"] or 0) // max(1, held["n"]) // (1 << 22))
     where = F.pmod(F.xxhash64(*key, "lo", "hi"), F.lit(buckets)).alias("bucket")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
@@ -206,10 +247,10 @@ def near_links(candidates: DataFrame, sets: DataFrame, similarity: float, cell:
         short = (size <= 64) & (lo[begin] == hi[begin])
         # Short lists: each row with those before it in its list.
         rank = np.where(np.repeat(short, size), np.arange(len(rows)) - np.repeat(begin, size), 0)
-        upto = np.cumsum(rank)
+        upto = np.cumsum(rank * count[own])
         i = 0
         while i < len(rows):
-            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 300_000, side="right")))
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 3_000_000, side="right")))
             n = rank[i:j]
             a = np.repeat(np.arange(i, j), n)
             b = np.repeat(np.arange(i, j) - n - (np.cumsum(n) - n), n) + np.arange(len(a))
@@ -219,11 +260,20 @@ def near_links(candidates: DataFrame, sets: DataFrame, similarity: float, cell:
         for k in np.flatnonzero(~short).tolist():
             part = slice(begin[k], begin[k] + size[k])
             home, asking = own[part][block[part] == lo[begin[k]]], own[part][block[part] == hi[begin[k]]]
-            for i in range(0, len(asking) if len(home) else 0, 128):
-                some = asking[i:i + 128]
-                both = overlap([sets[h] for h in home], [sets[x] for x in some])
-                a, b = np.nonzero(both)
-                judge(some[a], home[b], both[a, b])
+            if not len(home) or not len(asking):
+                continue
+            for x in home[:4]:      # in a large group of near copies these link almost all
+                for y in np.array_split(asking, 1 + int(count[x]) * len(asking) // 3_000_000):
+                    judge(np.full(len(y), x), y, pair_overlaps(keys, len(base), tokens, first, count, np.full(len(y), x), y))
+            names, often = np.unique(label[home], return_counts=True)
+            most = names[often.argmax()]
+            for ours, theirs in ((home[label[home] != most], asking[label[asking] == most]), (home, asking[label[asking] != most])):
+                step = max(1, min(128, 4_000_000 // max(1, int(count[ours].sum()))))
+                for i in range(0, len(theirs) if len(ours) else 0, step):
+                    some = theirs[i:i + step]
+                    both = overlap([sets[h] for h in ours], [sets[x] for x in some])
+                    a, b = np.nonzero(both)
+                    judge(some[a], ours[b], both[a, b])
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": ids[label[linked]], "b": ids[linked]})
 
@@ -259,14 +309,17 @@ def cut_texts(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns, "text", "gone").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99, whole_lines: bool = False) -> DataFrame:
     """`docs` (doc_id, text, other columns) with repeated paragraphs taken out of text, and n_paragraphs, n_removed,
     words_removed and origins (sorted ids of the documents that hold what stays of them); columns of those names are
     replaced.
 
-    Of equal and near-equal paragraphs the one stays whose document has the smallest doc_id (null last; rows of one id
-    by text hash), the first in its text. Paragraphs of fewer than five words are not compared and stay. A null text
-    stays null. Rows equal in id and text are one document here: none of them is a repeat of the other.
+    Of equal and near-equal lines (with `whole_lines`; else lines of several paragraphs are compared by these only), and
+    then of such paragraphs in what is left, the one stays whose document has the smallest doc_id (null last; rows of one
+    id by text hash), the first in its text. A line goes with all its paragraphs; what it was first with does not count
+    as a place for later ones. Paragraphs of fewer than five words are not compared
+    by themselves. A null text stays null. Rows equal in id and text are one document here: none of them is a repeat of
+    the other.
 
     Contents are pre-aggregated before every shuffle, and only those that share a band's value with another paragraph
     go beyond counting; their sets are read again from their texts, not stored for all."""
@@ -275,35 +328,53 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
     tucked = tuck(given, "doc_id", "text")
     docs = tucked.select("*", F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.xxhash64("text").alias("_tie"))
     bands = tune(similarity, recall)
-    units = unit_table(docs, bands)
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"s{k}").alias("value")) for k in range(bands)]))
+    units = unit_table(docs, bands, whole_lines)
+    banded = lambda low: F.array(*[F.struct(F.lit(low + k).alias("band"), F.col(f"s{k}").alias("value")) for k in range(bands)])
+    values = F.explode(banded(0))
+    if whole_lines:
+        # Paragraphs meet paragraphs, lines meet lines: each line shares values with its own parts. A line of one paragraph
+        # is both, if it is long enough to be like one of several.
+        least = int(np.ceil(similarity * (LONGEST + 2 - SHINGLE) - 1e-9)) + SHINGLE - 1
+        values = F.explode(F.when(F.col("span") > 1, banded(bands)).when((F.col("span") == 1) & (F.col("words") >= least), F.concat(banded(0), banded(bands))).otherwise(banded(0)))
     shared = table(units.select(values.alias("v")).groupBy("v.band", "v.value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared")
     # Both sides are tables: adaptive execution splits a value that many paragraphs share.
     rows = units.select("content", values.alias("v")).select("content", "v.band", "v.value")
     found = table(rows.join(shared, ["band", "value"]).distinct(), "found")
     repeated = table(found.select("content").distinct(), "contents")
-    occurrences = table(units.select("_doc", "_tie", "place", "words", "content").join(repeated, "content"), "occurrences")
+    occurrences = table(units.select("_doc", "_tie", "place", "head", "span", "words", "content").join(repeated, "content"), "occurrences")
     drop(units, shared)
     # Different contents under one value are candidates; one occurrence of each brings its set.
     several = found.groupBy("band", "value").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo < hi").select("band", "value")
     candidates = table(found.join(several, ["band", "value"]), "candidates")
     near = candidates.select("content").distinct()
     # A content that many documents share is one row per task before the join.
-    one = occurrences.groupBy("content").agg(F.min(F.struct("_doc", "_tie", "place")).alias("at")).join(near, "content").select("at.*")
+    one = occurrences.groupBy("content").agg(F.min(F.struct("_doc", "_tie", "place", "span")).alias("at")).join(near, "content").select("at.*")
     sets = table(shingle_table(docs, one).groupBy("content").agg(F.first("shingles").alias("shingles")), "sets")
     linked = components(near_links(candidates, sets, similarity))
     drop(found, candidates, sets, repeated)
     labelled = occurrences.join(linked.withColumnRenamed("node", "content"), "content", "left").select(
-        "_doc", "_tie", "place", "words", F.coalesce("label", "content").alias("label"))
+        "_doc", "_tie", "place", "head", "span", "words", F.coalesce("label", "content").alias("label"))
     labelled = table(labelled, "labelled")
-    firsts = table(labelled.groupBy("label").agg(F.min(F.struct("_doc", "_tie", "place")).alias("at"), F.count(F.lit(1)).alias("n"))
-                   .filter("n > 1").select("label", F.col("at._doc").alias("o_doc"), F.col("at._tie").alias("o_tie"), F.col("at.place").alias("o_place")), "firsts")
-    later = labelled.join(firsts, "label").filter("not (_doc = o_doc and _tie = o_tie and place = o_place)")
-    origin = F.when(F.col("o_doc") != LAST, F.col("o_doc"))
-    removed = table(later.select("_doc", "_tie", "place", "words", origin.alias("origin")).distinct().groupBy("_doc", "_tie").agg(
-        F.collect_list("place").alias("gone"), F.count(F.lit(1)).alias("n_removed"), F.sum("words").alias("words_removed"),
+    place = ["_doc", "_tie", "place"]
+
+    def later(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Rows that are not the first of their label, with `origin` and the first's span; and the table of firsts."""
+        firsts = table(rows.groupBy("label").agg(F.min(F.struct(*place, "span")).alias("at"), F.count(F.lit(1)).alias("n"))
+                       .filter("n > 1").select("label", *[F.col(f"at.{c}").alias(f"o_{c}") for c in [*place, "span"]]), name)
+        origin = F.when(F.col("o__doc") != LAST, F.col("o__doc")).alias("origin")
+        return rows.join(firsts, "label").filter("not (_doc = o__doc and _tie = o__tie and place = o_place)").select(*rows.columns, origin, "o_span"), firsts
+
+    # Lines among lines; those of one paragraph against each other are left to the next step.
+    lines, firsts = later(labelled.filter("span > 0"), "line-firsts")
+    lines = table(lines.filter("span > 1 or o_span > 1").select("_doc", "_tie", "head", "span", "words", "origin").distinct(), "gone-lines")
+    left = table(labelled.filter("span < 2").join(lines.select("_doc", "_tie", "head"), ["_doc", "_tie", "head"], "left_anti"), "left")
+    pieces, more = later(left, "firsts")
+    # One row per place: rows equal in id and text are one document.
+    all_gone = pieces.select("_doc", "_tie", F.col("place").alias("head"), F.lit(1).alias("span"), "words", "origin").unionByName(lines).distinct()
+    removed = table(all_gone.groupBy("_doc", "_tie").agg(
+        F.flatten(F.collect_list(F.expr("sequence(head, head + span - 1)"))).alias("gone"), F.sum("span").alias("n_removed"), F.sum("words").alias("words_removed"),
         F.sort_array(F.collect_set("origin")).alias("origins")), "removed")     # of one text
-    drop(occurrences, linked, labelled, firsts)
+    drop(occurrences, linked, labelled, firsts, lines, left, more)
     kept = [c for c in docs.columns if c not in ("text", "_doc", "_tie")]
     marked = docs.join(removed, ["_doc", "_tie"], "left").select(
         *kept, "text", "gone", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"),

@@ -115,3 +115,52 @@ def test_removal_against_brute_force(spark, monkeypatch, cell):
 
 def test_an_empty_table(spark):
     assert P.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def five_words(line):
+    words = line.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+
+@pytest.mark.parametrize("cell", [1024, 4])
+def test_long_lines_with_inner_changes_against_whole_lines(spark, monkeypatch, cell):
+    monkeypatch.setattr(P.near_links, "__defaults__", (cell, 64))
+    rng = random.Random(11)
+    lines = []
+    for size in [50, 80, 120, 200, 300, 400] * 6:
+        base = [word(rng) for _ in range(size)]
+        for k in range(4):
+            copy = list(base)
+            for at in rng.sample(range(5, size - 5), k * size // 100):
+                copy[at] = word(rng)
+            lines.append(" ".join(copy))
+    hot = [word(rng) for _ in range(100)]       # many near copies of one line
+    lines += [" ".join(hot[:40 + i % 20] + [f"new{i}"] + hot[41 + i % 20:]) for i in range(60)]
+    rng.shuffle(lines)
+    rows = [(i, f"top {i}\n{line}\nown{i} a b c") for i, line in enumerate(lines)]
+    sets = [five_words(x) for x in lines]
+    label = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    want = {i for i in range(len(lines)) if label[i] != i}
+    got = {r.doc_id: r for r in P.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), whole_lines=True).collect()}
+    whole = {i for i in got if got[i].text == f"top {i}\nown{i} a b c"}
+    assert whole <= want and len(whole) >= 0.97 * len(want) > 100
+    for i in whole:
+        assert got[i].words_removed == len(lines[i].split()) and label[i] in got[i].origins
+        assert got[i].n_removed == got[i].n_paragraphs - 2
+
+
+def test_what_a_removed_line_held_first_stays_elsewhere(spark):
+    rng = random.Random(12)
+    base = [word(rng) for _ in range(300)]
+    changed = [word(rng) for _ in range(30)]        # only in the second document's line, and pasted into the third's
+    near = base[:150] + changed + base[150:]
+    other = [word(rng) for _ in range(200)] + near[140:190] + [word(rng) for _ in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(other))]
+    got = {r.doc_id: r for r in P.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), whole_lines=True).collect()}
+    assert got[1].text == rows[0][1] and got[2].text == "" and got[2].origins == [1]
+    assert set(changed) <= set(got[3].text.split())
