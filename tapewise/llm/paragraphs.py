@@ -80,8 +80,8 @@ class Lines:
     part: np.ndarray        # and whether its line has others
 
 
-def units_of(texts: list[bytes]) -> tuple[Units, Lines]:
-    """(paragraphs, lines of several paragraphs)."""
+def units_of(texts: list[bytes], longest: int = LONGEST) -> tuple[Units, Lines]:
+    """(paragraphs, lines of several paragraphs); lines of up to `longest` words are not cut."""
     raw = np.frombuffer(b"\n" + b"\n".join(texts).lower() + b"\n", np.uint8)
     inside = INK[raw]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -110,7 +110,7 @@ def units_of(texts: list[bytes]) -> tuple[Units, Lines]:
         before, after = slice(REACH - k, REACH - k + n), slice(REACH + k, REACH + k + n)
         lowest &= ((value < padded[before]) | (whose[before] != owner)) & ((value <= padded[after]) | (whose[after] != owner))
     first_of_line = np.flatnonzero(opens)
-    long = np.repeat(np.diff(np.append(first_of_line, n)) > LONGEST, np.diff(np.append(first_of_line, n)))
+    long = np.repeat(np.diff(np.append(first_of_line, n)) > longest, np.diff(np.append(first_of_line, n)))
     begin = np.flatnonzero(opens | lowest & long)
     size = np.diff(np.append(begin, n))
     text = owner[begin]

@@ -22,6 +22,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import byte_texts, drop, slices, table, tuck, untuck
 from .graph import components, merge
+from .paragraphs import near_links as near_sets
+from .paragraphs import signatures, tune, units_of
 
 HALF = np.uint64(0xFFFFFFFF)
 
@@ -191,13 +193,64 @@ def near_links(fps: DataFrame, bits: int = 3, shard_size: int = 2000, sample_siz
     return cells.groupBy("shard", "cell").applyInPandas(shard_links, "a long, b long")
 
 
-def grouped(docs: DataFrame, bits: int = 3, width: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_texts(docs: DataFrame, width: int, similarity: float, recall: float = 0.99) -> DataFrame:
+    """Links (a, b) between the fingerprints of texts (column text) whose sets of five-word shingles reach the Jaccard
+    similarity: MinHash bands tuned for recall name pairs, exact sets decide. Texts of fewer words take no part."""
+    bands = tune(similarity, recall)
+    docs = docs.filter("text is not null").select("text", F.xxhash64("text").alias("_tie"))
+
+    def whole(texts: list[bytes]):
+        return units_of([b" ".join(t.split()) for t in texts], 1 << 62)[0]      # one unit per text with a word
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text")
+            for lo, hi in slices(column, 1 << 20):
+                texts = byte_texts(column.slice(lo, hi - lo))
+                units, fp = whole(texts), text_fingerprints(texts, width)
+                some, values = signatures(units, bands)
+                at = units.text[some]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_tie").take(pa.array(lo + at)), pa.array(fp[at].view(np.int64)), pa.array(units.content[some].view(np.int64)),
+                     *[pa.array(v.view(np.int64)) for v in values]], ["_tie", "fp", "content", *[f"s{k}" for k in range(bands)]])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text")
+            for lo, hi in slices(column, 1 << 20):
+                units = whole(byte_texts(column.slice(lo, hi - lo)))
+                some = np.flatnonzero(units.count)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(units.content[some].view(np.int64)),
+                     pa.array([np.unique(units.shingles[units.first[u]:units.first[u] + units.count[u]]).tobytes() for u in some.tolist()], pa.binary())],
+                    ["content", "shingles"])
+
+    signed = docs.mapInArrow(sign, "_tie long, fp long, content long, " + ", ".join(f"s{k} long" for k in range(bands)))
+    # Equal texts meet in one row per task; texts of the same words have one fingerprint.
+    units = table(signed.groupBy("content").agg(F.min("_tie").alias("_tie"), *[F.first(c).alias(c) for c in ["fp", *[f"s{k}" for k in range(bands)]]]), "texts")
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"s{k}").alias("value")) for k in range(bands)]))
+    rows = units.select("content", values.alias("v")).select("content", "v.band", "v.value")
+    several = table(rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "several")
+    candidates = table(rows.join(several, ["band", "value"]), "text-candidates")
+    wanted = table(units.join(candidates.select("content").distinct(), "content").select("_tie"), "wanted")
+    # One of each: many rows may hold one text.
+    chosen = docs.join(wanted, "_tie", "left_semi").mapInArrow(shingles, "content long, shingles binary")
+    sets = table(chosen.groupBy("content").agg(F.first("shingles").alias("shingles")), "text-sets")
+    links = near_sets(candidates, sets, similarity)
+    fp = units.select("content", "fp")
+    out = table(links.join(fp.toDF("a", "fa"), "a").join(fp.toDF("b", "fb"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")), "text-links")
+    drop(units, several, candidates, wanted, sets)
+    return out
+
+
+def grouped(docs: DataFrame, bits: int = 3, width: int = 3, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Written tables: rows (the columns of `docs` without text, and fp, a signed long) and groups (fp, label: the same
-    for fingerprints that a chain of pairs within `bits` bits joins). Rows of one fingerprint meet in one row per
+    for fingerprints that a chain of pairs within `bits` bits, or of texts of `similarity`, joins). Rows of one fingerprint meet in one row per
     task before any shuffle: fingerprints, not documents, are compared."""
     rows = table(fingerprints(docs, width=width), "fingerprints")
     distinct = table(rows.select("fp").distinct(), "distinct")
-    found = components(near_links(distinct, bits))
+    links = near_links(distinct, bits)
+    found = components(links if similarity is None else links.unionByName(near_texts(docs, width, similarity)))
     groups = table(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "groups")
     drop(found, distinct)
     return rows, groups
@@ -214,12 +267,13 @@ def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
-    """The rows of `docs` (doc_id, text, other columns) without near-duplicates: of each group the row with the smallest
+def keep_one(docs: DataFrame, bits: int = 3, width: int = 3, similarity: float | None = None) -> DataFrame:
+    """The rows of `docs` (doc_id, text, other columns) without near-duplicates, which are those within `bits` bits and, if
+    given, those whose five-word shingles have the Jaccard `similarity`: of each group the row with the smallest
     doc_id stays (null last; of one id the one with the smallest text hash; of rows equal in both any one)."""
     given, docs = docs, tuck(docs, "doc_id", "text")
     mark = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), F.xxhash64("text").alias("_tie")]
-    rows, groups = grouped(docs.select(*mark, "text"), bits, width)
+    rows, groups = grouped(docs.select(*mark, "text"), bits, width, similarity)
     alike = rows.groupBy("fp", "_doc", "_tie").agg(F.count(F.lit(1)).alias("n"))
     best = table(alike.groupBy("fp").agg(F.min(F.struct("_doc", "_tie", "n")).alias("best")), "best")
     chosen = table(best.join(groups, "fp").groupBy("label").agg(F.min("best").alias("best")).select("best.*"), "chosen")

@@ -147,3 +147,24 @@ def test_vectors_against_brute_force(spark, options):
 
 def test_vectors_of_an_empty_table(spark):
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_the_pipeline_keeps_one_of_near_texts_beyond_three_bits(spark):
+    from corpus_pipeline import one_of_each_group
+
+    rng = random.Random(8)
+    rows, first, far = [], {}, 0
+    for g in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for k in range(3):      # one word in a hundred or so is another one
+            copy = list(base)
+            for at in rng.sample(range(10, 190), 2 * k):
+                copy[at] = f"v{rng.randrange(5000)}"
+            first.setdefault(g, len(rows))
+            rows.append((len(rows), "\n ".join(copy) if k else " ".join(copy), "s"))
+            far += (fingerprint(rows[first[g]][1]) ^ fingerprint(rows[-1][1])).bit_count() > 3
+    rows += [(1000 + i, " ".join(f"u{rng.randrange(5000)}" for _ in range(60)), "s") for i in range(30)] + [(2000, None, "s"), (2001, rows[0][1], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id for r in one_of_each_group(spark, docs, "").collect()}
+    wanted = {*first.values(), *range(1000, 1030), 2000}
+    assert far > 40 and wanted <= got and len(got - wanted) <= 2
