@@ -37,7 +37,7 @@ def gzip_state(content: bytes) -> str:
                 return "damaged"
             rest = rest[1 << 20:]
         rest = memoryview(member.unused_data + bytes(rest))
-        if not bytes(rest[:64]).strip(b"\0"):       # padding
+        if not bytes(rest[:64]).strip(b"\0") and not bytes(rest).strip(b"\0"):       # padding, to the end
             break
     return "whole"
 

@@ -122,3 +122,13 @@ def test_value_bucket_is_monotone(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     cells = {r.v: r.c for r in df.select("v", K.value_bucket("v").alias("c")).collect()}
     assert [cells[v] for v in vals] == sorted(cells[v] for v in vals)
+
+
+def test_zeros_between_gzip_members_are_no_padding():
+    import gzip
+
+    from tapewise.sources.raw import gzip_state
+
+    member = gzip.compress(b"{}")
+    assert gzip_state(member + b"\0" * 500) == "whole" and gzip_state(member + member) == "whole"
+    assert gzip_state(member + b"\0" * 500 + member) == "damaged"
