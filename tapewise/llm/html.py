@@ -29,6 +29,7 @@ BODIES = {"article", "main"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
           "label", "mark", "meter", "output", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
           "time", "tt", "u", "var", "wbr"}
+HEADS = {"head", "title", "meta", "link", "base", "style", "script", "noscript", "template"}       # what a head can hold
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Words in class or id names of page furniture, as whole name parts.
 REMARKS = {"comment", "comments", "reply", "replies", "disqus", "respond"}
@@ -102,6 +103,10 @@ def blocks(html: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if not m[1] and name not in HEADS and stack and stack[-1][0] == "head":     # ends a head that nobody closed
+            close()
+            _, framed, body = stack.pop()
+            skip -= 1
         if m[1]:        # an end tag
             if name == "a":
                 link = 0
@@ -171,7 +176,8 @@ def features(found: list[Block]) -> np.ndarray:
     is none of anything."""
     n = len(found)
     flags = np.array([(b.framed, b.body, b.heading, b.paragraph) for b in found], float).reshape(n, 4)
-    flags[:, 0] = np.maximum(flags[:, 0], flags[:, 1].any() * (1 - flags[:, 1])) if n else 0
+    # What lies outside of the article is aside; an article of a comment or in a sidebar is none.
+    flags[:, 0] = np.maximum(flags[:, 0], (flags[:, 1] > flags[:, 0]).any() * (1 - flags[:, 1])) if n else 0
     words = np.array([0, *[b.words for b in found]], float)
     density = np.array([0, *[b.links / b.words for b in found]], float)
     place = np.where(flags[:, 0] == 0, np.arange(1, n + 1), 0)

@@ -174,3 +174,15 @@ def test_stages_bear_odd_tables(spark, k):
         given = {(r[0], r[3], r[5], r[6]) for r in rows}
         assert all((r.doc_id, r.source, r.copies, r._tie) in given for r in out.collect())
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pages_whose_only_article_is_no_article_and_whose_head_is_open():
+    from tapewise.llm import html
+
+    paragraph = "<p>" + " ".join(f"word{i}" for i in range(60)) + ".</p>"
+    comment = "<article class='comment'><p>nice read, thanks a lot</p></article>"
+    teaser = "<aside><article><h3>More</h3><p>another story in short</p></article></aside>"
+    for page in (f"<html><body><div>{paragraph * 3}</div>{comment}</body></html>", f"<html><body><div>{paragraph * 3}</div>{teaser}</body></html>",
+                 f"<html><head><meta charset=utf-8><title>t</title><div>{paragraph * 3}</div></html>"):
+        text = html.main_text(page, html.trained())
+        assert text.count("word59") == 3 and "nice read" not in text and "another story" not in text
