@@ -173,7 +173,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> lis
     """Rules from at most `sample` labelled documents (those with the smallest hash) that pass the base limits."""
     marked = labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality")
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = text_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).collect()     # at most `sample`
+    found = text_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    # Many rows may hold one id: bounded again, by a sort above the statistics.
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *STATISTICS).limit(sample).collect()
     # Here, not by a Spark filter: that would be pushed below the steps of the statistics and compute them again.
     rows = [r for r in rows if r.n_words >= MIN_WORDS and 100 * r.n_repeat_words <= MAX_REPEAT_PERCENT * r.n_words]
     rows.sort(key=lambda r: (r.doc_id, r.quality, *[r[c] for c in STATISTICS]))

@@ -162,3 +162,12 @@ def test_learning_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert rules.learn_rules(docs, spark.createDataFrame([], "doc_id long, quality int")) == []
     assert rules.learn_rules(docs, spark.createDataFrame([(None, 0), (1, None), (2, 0)], "doc_id long, quality int")) == []
+
+
+def test_learning_takes_no_more_rows_than_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(rules, "learn", lambda statistics, bad: seen.append(len(bad)) or [])
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text)] * 50 + [(2, text)], "doc_id long, text string")
+    rules.learn_rules(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"), sample=10)
+    assert seen == [10]
