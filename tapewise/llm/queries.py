@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lines, mixing, packing, paragraphs, pivots, rules, simhash, token_files, toxicity
+from . import html, lines, merkle, mixing, packing, paragraphs, pieces, pivots, rules, simhash, subvectors, token_files, toxicity
 from .common import read, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,108 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, end id 2, read back."""
     folder, manifest = token_files.write_token_files(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(folder, manifest)
+
+
+@query
+def op11_subvector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight exact clusters of all embeddings with 64 components."""
+    return subvectors.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def _rounds(n: int) -> str:
+    """Common table expressions n1, c1, ... of n rounds: nearest centroids, then their new components."""
+    out = []
+    for r in range(n + 1):
+        out.append(f"""n{r} as (
+  select i, arg_min(c, (d, c)) as c, min(d) as d from (
+    select v.i, c.c, sum((v.x - c.x) * (v.x - c.x))::hugeint as d from v join c{r} c on v.k = c.k group by v.i, c.c) group by i)""")
+        if r < n:
+            out.append(f"""c{r + 1} as (
+  select c.c, c.k, coalesce(m.x, c.x) as x from c{r} c left join (
+    select n.c, v.k, ((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*))::bigint as x
+    from v join n{r} n on v.i = n.i group by n.c, v.k) m on c.c = m.c and c.k = m.k)""")
+    return ",\n".join(out)
+
+
+ORACLES["op11_subvector_clusters"] = f"""
+with e as (
+  select row_number() over () as i, vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+v as (
+  select i, unnest(range(64)) as k, unnest(list_transform(embedding, lambda x: floor(1024 * x::double)::bigint)) as x from e),
+c0 as (
+  select s.c, v.k, v.x from v join (
+    select i, row_number() over (order by h) - 1 as c from (select i, sha256('3:' || vec_id) as h from e order by h limit 8)) s on v.i = s.i),
+{_rounds(10)},
+names as (
+  select c, sha256(string_agg(x::varchar, ',' order by k)) as centroid_sha256 from c10 group by c)
+select e.vec_id, n.c::int as cluster, n.d::bigint as distance, (sum(n.d) over (partition by n.c))::bigint as cluster_inertia,
+       (sum(n.d) over ())::bigint as inertia, names.centroid_sha256
+from n10 n join e on n.i = e.i join names on names.c = n.c
+"""
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, verified after tampering with half of them."""
+    docs = read(spark, sf_dir, "documents")
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda text: merkle.digest(*[merkle.field(text if c == "text" else F.col(c)) for c in columns])
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    shown = F.when(tampered, leaf(F.replace("text", F.lit("\n"), F.lit("")))).otherwise(F.col("leaf"))
+    # The texts are read once; what is left of them is two digests.
+    leaves = table(docs.withColumn("leaf", leaf(F.col("text"))).select("doc_id", "source", "leaf", shown.alias("shown")), "leaves")
+    proved = merkle.manifest(leaves).withColumn("folded_root", merkle.fold(F.col("shown"), F.col("path")))
+    return proved.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + "))"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+with recursive d as (
+  select row_number() over () as r, doc_id, source, {_leaf("text")} as leaf, {_leaf("replace(text, chr(10), '')")} as cut,
+         row_number() over (partition by source order by doc_id nulls first) - 1 as i, count(*) over (partition by source) as n,
+         dense_rank() over (order by source nulls first) - 1 as g,
+         xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+             lambda a, b: list_reduce(list_concat([xor(a, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))),
+             4294967295::bigint) as crc
+  from documents),
+up as (
+  select g, 0 as l, i, leaf as h, n from d
+  union all
+  select g, l + 1, i // 3, sha256(string_agg(h, '' order by i)), (any_value(n) + 2) // 3 from up where n > 1 group by g, l, i // 3),
+tops as (
+  select g, h, l, count(*) over () as n from up where n = 1),
+top as (
+  select 0 as l, g as i, h, n from tops
+  union all
+  select l + 1, i // 3, sha256(string_agg(h, '' order by i)), (any_value(n) + 2) // 3 from top where n > 1 group by l, i // 3),
+-- Every level of a document's way up: the tree of its source, then the tree of the subroots.
+steps as (
+  select d.r, u.l, string_agg(u.h, '' order by u.i) filter (u.i < d.i // (3 ** u.l)::bigint) as a, string_agg(u.h, '' order by u.i) filter (u.i > d.i // (3 ** u.l)::bigint) as b
+  from d join up u on d.g = u.g and u.n > 1 and u.i // 3 = d.i // (3 ** (u.l + 1))::bigint group by d.r, u.l
+  union all
+  select d.r, 1000 + t.l, string_agg(t.h, '' order by t.i) filter (t.i < d.g // (3 ** t.l)::bigint), string_agg(t.h, '' order by t.i) filter (t.i > d.g // (3 ** t.l)::bigint)
+  from d join top t on t.n > 1 and t.i // 3 = d.g // (3 ** (t.l + 1))::bigint group by d.r, t.l),
+paths as (
+  select r, list(struct_pack(a := coalesce(a, ''), b := coalesce(b, '')) order by l) as path from steps group by r),
+folded as (
+  select d.r, d.doc_id, d.leaf, d.g, coalesce(p.path, []) as path,
+         list_reduce(list_concat([struct_pack(a := case when d.crc % 2 = 0 then d.cut else d.leaf end, b := '')], coalesce(p.path, [])),
+                     lambda x, y: struct_pack(a := sha256(concat(y.a, x.a, y.b)), b := '')).a as folded_root
+  from d left join paths p on d.r = p.r)
+select f.doc_id, f.leaf, t.h as subroot, z.h as root,
+       sha256(coalesce(array_to_string(list_transform(f.path, lambda x: x.a || x.b), ''), '')) as proof_sha256, f.folded_root, f.folded_root = z.h as verified
+from folded f join tops t on f.g = t.g cross join (select h from top where n = 1) z
+"""
+
+
+@query
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents and the text that they decode to."""
+    return pieces.encode_and_decode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
