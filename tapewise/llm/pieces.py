@@ -4,16 +4,15 @@ The library puts a marker in front of a text and for every blank. Where no piece
 character, no merge crosses from a word into the marker that follows: a text can be cut in front of every run of markers,
 and each chunk has the ids that it has inside the text. So every distinct chunk of the whole input is segmented once.
 
-A slice of texts becomes one written row: its distinct chunks, and for each text the numbers of its chunks in order. The
-chunks of all slices give the table of distinct chunks; what the library says of each comes back to the slices by a join
-on the chunk, and to the places in the texts by the numbers. Only chunks are shuffled, once per slice that holds them, never
-the places; a chunk that every slice holds is one row of the table on the other side, so adaptive execution may split it."""
+A slice of texts has a table of its distinct chunks; the library segments each of them once, and the ids come back to the
+places in the texts by the numbers of their chunks. Slices are bounded by bytes, so the table is bounded too, and nothing is
+shuffled or written: one table for the whole input, joined back by shuffles, was built first and took more disk than
+the input has (see README)."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, slices, table
-from .tokens import pack_ids, unpack_ids
+from .common import slices
+from .tokens import pack_ids
 
 MARK = "▁"
 #: A last single marker stays with the word before it: by itself it would be an empty text to the library.
@@ -53,81 +52,51 @@ def chunks_of(text: str) -> list[str]:
     return CHUNK.findall((MARK + text).replace(" ", MARK)) if text else []
 
 
-def sliced(docs: DataFrame, cut: bool, limit: int) -> DataFrame:
-    """Written table, one row per slice of about `limit` bytes of text: slice, doc_ids, n_chunks (per text), codes (all
-    texts' chunk numbers), chunks (distinct). Without `cut`, a text is one chunk."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in slices(texts, limit):
-                known: dict[str, int] = {}
-                counts, codes = [], []
-                for text in texts.slice(a, b - a).to_pylist():
-                    found = (chunks_of(text) if cut else [MARK + text]) if text else []
-                    counts.append(len(found))
-                    codes.append(np.fromiter((known.setdefault(c, len(known)) for c in found), np.uint32, len(found)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uuid.uuid4().hex]), pa.array([batch.column("doc_id").slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
-                     pa.array([counts], pa.list_(pa.int32())), pa.array([np.concatenate(codes).tobytes()], pa.binary()),
-                     pa.array([list(known)], pa.list_(pa.string()))], ["slice", "doc_ids", "n_chunks", "codes", "chunks"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return table(rows.mapInArrow(run, "slice string, doc_ids array<long>, n_chunks array<int>, codes binary, chunks array<string>"), "slices")
+def segmented(chunks: list[str], library) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all chunks, ids per chunk) of distinct chunks."""
+    found = library.encode([c[1:] for c in chunks], num_threads=1)      # the library puts the first marker back
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
 
 
-def segmented(chunks: DataFrame, model: str) -> DataFrame:
-    """(chunk, ids) of distinct chunks, by the library."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = processor(model)
-        for batch in batches:
-            # The library puts the first marker back.
-            found = library.encode([c[1:] for c in batch.column("chunk").to_pylist()], num_threads=1)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([pack_ids(np.array(ids, np.uint32)) for ids in found], pa.binary())], ["chunk", "ids"])
+def encode_texts(texts: list[str | None], library, cut: bool = True) -> Iterator[np.ndarray]:
+    """The ids of each text, through the table of their distinct chunks. Without `cut`, a text is one chunk."""
+    known: dict[str, int] = {}
+    places = []
+    for text in texts:
+        found = (chunks_of(text) if cut else [MARK + text]) if text else []
+        places.append(np.fromiter((known.setdefault(c, len(known)) for c in found), np.int64, len(found)))
+    ids, sizes = segmented(list(known), library)
+    starts = np.cumsum(sizes) - sizes
+    for codes in places:
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        # Place by place: the run of ids of the chunk there.
+        yield ids[np.repeat(starts[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
-    return chunks.mapInArrow(run, "chunk string, ids binary")
 
-
-def encode(docs: DataFrame, model: str, limit: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
-    """(slices, ids of their chunks): written tables that `texts_of` puts together.
-
-    A task holds one slice: `limit` bytes of text, or one longer text."""
-    parts = sliced(docs, can_be_cut(model), limit)
-    table_of_chunks = segmented(parts.select(F.explode("chunks").alias("chunk")).distinct(), model)
-    held = parts.select("slice", F.posexplode("chunks").alias("code", "chunk"))
-    # As many rows as a slice has distinct chunks.
-    back = held.join(table_of_chunks, "chunk").groupBy("slice").agg(F.collect_list(F.struct("code", "ids")).alias("known"))
-    return parts, back
-
-
-def encode_and_decode(docs: DataFrame, model: str, limit: int = 1 << 22) -> DataFrame:
+def encode_and_decode(docs: DataFrame, model: str, limit: int = 1 << 25) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_tokens, ids (packed, see `tokens.unpack_ids`), ids_sha256 (of the
     decimal ids joined by commas), decoded_sha256 (of the text that the library decodes from them).
 
     A null text counts as empty: no ids, empty decoded text. Rows with a null or repeated doc_id are rows like others; an
-    empty table gives an empty one; other columns are ignored."""
-    parts, back = encode(docs, model, limit)
+    empty table gives an empty one; other columns are ignored. A task holds one slice: `limit` bytes of text, or one longer
+    text. Models whose pieces cross markers, or that normalize texts, get whole texts."""
+    cut = can_be_cut(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = processor(model)
         for batch in batches:
-            for doc_ids, counts, codes, known in zip(*(batch.column(c) for c in ("doc_ids", "n_chunks", "codes", "known"))):
-                # A slice of empty texts knows no chunks.
-                by_code = {k["code"]: unpack_ids(k["ids"]) for k in known.as_py() or ()}
-                written = {code: ",".join(map(str, ids.tolist())) for code, ids in by_code.items()}
-                places, at, out = np.frombuffer(codes.as_py(), np.uint32).tolist(), 0, []
-                for n in counts.as_py():
-                    mine = places[at:at + n]
-                    at += n
-                    ids = np.concatenate([by_code[c] for c in mine]) if mine else np.empty(0, np.uint32)
-                    decoded = library.decode(ids.tolist()) if mine else ""
-                    out.append((len(ids), pack_ids(ids), hashlib.sha256(",".join([written[c] for c in mine]).encode()).hexdigest(),
+            for a, b in slices(batch.column("text"), limit):
+                out = []
+                for ids in encode_texts(batch.column("text").slice(a, b - a).to_pylist(), library, cut):
+                    plain = ids.tolist()
+                    decoded = library.decode(plain) if plain else ""
+                    out.append((len(plain), pack_ids(ids), hashlib.sha256(",".join(map(str, plain)).encode()).hexdigest(),
                                 hashlib.sha256(decoded.encode()).hexdigest()))
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.values, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.string(), pa.string())))],
-                    ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
-
-    joined = parts.select("slice", "doc_ids", "n_chunks", "codes").join(back, "slice", "left").select("doc_ids", "n_chunks", "codes", "known")
-    out = table(joined.mapInArrow(run, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"), "encoded")
-    drop(parts)
-    return out
+                columns = zip(zip(*out), (pa.int64(), pa.binary(), pa.string(), pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(c, t) for c, t in columns)],
+                                                 ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
