@@ -199,6 +199,13 @@ def _(t):
     return tables.read_table(t.spark, out, "fills").groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("I14_read_table_range", FILL_COLUMNS, FILL_SQL.replace(" from events", " from events where ts >= '2024-01-10' and ts < '2024-01-21'"))
+def _(t):
+    root, out = raw_files(t), new_folder(t.spark, "processed")
+    tables.normalize_incremental(t.spark, root, out, ["fills"], settle_seconds=-60)
+    return tables.read_table(t.spark, out, "fills", "2024-01-10", "2024-01-20")
+
+
 @query("I15_equity_union", "user period time_ms ~account_value ~pnl", "(select distinct * from fx_equity)")
 def _(t):
     census = t.fx_equity.filter("period <> 'month'").withColumn("extra", F.lit(1))

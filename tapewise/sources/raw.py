@@ -7,60 +7,42 @@ nested objects inside it stay JSON text for a second parse."""
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .members import listed, read_members, scan
+
 ENVELOPE = ("platform string, dataset string, fetched_at string, request string, payload string, "
             "source_version string, _corrupt string")
-FILE_PATTERN = "*.gz"
 
 
 def gzip_state(content: bytes) -> str:
     """whole, truncated (the content breaks off inside a member) or damaged (anything else that is no gzip)."""
-    rest = memoryview(content)
-    if not rest:
-        return "truncated"
-    while rest:
-        member = zlib.decompressobj(wbits=31)
-        while not member.eof:
-            if not rest:
-                return "truncated"
-            try:
-                member.decompress(rest[:1 << 20], 1 << 20)
-                while member.unconsumed_tail and not member.eof:
-                    member.decompress(member.unconsumed_tail, 1 << 20)
-            except zlib.error:
-                return "damaged"
-            rest = rest[1 << 20:]
-        rest = memoryview(member.unused_data + bytes(rest))
-        if not bytes(rest[:64]).strip(b"\0") and not bytes(rest).strip(b"\0"):       # padding, to the end
-            break
-    return "whole"
+    members = scan(lambda offset, n: content[offset:offset + n], len(content), 0, len(content))
+    while content:
+        try:
+            next(members)
+        except StopIteration as end:
+            return end.value[0]
+    return "truncated"
 
 
-def gzip_states(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, state) of every gzip file below a path. A task holds one file's compressed bytes at a time."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            states = [gzip_state(c.as_buffer().to_pybytes()) for c in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(states)], ["path", "state"])
+def from_the_beginning(files: DataFrame) -> DataFrame:
+    return files.withColumn("start", F.lit(0).cast("long")).withColumn("before", F.lit(None).cast("binary"))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", FILE_PATTERN).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("_metadata.file_path").alias("path"), "content").mapInArrow(run, "path string, state string")
+
+def gzip_states(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, state) of every gzip file below a path."""
+    return read_members(from_the_beginning(listed(spark, path)))[1].select("path", "state")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Raw lines of gzip files and the file's path. A file that breaks off (its writer was stopped) ends quietly:
-    every complete record before is kept. Lines of files with any other damage are left out; `gzip_states` names
-    those files."""
-    lines = (spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", FILE_PATTERN)
-             .option("recursiveFileLookup", "true").text(path))
-    damaged = gzip_states(spark, path).filter(F.col("state") == "damaged").select("path")
-    return lines.select("value", F.col("_metadata.file_path").alias("path")).join(damaged, "path", "left_anti").select("value", "path")
+    """Lines of gzip files with the file's path and the offset `at` of the member they start in. A file that breaks off (its
+    writer was stopped) ends quietly: every complete record before is kept. Files with any other damage give no lines;
+    `gzip_states` names them. Every file is read once, long ones by several tasks."""
+    return read_members(from_the_beginning(listed(spark, path)))[0]
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
@@ -111,11 +93,11 @@ def _last_entries(entries: Column, key: Callable[[Column], Column], value: Calla
     return F.map_from_entries(F.transform(F.filter(marked, lambda m: m["last"]), lambda m: F.struct(m["k"], m["v"])))
 
 
-FILE_COLUMNS = ("date", "run")
+FILE_COLUMNS = ("date", "run", "at")
 
 
 def _keep(df: DataFrame, *columns: Column | str) -> DataFrame:
-    """Select, keeping the columns that tell which raw file a row comes from (where present)."""
+    """Select, keeping the columns that tell where in which raw file a row comes from (where present)."""
     return df.select(*columns, *[c for c in FILE_COLUMNS if c in df.columns])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.behavior import EXIT_RULES, behavior_features, exit_rules
 from ..session import forget, new_folder, shared
-from ..sources.raw import FILE_PATTERN
+from ..sources.members import FILE_PATTERN
 from ..sources.tables import SETTLE_SECONDS, normalize_dataset
 
 
@@ -22,17 +22,21 @@ def event_time(df: DataFrame, ms: str = "time_ms") -> DataFrame:
     return df.withColumn("event_time", F.timestamp_millis(F.col(ms)))
 
 
-def stream_ingest(spark: SparkSession, raw_dir: str, dataset: str, out_dir: str, checkpoint: str,
-                  quarantine: str | None = None, settle_seconds: int = SETTLE_SECONDS) -> StreamingQuery:
-    """Normalize the raw files of one dataset as they arrive (available now, then stop).
+def stream_ingest(spark: SparkSession, raw_dir: str, dataset: str, out_dir: str, checkpoint: str, quarantine: str | None = None,
+                  settle_seconds: int = SETTLE_SECONDS, follow: str | None = None) -> StreamingQuery:
+    """Normalize the raw files of one dataset as they come and grow.
 
-    A file stream names a path once, but a raw file may grow, and may still be written when it is first seen. The stream
-    therefore only tells that files have come; which ones are read is decided by the ledger of (path, mtime), before
-    the stream starts and with every batch: files that are new or have changed, and are older than the settle window.
-    Incomplete lines and damaged files go to the quarantine."""
+    A file source names a path once, whatever is appended later, and offsets of all files would pass the driver with every
+    batch. Here the offset of the stream is the ledger of (path, bytes read), a table: a batch lists the folder, and reads
+    what lies behind the entries of files that are older than the settle window. Batches may be repeated or stopped
+    anywhere (see `sources.tables`). With `follow` (an interval) the stream goes on and looks that often; else it reads what
+    is there and stops. Incomplete lines and damaged files go to the quarantine."""
     def read_pending(batch: DataFrame | None = None, batch_id: int = -1) -> None:
         normalize_dataset(spark, raw_dir, dataset, out_dir, settle_seconds, quarantine)
 
+    if follow is not None:
+        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        return ticks.writeStream.foreachBatch(read_pending).option("checkpointLocation", checkpoint).trigger(processingTime=follow).start()
     read_pending()
     names = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
              .option("pathGlobFilter", FILE_PATTERN).option("recursiveFileLookup", "true").load(raw_dir).select("path", "modificationTime"))
