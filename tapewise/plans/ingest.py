@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_folder
 from ..sources import raw, tables
-from ..streaming import jobs
+from ..streaming import jobs, watch
 from .registry import cte, query
 from .trading import RULES, recent_sql
 
@@ -254,10 +254,11 @@ def _(t):
     return jobs.run_to_table(jobs.stream_last_hour_equity(snaps), "hourly")
 
 
-def fill_stream(t, fills: DataFrame) -> DataFrame:
+def fill_stream(t, fills: DataFrame, batches: int) -> DataFrame:
+    """The fills as a stream of so many batches, in order of time."""
     path = new_folder(t.spark, "fills")
-    fills.write.parquet(path)
-    return t.spark.readStream.schema(fills.schema).parquet(path)
+    fills.repartitionByRange(batches, "time_ms").write.parquet(path)
+    return t.spark.readStream.schema(fills.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 cte(watch_hits=" union all ".join(
@@ -270,9 +271,7 @@ cte(watch_hits=" union all ".join(
 @query("T5_stream_watch", "trader rule feature ~value ~limit n_trades actionable", "watch_hits")
 def _(t):
     from . import trading as W
-    # Half of the fills are history, the rest arrives as a stream; every user is touched by it.
-    odd = F.col("tid") % 2 == 1
+    # Three batches, each of which finds the fills of the ones before as state.
     out, log = new_folder(t.spark, "watch"), new_folder(t.spark, "checkpoint")
-    jobs.stream_watch(fill_stream(t, t.fx_fills.filter(odd)), lambda: t.fx_fills.filter(~odd), t.fx_equity, W.NOW, out, log,
-                      W.WINDOW, W.RULES).awaitTermination()
-    return t.spark.read.parquet(out)
+    watch.stream_watch(fill_stream(t, t.fx_fills, 3), lambda: t.fx_equity, out, log, W.NOW, W.WINDOW, W.RULES).awaitTermination()
+    return watch.current_hits(t.spark, out)

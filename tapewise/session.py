@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,6 +91,17 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+@contextmanager
+def releasing() -> Iterator[None]:
+    """Tables that `shared` writes inside are deleted at the end."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > before:
+            _delete(*_WRITTEN.pop())
+
+
 def release_shared() -> None:
     """Delete the tables written by `shared`; frames built on them can no longer run."""
     while _WRITTEN:
