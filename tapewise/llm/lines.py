@@ -45,17 +45,19 @@ def remove_repeats(docs: DataFrame, width: int = 3) -> DataFrame:
     (columns of these names are replaced).
 
     Documents with fewer than `width` lines with a word stay as they are; a null text stays null and has no lines. Lines
-    without a word belong to no window; between two lines of a repeat they go with it. Rows with the same doc_id, or all
-    without one, count as one place: they are no repeats of each other; a null doc_id comes after all others."""
+    without a word belong to no window; between two lines of a repeat they go with it. Documents come in the order of doc_id,
+    those with the same one, or with none (after all others), in the order of their text's hash; rows that are equal in
+    both count as one place: they are no repeats of each other."""
     given = docs.drop("n_lines", "n_removed")
     docs = tuck(given, "doc_id", "text")
     mark = [F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.xxhash64("text").alias("_tie")]
     found = table(windows(docs, mark, width), "windows")
+    place = F.struct("_doc", "_tie")
     # One row per window and task before the shuffle, whatever repeats how often.
-    repeated = table(found.filter(~F.col("again")).groupBy("w1", "w2").agg(F.min("_doc").alias("origin"), F.max("_doc").alias("latest"))
+    repeated = table(found.filter(~F.col("again")).groupBy("w1", "w2").agg(F.min(place).alias("origin"), F.max(place).alias("latest"))
                      .filter("origin < latest").select("w1", "w2", "origin"), "repeated")
     # Both sides are tables: adaptive execution splits a window that many documents share.
-    later = found.filter(~F.col("again")).join(repeated, ["w1", "w2"]).filter("_doc > origin").select("_doc", "_tie", "first", "last")
+    later = found.filter(~F.col("again")).join(repeated, ["w1", "w2"]).filter(place > F.col("origin")).select("_doc", "_tie", "first", "last")
     later = later.unionByName(found.filter("again").select("_doc", "_tie", "first", "last"))
     covered = table(later.groupBy("_doc", "_tie").agg(F.collect_set(F.struct("first", "last")).alias("_spans")), "covered")     # of one text
     drop(found, repeated)

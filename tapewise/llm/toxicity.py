@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -241,7 +241,7 @@ class Network:
         return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, steps: tuple[int, int] = (60, 140), batch: int = 128, rate: float = 5e-3,
+def train(texts: list[bytes], labels: np.ndarray, steps: tuple[int, int] = (100, 300), batch: int = 128, rate: float = 5e-3,
           known_words: int = 4096, seed: int = 5) -> Network | None:
     """A network from texts and 0/1 labels; None unless there are both kinds. Words in three texts or more get vectors,
     the `known_words` most frequent ones at most."""
@@ -291,16 +291,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000) -> Network | None:
+def learn(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000, sample_bytes: int = 1 << 26) -> Network | None:
     """A network from at most `toxic` and `clean` labelled documents (those with the smallest hash) that are not held
-    out: one task trains on them, the driver gets the parameters."""
+    out: one task trains on them, the driver gets the parameters. The sample is bounded in bytes too: texts of over a
+    64th of `sample_bytes` are not learned from, nor what exceeds that sum in the order of the hash."""
     free = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = None
     for kind, sample in ((0, clean), (1, toxic)):
         some = free.filter(F.col("toxic") == kind).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "toxic", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).orderBy(F.xxhash64("doc_id", "text")).limit(toxic + clean)
+        "doc_id", "toxic", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).filter(
+        F.octet_length("text") <= sample_bytes // 64).orderBy(F.xxhash64("doc_id", "text")).limit(toxic + clean)
+    so_far = Window.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("_sum", F.sum(F.octet_length("text")).over(so_far)).filter(F.col("_sum") <= sample_bytes).drop("_sum")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))))     # at most as many

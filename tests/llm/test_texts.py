@@ -125,6 +125,22 @@ def test_tree_agrees_with_its_table():
     assert html.classify(html.trained(), x).tolist() == [bool(r[-1]) for r in html.TABLE]
 
 
+def alike(texts, width=5, similarity=0.8):
+    """Pairs of texts whose sets of `width` words in a row, lower-cased, have the Jaccard similarity."""
+    sets, where = [], {}
+    for i, t in enumerate(texts):
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[k:k + width]) for k in range(len(words) - width + 1)})
+        for s in sets[-1]:
+            where.setdefault(s, []).append(i)
+    shared = {}
+    for holders in where.values():
+        for a in range(len(holders)):
+            for b in range(a):
+                shared[holders[b], holders[a]] = shared.get((holders[b], holders[a]), 0) + 1
+    return [(i, j) for (i, j), n in shared.items() if n >= similarity * (len(sets[i]) + len(sets[j]) - n)]
+
+
 def by_force(rows, labels, network):
     """doc_id -> copies that reach the packing, and their texts, stage by stage."""
     from test_native import sql
@@ -135,7 +151,8 @@ def by_force(rows, labels, network):
     docs = [(d, cleaned[d] if t is not None else None, s) for d, t, s in docs]
     docs.sort()
     prints = [fingerprint(t) for _, t, _ in docs]
-    label = reach(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    label = reach(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+                  + alike([t for _, t, _ in docs]))
     docs = [d for i, d in enumerate(docs) if label[i] == i]
     taken = {r.doc_id: (r.taken, r.size) for r in sql("op1_mix_sources", docs).itertuples()}
     return {d: (t, taken[d][0] // taken[d][1]) for d, t, _ in docs if taken[d][1]}
