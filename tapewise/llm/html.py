@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .blocks import TABLE
+from .blocks import labelled
 from .common import tuck, untuck
 
 # Element names of the HTML standard.
-SKIPPED = {"script", "style", "noscript", "template", "textarea", "select", "button", "form", "svg", "math", "iframe", "object", "head",
+SKIPPED = {"script", "style", "noscript", "template", "textarea", "select", "button", "svg", "math", "iframe", "object", "head",
            "title", "canvas", "audio", "video"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}      # their content is no markup
 FRAMES = {"nav", "header", "footer", "aside", "menu", "dialog"}
@@ -32,7 +32,8 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 HEADS = {"head", "title", "meta", "link", "base", "style", "script", "noscript", "template"}       # what a head can hold
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Words in class or id names of page furniture, as whole name parts.
-REMARKS = {"comment", "comments", "reply", "replies", "disqus", "respond"}
+REMARKS = {"comment", "comments", "commentlist", "reply", "replies", "disqus", "respond", "response", "responses", "feedback", "discussion", "guestbook"}
+CONTROLS = {"input", "select", "textarea", "button"}
 FURNITURE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion",
              "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "side", "widget",
              "related", "recommended", "share", "sharing", "social", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter",
@@ -41,7 +42,8 @@ FURNITURE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertis
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
 CLASSES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+UNSEEN = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACES = re.compile(r"\s+")
@@ -52,139 +54,195 @@ class Block:
     text: str
     links: int          # words inside links
     words: int
-    framed: bool        # inside navigation, header, footer, sidebar and the like, by element or class name
+    frame: bool         # inside navigation, header, footer, sidebar and the like, by element
+    remark: bool        # inside reader comments, by a class name
+    named: int          # the outermost element around it whose class names speak of page furniture, as a number, or -1
+    form: int           # the form around it, or -1
     body: bool          # inside article or main
     paragraph: bool     # a paragraph, quotation, preformatted text, table cell or list item
     heading: bool
 
 
 @lru_cache(4096)
-def furniture(attributes: str, body: bool) -> int:
-    """2 if class, id or role names reader comments or the element is hidden, 1 if they name other page furniture, else 0.
-    In an article, a header is its own and no furniture."""
-    names = {x for m in CLASSES.finditer(attributes) for x in PARTS.split(CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower())}
-    if names & REMARKS or HIDDEN.search(attributes):
+def furniture(attributes: str, body: bool, whole: bool) -> int:
+    """2 if class, id or role names speak of reader comments, 1 if of other page furniture, else 0. In an article, a header
+    is its own and no furniture. An article or the whole page may say in parts of a name that it has comments or a
+    sidebar: of them (`whole`) only whole names count, and only as comments."""
+    given = [m[1] or m[2] or m[3] or "" for m in CLASSES.finditer(attributes)]
+    if whole:
+        return 2 * bool({x.lower() for g in given for x in g.split()} & REMARKS)
+    names = {x for g in given for x in PARTS.split(CAMEL.sub("-", g).lower())}
+    if names & REMARKS:
         return 2
     return int(bool((names - {"header"} if body else names) & FURNITURE))
 
 
-def blocks(html: str) -> list[Block]:
-    """Text blocks in page order; what scripts, styles, forms and comments hold is no text. Character references are
-    decoded, white space is one space. Elements that are never closed end with their parent, a page that breaks off
-    ends everything."""
-    out: list[Block] = []
-    parts: list[str] = []
-    links: list[str] = []
-    stack: list[tuple[str, int, bool]] = []     # open block elements: name, and framed and body as they were outside
-    framed, body = 0, False     # framed: 1 by a class name, 2 by the element or as reader comments
-    link, kind, skip, at = 0, "", 0, 0
-
-    def close() -> None:
-        if parts:
-            text = SPACES.sub(" ", unescape("".join(parts))).strip()
-            parts.clear()
-            if text:
-                linked = len(unescape("".join(links)).split()) if links else 0
-                out.append(Block(text, linked, text.count(" ") + 1, framed > 0, body, kind in ("p", "blockquote", "pre", "li", "td", "dd", "figcaption"),
+class Page:
+    """Text blocks in page order; what scripts, styles, controls, hidden elements and comments hold is no text. Character
+    references are decoded, white space is one space. Elements that are never closed end with their parent, a page that
+    breaks off ends everything. The time is linear in the page, however deep its tags are."""
+
+    def __init__(self, html: str):
+        self.blocks: list[Block] = []
+        self.named: list[int] = []          # words outside of links, by named element
+        self.forms: list[list[int]] = []    # [words, controls that can be seen], by form
+        self.stack: list[tuple] = []        # open elements: name, whether its text is skipped, and the state outside
+        self.open: dict[str, int] = {}
+        self.parts: list[str] = []
+        self.links: list[str] = []
+        self.skip, self.link, self.kind = 0, 0, ""
+        self.state = (False, False, -1, -1, False)      # frame, remark, named, form, body
+        self._read(html)
+
+    def _close_block(self) -> None:
+        if not self.parts:
+            return
+        text = SPACES.sub(" ", unescape("".join(self.parts))).strip()
+        linked = len(unescape("".join(self.links)).split()) if text and self.links else 0
+        self.parts.clear()
+        self.links.clear()
+        if not text:
+            return
+        frame, remark, named, form, body = self.state
+        words, kind = text.count(" ") + 1, self.kind
+        self.blocks.append(Block(text, linked, words, frame, remark, named, form, body, kind in ("p", "blockquote", "pre", "li", "td", "dd", "figcaption"),
                                  len(kind) == 2 and kind[0] == "h" and kind[1].isdigit()))
-            links.clear()
-
-    while True:
-        m = TOKEN.search(html, at)
-        piece = html[at:m.start() if m else len(html)]
-        if piece and not skip:
-            parts.append(piece)
-            if link:
-                links.append(piece + " ")
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if not m[1] and name not in HEADS and stack and stack[-1][0] == "head":     # ends a head that nobody closed
-            close()
-            _, framed, body = stack.pop()
-            skip -= 1
-        if m[1]:        # an end tag
-            if name == "a":
-                link = 0
-            elif name in INLINE or name in VOID:
-                pass
-            else:
-                close()
-                kind = ""
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        _, framed, body = stack[i]
-                        if name in SKIPPED:
-                            skip = sum(s[0] in SKIPPED for s in stack[:i])
-                        del stack[i:]
-                        link = 0
-                        kind = stack[-1][0] if stack else ""
-                        break
-        elif name == "a":
-            link = 1
-        elif name == "br" or name == "hr":
-            if name == "hr":
-                close()
-            else:
-                parts.append(" ")
-        elif name in INLINE or name in VOID:
-            continue
-        else:
-            close()
-            closing = m[0].endswith("/>")
-            if name in RAW and not closing:
-                end = re.compile(rf"</{name}\s*>|\Z", re.I).search(html, at)
-                at = end.end()
+        if named >= 0:
+            self.named[named] += max(0, words - linked)
+        if form >= 0:
+            self.forms[form][0] += words
+
+    def _push(self, name: str, skipped: bool) -> None:
+        self.stack.append((name, skipped, self.state))
+        self.open[name] = self.open.get(name, 0) + 1
+        self.skip += skipped
+
+    def _pop(self) -> str:
+        name, skipped, self.state = self.stack.pop()
+        self.open[name] -= 1
+        self.skip -= skipped
+        return name
+
+    def _enter(self, name: str, attributes: str) -> None:
+        """An element that is no inline one."""
+        frame, remark, named, form, body = self.state
+        self._push(name, name in SKIPPED or bool(HIDDEN.search(attributes)))
+        whole = name in BODIES or name in ("html", "body")
+        if name in BODIES and not frame:        # a wrapper named after its sidebar, say
+            named = -1
+        frame = frame or name in FRAMES and not (name == "header" and body)
+        body = body or name in BODIES
+        if attributes:
+            names = furniture(attributes, body, whole)
+            remark = remark or names == 2
+            if names == 1 and named < 0:
+                named = len(self.named)
+                self.named.append(0)
+        if name == "form" and form < 0:
+            form = len(self.forms)
+            self.forms.append([0, 0])
+        self.state = (frame, remark, named, form, body)
+
+    def _read(self, html: str) -> None:
+        at = 0
+        while True:
+            m = TOKEN.search(html, at)
+            piece = html[at:m.start() if m else len(html)]
+            if piece and not self.skip:
+                self.parts.append(piece)
+                if self.link:
+                    self.links.append(piece + " ")
+            if not m:
+                break
+            at = m.end()
+            if m[2] is None:
                 continue
-            if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-                _, framed, body = stack.pop()
-            if name == "body":      # ends a head that nobody closed
-                stack.clear()
-                skip, framed, body = 0, 0, False
-            elif not closing:
-                stack.append((name, framed, body))
-                skip += name in SKIPPED
-                if name in BODIES and framed == 1:      # a wrapper named after its sidebar, say
-                    framed = 0
-                if name in FRAMES and not (name == "header" and body):
-                    framed = 2
-                elif m[3]:
-                    framed = max(framed, furniture(m[3], body or name in BODIES))
-                body = body or name in BODIES
-            kind = name
-            link = 0
-    close()
-    return out
+            name, attributes, closing = m[2].lower(), m[3] or "", m[0].endswith("/>")
+            if not m[1] and name not in HEADS and self.stack and self.stack[-1][0] == "head":     # ends a head that nobody closed
+                self._close_block()
+                self._pop()
+            if m[1]:        # an end tag
+                if name == "a":
+                    self.link = 0
+                if name in VOID or name in INLINE and not self.open.get(name):
+                    continue
+                if name not in INLINE:
+                    self._close_block()
+                    self.kind = ""
+                if self.open.get(name):
+                    while self._pop() != name:
+                        pass
+                    if name not in INLINE:
+                        self.link = 0
+                        self.kind = self.stack[-1][0] if self.stack else ""
+                continue
+            if name in CONTROLS and self.state[3] >= 0 and not UNSEEN.search(attributes):
+                self.forms[self.state[3]][1] += 1
+            if name in INLINE:
+                self.link = 1 if name == "a" else self.link
+                hidden = bool(attributes) and bool(HIDDEN.search(attributes))
+                if (hidden or self.open.get(name)) and name not in VOID and not closing:     # followed only where it hides its text
+                    self._push(name, hidden)
+            elif name == "br":
+                self.parts.append(" ")
+            elif name == "hr":
+                self._close_block()
+            elif name in VOID:
+                continue
+            else:
+                self._close_block()
+                if name in RAW and not closing:
+                    at = re.compile(rf"</{name}\s*>|\Z", re.I).search(html, at).end()
+                    continue
+                if name in ("p", "li") and self.stack and self.stack[-1][0] == name:
+                    self._pop()
+                if name == "body":      # ends a head that nobody closed
+                    while self.stack:
+                        self._pop()
+                if not closing:
+                    self._enter(name, attributes)
+                self.kind, self.link = name, 0
+        self._close_block()
 
 
-FEATURES = ["aside", "body", "heading", "paragraph", "words", "link_density", "words_before", "density_before", "words_after", "density_after",
-            "link_run", "text_near"]
+FEATURES = ["frame", "remark", "named", "outside", "body", "heading", "paragraph", "control_share", "named_share", "named_words", "body_share", "words",
+            "link_density", "words_before", "density_before", "words_after", "density_after", "link_run", "text_near"]
 
 
 def derived(x: np.ndarray) -> np.ndarray:
     """Adds the lowest link density among a block and its neighbours, and the most words of one that is no link."""
-    words, density = x[:, [4, 6, 8]], x[:, [5, 7, 9]]
+    words, density = x[:, [11, 13, 15]], x[:, [12, 14, 16]]
     return np.column_stack([x, density.min(axis=1), (words * (1 - density)).max(axis=1)])
 
 
-def features(found: list[Block]) -> np.ndarray:
-    """One row of FEATURES per block. Its neighbours are the nearest blocks that are no asides; beyond the page there
-    is none of anything."""
+def features(page: Page) -> np.ndarray:
+    """One row of FEATURES per block.
+
+    outside: not in the article or main element of a page that has one (an article in comments or in a frame is none).
+    control_share: controls for every ten words of the form around it, 1 at most. named_share and named_words: of the text
+    that is no link, what lies in the same named element. body_share: what lies in articles. The neighbours are the nearest blocks
+    before and after that agree in frame, remark, named and outside; beyond them there is none of anything."""
+    found = page.blocks
     n = len(found)
-    flags = np.array([(b.framed, b.body, b.heading, b.paragraph) for b in found], float).reshape(n, 4)
-    # What lies outside of the article is aside; an article of a comment or in a sidebar is none.
-    flags[:, 0] = np.maximum(flags[:, 0], (flags[:, 1] > flags[:, 0]).any() * (1 - flags[:, 1])) if n else 0
+    flags = np.array([(b.frame, b.remark, b.named >= 0, 0, b.body, b.heading, b.paragraph) for b in found], float).reshape(n, 7)
+    plain = np.array([b.words - b.links for b in found], float)
+    real = (flags[:, 4] > 0) & (flags[:, 0] == 0) & (flags[:, 1] == 0)
+    flags[:, 3] = real.any() * (1 - flags[:, 4])
+    total = max(1.0, float(plain.sum()))
+    held = np.array([page.named[b.named] if b.named >= 0 else 0 for b in found], float)
+    control = np.array([min(1.0, 10 * page.forms[b.form][1] / max(1, page.forms[b.form][0])) if b.form >= 0 else 0.0 for b in found])
+    around = np.column_stack([control, held / total, held, np.full(n, plain[real].sum() / total)])
     words = np.array([0, *[b.words for b in found]], float)
     density = np.array([0, *[b.links / b.words for b in found]], float)
-    place = np.where(flags[:, 0] == 0, np.arange(1, n + 1), 0)
-    before = np.concatenate([[0], np.maximum.accumulate(place)[:-1]]) if n else place
-    after = np.where(place == 0, n + 1, place)
-    after = np.concatenate([np.minimum.accumulate(after[::-1])[::-1][1:], [n + 1]]) % (n + 1) if n else place
-    return derived(np.column_stack([flags, words[1:], density[1:], words[before], density[before], words[after], density[after]]))
+    before, after, last = np.zeros(n, int), np.zeros(n, int), {}
+    for i, b in enumerate(found):
+        zone = (b.frame, b.remark, b.named, flags[i, 3])
+        j = last.get(zone, 0)
+        before[i] = j
+        if j:
+            after[j - 1] = i + 1
+        last[zone] = i + 1
+    return derived(np.column_stack([flags, around, words[1:], density[1:], words[before], density[before], words[after], density[after]]))
 
 
 @dataclass
@@ -196,7 +254,7 @@ class Node:
     good: bool = False
 
 
-def train(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
+def train(x: np.ndarray, y: np.ndarray, depth: int = 16) -> Node:
     """Binary tree that splits (feature < limit) by the lowest Gini impurity until the rows agree."""
     if depth == 0 or y.all() or not y.any():
         return Node(good=bool(y.mean() >= 0.5) if len(y) else False)
@@ -224,18 +282,20 @@ def classify(node: Node, x: np.ndarray) -> np.ndarray:
 
 
 def trained() -> Node:
-    return train(derived(np.array([r[:-1] for r in TABLE], float)), np.array([r[-1] for r in TABLE], bool))
+    table = labelled()
+    return train(derived(table[:, :-1]), table[:, -1] > 0)
 
 
 def main_text(html: str, tree: Node) -> str:
-    found = blocks(html)
-    good = classify(tree, features(found)) if found else []
-    return "\n".join(b.text for b, g in zip(found, good) if g)
+    page = Page(html)
+    good = classify(tree, features(page)) if page.blocks else []
+    return "\n".join(b.text for b, g in zip(page.blocks, good) if g)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """`pages` (html, other columns) without html, with `text`, the main text (empty if there is none; a null page is empty),
-    and `n_chars`, its code points; columns of these names are replaced. One pass over the pages, a row at a time."""
+    and `n_chars`, its code points; columns of these names are replaced. Rows with a null or repeated page_id are pages like
+    others, an empty table gives an empty one. One pass over the pages, a row at a time."""
     given = pages.drop("text", "n_chars")
     pages = tuck(given, "html")
     kept = pages.columns[1:]

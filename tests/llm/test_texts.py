@@ -121,8 +121,73 @@ def test_main_text(spark):
 
 
 def test_tree_agrees_with_its_table():
-    x = html.derived(np.array([r[:-1] for r in html.TABLE], float))
-    assert html.classify(html.trained(), x).tolist() == [bool(r[-1]) for r in html.TABLE]
+    table = html.labelled()
+    assert html.classify(html.trained(), html.derived(table[:, :-1])).tolist() == (table[:, -1] > 0).tolist()
+
+
+LONG = " ".join(f"word{i}" for i in range(60)) + "."
+P = f"<p>{LONG}</p>"
+NAV = "<ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>About</a></ul>"
+THREE = "\n".join([LONG] * 3)
+# Class names, tags and forms that mislead, and what is to come of them.
+MISLEADING = {
+    "a page in one form": (f"<body><form action=x><input type=hidden name=state value=1><input type=hidden name=v>{NAV}<div>{P * 3}</div><input name=q><button>Go</button></form></body>", THREE),
+    "a form of controls": (f"<article>{P * 3}<form><p>Your name</p><input name=n><p>Your mail</p><input name=m><button>Send</button></form></article>", THREE),
+    "an article about law": (f"<article class='post legal'>{P * 3}</article>", THREE),
+    "an article with comments": (f"<body class='single comments-open'><article class='post has-comments'>{P * 3}</article></body>", THREE),
+    "a widget area": (f"<main><div class='widget-area'>{P * 3}</div></main>", THREE),
+    "a form guide": (f"<main><div class='form-guide'>{P * 3}</div><div class=ad>Buy one now</div></main>", THREE),
+    "an advert amid an article": (f"<main>{P}<div class='ad'><p>Buy this very good thing now, it is cheap and everybody has one.</p></div>{P * 2}</main>", THREE),
+    "a hidden inline": (f"<article><p>a <span style='display:none'>not <span>to</span> be</span>seen<b hidden>x</b> <i>b</i></p>{P}</article>", f"a seen b\n{LONG}"),
+    "hidden elements": (f"<article>{P * 3}<div hidden><p>{LONG}</p></div><div aria-hidden='true'>{P}</div></article>", THREE),
+    "responses": (f"<article>{P * 3}</article><section id='responses'>{P}</section><div class='user-feedback'>{P * 2}</div>", THREE),
+    "responses in the article": (f"<main>{P * 3}<section id='responses'><p>I like it</p>{P}</section></main>", THREE),
+    "a teaser in the only article": (f"<body><div>{P * 3}</div><article><h3>More</h3></article></body>", f"{THREE}\nMore"),
+}
+
+
+@pytest.mark.parametrize("case", MISLEADING)
+def test_names_and_tags_that_mislead(case):
+    page, want = MISLEADING[case]
+    assert html.main_text(page, html.trained()) == want
+
+
+def test_words_links_and_neighbours_decide():
+    """The same tags and names: only words, link densities and neighbours differ, and so does the verdict."""
+    tree = html.trained()
+    taken = lambda page: html.main_text(page, tree).split("\n")
+    for wrap in ("<div>{}</div>", "<main>{}</main>", "<div class='widget'>{}</div>"):
+        inside = lambda body: taken(wrap.format(body))
+        assert "Home" not in inside(NAV + P * 3) and inside(NAV + P * 3)[-1] == LONG                       # a run of links
+        items = [" ".join(f"{k}{i}" for i in range(15)) for k in "abc"]
+        assert inside("<ul><li>" + "<li>".join(items) + f"</ul>{P * 3}")[:3] == items                       # a list without
+        linked = f"<p><a href=x>{LONG}</a></p>"
+        assert len(inside(P + linked * 4)) < 5 == len(inside(P * 5))                                       # the same words as links
+    short, among = "<div>Copyright us</div>", taken(f"<div>{NAV}{P * 2}<div>Copyright us</div></div>")
+    assert "Copyright us" not in among and taken(f"<div>{short}</div>") != among
+    # Without these features the tree could not tell them apart.
+    table = html.labelled()
+    x, y = html.derived(table[:, :-1]), table[:, -1] > 0
+    numbers = [html.FEATURES.index(f) for f in ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "link_run", "text_near")]
+    blind = x.copy()
+    blind[:, numbers] = 0
+    assert (html.classify(html.train(blind, y), blind) != y).sum() > 20
+    used = lambda n: set() if n.feature < 0 else {html.FEATURES[n.feature]} | used(n.low) | used(n.high)
+    assert {"words", "link_density"} < used(tree) and used(tree) & {"words_before", "words_after", "link_run", "text_near"}
+
+
+def test_deep_pages_and_repeated_rows(spark):
+    import time
+
+    start = time.perf_counter()
+    tree = html.trained()
+    deep = "<div>" * 100_000 + "x" + "</p>" * 100_000
+    assert html.main_text(deep, tree) in ("", "x")
+    assert html.main_text("<div><span hidden>" * 50_000 + "x" + "</div>" * 50_000 + P, tree) in ("", LONG)
+    assert time.perf_counter() - start < 20
+    rows = [(1, P), (1, P), (None, P), (None, None)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    assert sorted((str(r.page_id), r.text) for r in got) == sorted([("1", LONG), ("1", LONG), ("None", LONG), ("None", "")])
 
 
 def alike(texts, width=5, similarity=0.8):
