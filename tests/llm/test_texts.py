@@ -158,7 +158,7 @@ def test_words_links_and_neighbours_decide():
     taken = lambda page: html.main_text(page, tree).split("\n")
     for wrap in ("<div>{}</div>", "<main>{}</main>", "<div class='widget'>{}</div>"):
         inside = lambda body: taken(wrap.format(body))
-        assert "Home" not in inside(NAV + P * 3) and inside(NAV + P * 3)[-1] == LONG                       # a run of links
+        assert "News" not in inside(NAV + P * 3) and inside(NAV + P * 3)[-1] == LONG                       # amid a run of links
         items = [" ".join(f"{k}{i}" for i in range(15)) for k in "abc"]
         assert inside("<ul><li>" + "<li>".join(items) + f"</ul>{P * 3}")[:3] == items                       # a list without
         linked = f"<p><a href=x>{LONG}</a></p>"
