@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewise.llm import lines, mixing, packing, simhash, toxicity
-from tapewise.llm.common import read, table, tuck, untuck
+from tapewise.llm.common import drop, read, table, tuck, untuck
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +52,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-# The network and the packing have no SQL form; tests/llm/test_pipeline.py has a brute-force version.
+# The network and the packing have no SQL form; tests/llm/test_texts.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each stage's rows are written and read again by the next one."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents of a folder; each stage's rows are written and read again by the next one, and go when
+    that one's are complete."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
