@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import WEEK_MS, ratio
 from ..functions.ranks import exact_quantiles
+from ..functions.scan import ROWS_PER_BUCKET, asof
 from ..session import shared
 from .score import MAX_STEP_ABS_RET, random_pick
 from .returns import infer_step
@@ -94,19 +95,17 @@ def with_equity(periods: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFr
     return periods.withColumn("equity", F.product(1 + F.col("net_ret")).over(w))
 
 
-def price_asof(prices: DataFrame, dates: DataFrame, at: str, name: str) -> DataFrame:
-    """The last close at or before each date (prices: time_ms, close, one row per time)."""
-    rows = (prices.select(F.col("time_ms").alias("t"), F.lit(0).alias("side"), "close")
-            .unionByName(dates.select(F.col(at).alias("t"), F.lit(1).alias("side")).distinct(), allowMissingColumns=True)
-            .withColumn("one", F.lit(1)))
-    w = Window.partitionBy("one").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return (rows.withColumn(name, F.last("close", ignorenulls=True).over(w)).filter(F.col("side") == 1)
-            .select(F.col("t").alias(at), name))
+def price_asof(prices: DataFrame, dates: DataFrame, at: str, name: str, rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The last close at or before each date (prices: time_ms, close, one row per time). The series is one entity of the
+    ordered scan, which cuts it into slices of `rows` rows when it is long."""
+    one = F.lit(1).alias("series")
+    found = asof(dates.select(one, at).distinct(), prices.select(one, "time_ms", "close"), ["series"], at, "time_ms", ["close"], {"backward": "_"},
+                 rows_per_bucket=rows)
+    return found.select(at, F.col("_close").alias(name))
 
 
 def buy_and_hold(prices: DataFrame, periods: DataFrame, strategy: str = "buy_and_hold") -> DataFrame:
-    """The period table of holding one asset (prices: time_ms, close). Both sides are calendar-sized:
-    one close per day and one row per formation date."""
+    """The period table of holding one asset (prices: time_ms, close, of any resolution)."""
     dates = periods.select("formation_ms", "end_ms").distinct()
     p0 = price_asof(prices, dates, "formation_ms", "p0")
     p1 = price_asof(prices, dates, "end_ms", "p1")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY_MS, WEEK_MS, ratio, sunday_ceil_ms, week_floor_ms
+from ..functions.scan import ROWS_PER_BUCKET, asof, previous
 from .latest import keep_one, last_in_bucket, latest_by_snapshot
 
 DEFAULT_COMMISSION = 0.10      # fixed value: leader share assumed where a vault does not state one
@@ -127,20 +128,20 @@ def weekly_returns_from_ratio(pnl: DataFrame, traders: DataFrame) -> DataFrame:
         (F.col("pnl") - F.lag("pnl").over(w)).alias("dpnl"), (growth - 1).alias("ret"))
 
 
-def benchmark_step_returns(candles: DataFrame, ends: DataFrame, coin: str = "BTC") -> DataFrame:
+def benchmark_step_returns(candles: DataFrame, ends: DataFrame, coin: str = "BTC", interval: str | None = "1d",
+                           rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """Benchmark return over each distinct step end: closes as-of the end, however old.
 
-    Both inputs are reduced to one row per day and per step before the calendar-sized window."""
-    closes = (candles.filter(F.col("coin") == coin).groupBy("time_ms")
-              .agg(F.max_by("close", "snapshot_at").alias("close")))
-    grid = ends.select("end_ms").distinct()
-    rows = (closes.select(F.col("time_ms").alias("t"), F.lit(0).alias("side"), "close")
-            .unionByName(grid.select(F.col("end_ms").alias("t"), F.lit(1).alias("side")), allowMissingColumns=True)
-            .withColumn("one", F.lit(1)))
-    asof = Window.partitionBy("one").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    snapped = (rows.withColumn("close", F.last("close", ignorenulls=True).over(asof)).filter(F.col("side") == 1))
-    before = F.lag("close").over(Window.partitionBy("one").orderBy("t"))
-    return snapped.select(F.col("t").alias("end_ms"), (ratio(F.col("close"), before) - 1).alias("btc_ret"))
+    Of candles with an `interval`, those of the given one (None: all). One coin's series is one entity of the ordered scans, which
+    cut it into slices of `rows` rows when it is long (minute candles, say)."""
+    series = candles.filter(F.col("coin") == coin)
+    if interval is not None and "interval" in candles.columns:
+        series = series.filter(F.col("interval") == interval)
+    closes = series.groupBy("coin", "time_ms").agg(F.max_by("close", "snapshot_at").alias("close"))
+    grid = ends.select(F.lit(coin).alias("coin"), "end_ms").distinct()
+    snapped = asof(grid, closes, ["coin"], "end_ms", "time_ms", ["close"], {"backward": "at_"}, rows_per_bucket=rows)
+    steps = previous(snapped.select("coin", "end_ms", "at_close"), ["coin"], ["end_ms"], {"before": F.col("at_close")}, rows)
+    return steps.select("end_ms", (ratio(F.col("at_close"), F.col("before")) - 1).alias("btc_ret"))
 
 
 def daily_pnl_returns(equity: DataFrame, users: DataFrame | None = None, min_prev: float = 100.0) -> DataFrame:

@@ -148,3 +148,19 @@ def test_accumulation_rules(spark):
     table = A.accumulate_backtest(closes, {"strong": ("strong", 1), "btc": ("btc_only", 1)}, cost=0.0, features=feats)
     final = {r.strategy: r.equity for r in table.orderBy("formation_ms").collect()}
     assert final["strong"] > final["btc"] > 1
+
+
+def test_benchmark_of_one_interval_whatever_the_slices(spark):
+    minutes = [("BTC", "1m", t * 60_000, float(100 + t % 97), "a") for t in range(500)]
+    days = [("BTC", "1d", t * 60_000, 1000.0 + t, "b") for t in range(0, 500, 50)]
+    candles = spark.createDataFrame(minutes + days + [("ETH", "1m", 0, 5.0, "a")], "coin string, interval string, time_ms long, close double, snapshot_at string")
+    ends = spark.createDataFrame([(e,) for e in (-5, 30_000, 100 * 60_000, 100 * 60_000, 499 * 60_000)], "end_ms long")
+    want = lambda close: [(-5, None), (30_000, None), (6_000_000, close(100) / close(0) - 1), (29_940_000, close(499) / close(100) - 1)]
+    for rows in (7, 1_000_000):
+        got = lambda interval: sorted((r.end_ms, r.btc_ret) for r in R.benchmark_step_returns(candles, ends, "BTC", interval, rows).collect())
+        assert got("1m") == want(lambda t: 100.0 + t % 97) and got("1d") == want(lambda t: 1000.0 + t // 50 * 50)
+    px = candles.filter("interval = '1m' and coin = 'BTC'")
+    dates = spark.createDataFrame([(60_000, 120_000), (-9, 60_000)], "formation_ms long, end_ms long")
+    got = {(r.end_ms): r.p for r in B.price_asof(px, dates, "end_ms", "p", 7).collect()}
+    assert got == {120_000: 102.0, 60_000: 101.0}
+    assert [round(r.gross_ret, 9) for r in B.buy_and_hold(px, dates).orderBy("formation_ms").collect()] == [0.0, round(102 / 101 - 1, 9)]
