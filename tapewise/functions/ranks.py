@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared
 from .exprs import col, finite
 from .scan import BUCKET, SEED, drop_seeds, in_bucket, seeded
 
@@ -68,9 +69,13 @@ def ranked(df: DataFrame, keys: Sequence[str], value: str, rank: str = "rank",
     return joined.select("l.*", f"r.{rank}", *[f"r.{e}" for e in extra])
 
 
-def text_position(df: DataFrame, keys: Sequence[str], text: str, pos: str, chars: int = 4) -> DataFrame:
-    """Adds each row's 1-based position in ascending text order, spread over tasks by text prefix."""
-    rows = seeded(df.withColumn(BUCKET, F.substring(text, 1, chars)), keys, {"_before": (F.count(F.lit(1)), F.sum)})
+def text_position(df: DataFrame, keys: Sequence[str], text: str, pos: str) -> DataFrame:
+    """Adds each row's 1-based position in ascending text order within its group.
+
+    The rows are range-sorted by (keys, text) and written once, so slices are balanced whatever start the texts
+    share; one count per slice tells the positions before it."""
+    slices = shared(df.repartitionByRange(*keys, text).withColumn(BUCKET, F.spark_partition_id().cast("long")))
+    rows = seeded(slices, keys, {"_before": (F.count(F.lit(1)), F.sum)})
     w = in_bucket(keys, text)
     offset = F.first("_before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     seeds_so_far = F.sum(1 - F.col(SEED)).over(w.rowsBetween(Window.unboundedPreceding, 0))

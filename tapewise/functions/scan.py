@@ -46,13 +46,6 @@ def split_hot(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int
     return df.join(hot.select(*by), same, "left_anti"), shared(sliced)
 
 
-def sliced(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int = ROWS_PER_BUCKET) -> DataFrame:
-    """`df` with `_bucket`: that of `split_hot` for hot entities, 0 for all others."""
-    cold, hot = split_hot(df, by, order, rows)
-    cold = cold.withColumn(BUCKET, F.lit(0).cast("long"))
-    return cold if hot is None else cold.unionByName(hot)
-
-
 def last_value(c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY_MS, HOUR_MS, ratio
 from ..functions.ranks import exact_quantiles
-from ..functions.scan import BUCKET, ROWS_PER_BUCKET, SEED, affine_scan, asof, previous, sliced
+from ..functions.scan import BUCKET, ROWS_PER_BUCKET, SEED, affine_scan, asof, previous, split_hot
 from ..session import shared
 from .latest import dedup_fills
 
@@ -21,7 +21,7 @@ SPOT_DIRS = ("Buy", "Sell", "Spot Dust Conversion")
 FLIP_DIRS = ("Long > Short", "Short > Long")
 MAX_PLAUSIBLE_LEVERAGE = 50.0
 EQUITY_TOLERANCE_MS = 15 * DAY_MS
-DUST_USD = 1e-6
+RELATIVE_DUST = 1e-12
 SUB_POLL_HOURS = 2 / 60
 SHORT_TRADE_HOURS = 0.25
 # (rule, feature, limit, closed trades needed to act on it)
@@ -59,38 +59,57 @@ def perp_fills(fills: DataFrame) -> DataFrame:
         "_l.position_after", "_l.closed_pnl", "_l.fee", "_l.liquidated", "tid", "_l.leg")
 
 
-def round_trips(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """One row per trade, from flat to flat (still open: closed_ms is null).
-
-    Adds are compared with the average entry before them: an add at a worse price averages down. The
-    average entry is a linear recurrence over the fills of a trade; it is scanned inside each
-    (user, coin, bucket), and buckets are chained through one summary row each."""
-    keys, order = ["user", "coin"], list(ORDER)
-    here = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+def _marked(rows: DataFrame, here) -> DataFrame:
+    """Fills with what the recurrence of the average entry needs: y = w * y + b. An add mixes its price in, a
+    reduction changes nothing, an opening starts afresh (`_open_b`)."""
     start, after, px, size = F.col("start_position"), F.col("position_after"), F.col("px"), F.abs(F.col("signed_sz"))
-    rows = sliced(perp, keys, order, rows_per_bucket)
-    rows = rows.withColumn("_before", F.lag("position_after").over(here)).withColumn(
-        "_first", F.row_number().over(here) == 1)
-    rows = rows.withColumn("_opens", (start == 0) | F.coalesce(F.col("_before") == 0, F.lit(False)))
     grows = F.abs(after) > F.abs(start)
-    # y = w * y + b: an add mixes its price in, a reduction changes nothing, an opening starts afresh.
-    rows = (rows.withColumn("_grows", grows)
+    rows = rows.withColumn("_before", F.lag("position_after").over(here)).withColumn("_first", F.row_number().over(here) == 1)
+    return (rows.withColumn("_opens", (start == 0) | F.coalesce(F.col("_before") == 0, F.lit(False)))
+            .withColumn("_grows", grows)
             .withColumn("_w", F.when(grows, F.abs(start) / F.abs(after)).otherwise(1.0))
             .withColumn("_b", F.when(grows, px * size / F.abs(after)).otherwise(0.0))
             .withColumn("_open_b", F.when(grows, px * (F.abs(start) + size) / F.abs(after)).otherwise(px))
             .withColumn("_long", F.col("signed_sz") > 0))
+
+
+def _opening() -> Column:
+    return F.struct(*ORDER, F.col("_long").alias("long"))
+
+
+# What a trade is made of, per fill.
+TRIP_ROW = ("user", "coin", *ORDER, "px", "signed_sz", "start_position", "position_after", "closed_pnl", "fee", "liquidated",
+            "_grows", "_opens", "_avg", "_avg_before", "_trade")
+
+
+def _whole_trips(perp: DataFrame, keys: list[str]) -> DataFrame:
+    """Fills of ordinary users with their trade and average entry: one sort, no join. A user's first fill opens."""
+    here = Window.partitionBy(*keys).orderBy(*ORDER)
+    rows = _marked(perp, here)
+    rows = rows.withColumn("_opens", F.col("_opens") | F.col("_first"))
+    rows = affine_scan(rows, keys, list(ORDER), F.when(F.col("_opens"), 0.0).otherwise(F.col("_w")),
+                       F.when(F.col("_opens"), F.col("_open_b")).otherwise(F.col("_b")), "_avg")
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_avg_before", F.lag("_avg").over(here)).withColumn(
+        "_trade", F.last(F.when(F.col("_opens"), _opening()), ignorenulls=True).over(upto)).select(*TRIP_ROW)
+
+
+def _sliced_trips(perp: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for hot users, whose fills come in slices: the recurrence is scanned inside each (user, coin, slice),
+    and slices are chained through one summary row each."""
+    order = list(ORDER)
+    here = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    rows = _marked(perp, here)
     rows = rows.withColumn("_rw", F.when(F.col("_opens"), 0.0).otherwise(F.col("_w")))
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
-    # Product of the weights after the bucket's first row: what is left of anything injected there.
+    # Product of the weights after the slice's first row: what is left of anything injected there.
     rows = rows.withColumn("_left", F.product(F.when(F.col("_first"), 1.0).otherwise(F.col("_rw"))).over(upto))
     rows = shared(affine_scan(rows, [*keys, BUCKET], order, F.col("_rw"),
                               F.when(F.col("_opens"), F.col("_open_b")).otherwise(F.col("_b")), "_own"))
-    key = F.struct(*order)
-    opening = F.struct(*order, F.col("_long").alias("long"))
     summary = rows.groupBy(*keys, BUCKET).agg(
-        F.min_by(F.struct("_opens", "_w", "_b", "_open_b", opening.alias("opening")), key).alias("f"),
-        F.max_by(F.struct(after.alias("after"), F.col("_own").alias("own"), F.col("_left").alias("left")), key).alias("l"),
-        F.max(F.when(F.col("_opens"), opening)).alias("opening"))
+        F.min_by(F.struct("_opens", "_w", "_b", "_open_b", _opening().alias("opening")), F.struct(*ORDER)).alias("f"),
+        F.max_by(F.struct(F.col("position_after").alias("after"), F.col("_own").alias("own"), F.col("_left").alias("left")), F.struct(*ORDER)).alias("l"),
+        F.max(F.when(F.col("_opens"), _opening())).alias("opening"))
     chain = Window.partitionBy(*keys).orderBy(BUCKET)
     ended = F.coalesce(F.lag("l.after").over(chain) == 0, F.lit(True))
     summary = summary.withColumn("_new", ~F.col("f._opens") & ended)
@@ -108,8 +127,21 @@ def round_trips(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Data
         F.first("_opens").over(upto), 0.0).otherwise(F.first("_w").over(upto) * F.coalesce("_avg_in", F.lit(0.0)))
     rows = rows.withColumn("_opens", F.col("_opens") | (F.col("_first") & F.col("_new")))
     rows = rows.withColumn("_avg", F.col("_own") + F.col("_left") * inject).withColumn(
-        "_trade", F.coalesce(F.last(F.when(F.col("_opens"), opening), ignorenulls=True).over(upto), F.col("_trade_in")))
-    rows = rows.withColumn("_avg_before", F.when(F.col("_first"), F.col("_avg_in")).otherwise(F.lag("_avg").over(here)))
+        "_trade", F.coalesce(F.last(F.when(F.col("_opens"), _opening()), ignorenulls=True).over(upto), F.col("_trade_in")))
+    return rows.withColumn("_avg_before", F.when(F.col("_first"), F.col("_avg_in")).otherwise(F.lag("_avg").over(here))).select(*TRIP_ROW)
+
+
+def round_trips(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """One row per trade, from flat to flat (still open: closed_ms is null).
+
+    Adds are compared with the average entry before them: an add at a worse price averages down. The
+    average entry is a linear recurrence over the fills of a trade."""
+    keys = ["user", "coin"]
+    cold, hot = split_hot(perp, keys, ORDER, rows_per_bucket)
+    rows = _whole_trips(cold, keys)
+    if hot is not None:
+        rows = rows.unionByName(_sliced_trips(hot, keys))
+    start, after, px, size = F.col("start_position"), F.col("position_after"), F.col("px"), F.abs(F.col("signed_sz"))
     adds = F.col("_grows") & (start != 0)
     worse = ~F.col("_opens") & adds & F.when(F.col("_trade.long"), px < F.col("_avg_before")).otherwise(px > F.col("_avg_before"))
     out = rows.groupBy(*keys, F.col("_trade.time_ms").alias("opened_ms"), F.col("_trade.tid").alias("_tid"),
@@ -119,7 +151,7 @@ def round_trips(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Data
         F.count_if(~F.col("_grows") & (after != 0)).alias("n_partial_exits"),
         F.max(F.when(F.col("_opens"), size * px)).alias("initial_notional"),
         F.max(F.greatest(F.abs(after) * px, F.abs(start) * px)).alias("max_notional"),
-        F.max_by("_avg", key).alias("avg_entry"), F.sum("closed_pnl").alias("realized_pnl"), F.sum("fee").alias("fees"),
+        F.max_by("_avg", F.struct(*ORDER)).alias("avg_entry"), F.sum("closed_pnl").alias("realized_pnl"), F.sum("fee").alias("fees"),
         F.max("liquidated").alias("liquidated"))
     return out.select(
         "user", "coin", "opened_ms", "closed_ms", F.when(F.col("_is_long"), "long").otherwise("short").alias("side"),
@@ -134,30 +166,43 @@ def equity_points(equity: DataFrame) -> DataFrame:
     return equity.groupBy("user", "time_ms").agg(F.min("account_value").alias("equity"))
 
 
-def gross_notional(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def _gross(rows: DataFrame, w_coin, w_user, first: Column) -> DataFrame:
+    """Adds `gross`, a running sum of what each fill changes in its coin's notional, and `_peak`, the largest notional so far."""
+    rows = rows.withColumn("_last", F.lag("x").over(w_coin))
+    return rows.withColumn("_d", F.when(F.col(SEED) == 1, F.col("x") - F.coalesce("_last", F.lit(0.0))).otherwise(first)).select(
+        "*", F.sum("_d").over(w_user).alias("gross"), F.max("x").over(w_user).alias("_peak"))
+
+
+def gross_notional(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, dust: float = RELATIVE_DUST) -> DataFrame:
     """Gross notional across coins after every fill: each position at its own last fill price.
 
-    The gross is a running sum of changes per coin; each bucket starts from what the coins were worth
-    at the end of earlier buckets. Rounding dust of the sums counts as flat."""
+    The gross is a running sum of changes per coin. Ordinary users take two windows over one shuffle; a slice of a hot
+    user starts from what the coins were worth at the end of earlier slices. What a sum leaves below `dust` times the
+    largest notional so far is rounding and counts as flat."""
     order = list(ORDER)
-    rows = sliced(perp.select("user", "coin", *order, (F.abs(F.col("position_after")) * F.col("px")).alias("x")),
-                  ["user"], order, rows_per_bucket)
-    per = rows.groupBy("user", "coin", BUCKET).agg(F.max_by("x", F.struct(*order)).alias("x"))
-    before = F.lag("x").over(Window.partitionBy("user", "coin").orderBy(BUCKET))
-    per = per.withColumn("x_in", before)
-    total = per.groupBy("user", BUCKET).agg(F.sum(F.col("x") - F.coalesce("x_in", F.lit(0.0))).alias("d"))
-    gross_in = F.sum("d").over(Window.partitionBy("user").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1))
-    coin_seeds = per.filter(F.col("x_in").isNotNull()).select("user", "coin", BUCKET, F.lit(0).alias(SEED), F.col("x_in").alias("x"))
-    user_seeds = total.select("user", BUCKET, F.lit(0).alias(SEED), F.coalesce(gross_in, F.lit(0.0)).alias("gross_in"))
-    rows = (rows.withColumn(SEED, F.lit(1)).unionByName(coin_seeds, allowMissingColumns=True)
-            .unionByName(user_seeds, allowMissingColumns=True).repartition("user", BUCKET))
-    last = F.lag("x").over(Window.partitionBy("user", BUCKET, "coin").orderBy(SEED, *order))
-    change = F.when(F.col(SEED) == 1, F.col("x") - F.coalesce("_last", F.lit(0.0))).otherwise(F.coalesce("gross_in", F.lit(0.0)))
-    rows = rows.withColumn("_last", last).withColumn("_d", change)
-    upto = Window.partitionBy("user", BUCKET).orderBy(SEED, *order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("gross", F.sum("_d").over(upto)).filter(F.col(SEED) == 1)
-    return rows.select("user", "time_ms", "tid", "leg",
-                       F.when(F.abs("gross") < DUST_USD, 0.0).otherwise(F.col("gross")).alias("gross"))
+    cold, hot = split_hot(perp.select("user", "coin", *order, (F.abs(F.col("position_after")) * F.col("px")).alias("x")),
+                          ["user"], order, rows_per_bucket)
+    shown = ("user", *order, "gross", "_peak")
+    upto = Window.unboundedPreceding, 0
+    # One shuffle by user serves both windows.
+    out = _gross(cold.withColumn(SEED, F.lit(1)).repartition("user"), Window.partitionBy("user", "coin").orderBy(*order),
+                 Window.partitionBy("user").orderBy(*order).rowsBetween(*upto), F.lit(0.0)).select(*shown)
+    if hot is not None:
+        per = hot.groupBy("user", "coin", BUCKET).agg(F.max_by("x", F.struct(*order)).alias("x"), F.max("x").alias("top"))
+        before = F.lag("x").over(Window.partitionBy("user", "coin").orderBy(BUCKET))
+        per = per.withColumn("x_in", before)
+        total = per.groupBy("user", BUCKET).agg(F.sum(F.col("x") - F.coalesce("x_in", F.lit(0.0))).alias("d"), F.max("top").alias("top"))
+        earlier = Window.partitionBy("user").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        coin_seeds = per.filter(F.col("x_in").isNotNull()).select("user", "coin", BUCKET, F.lit(0).alias(SEED), F.col("x_in").alias("x"))
+        user_seeds = total.select("user", BUCKET, F.lit(0).alias(SEED), F.coalesce(F.sum("d").over(earlier), F.lit(0.0)).alias("gross_in"),
+                                  F.max("top").over(earlier).alias("x"))
+        rows = (hot.withColumn(SEED, F.lit(1)).unionByName(coin_seeds, allowMissingColumns=True)
+                .unionByName(user_seeds, allowMissingColumns=True).repartition("user", BUCKET))
+        rows = _gross(rows, Window.partitionBy("user", BUCKET, "coin").orderBy(SEED, *order),
+                      Window.partitionBy("user", BUCKET).orderBy(SEED, *order).rowsBetween(*upto), F.coalesce("gross_in", F.lit(0.0)))
+        out = out.unionByName(rows.filter(F.col(SEED) == 1).select(*shown))
+    flat = F.abs("gross") <= F.lit(dust) * F.col("_peak")
+    return out.select("user", *order, F.when(flat, 0.0).otherwise(F.col("gross")).alias("gross"))
 
 
 def gross_exposure(perp: DataFrame, equity: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:

@@ -136,8 +136,8 @@ def census_plan(leaderboard: DataFrame, vaults: DataFrame, previous: DataFrame |
     if previous is not None:
         plan = plan.unionByName(previous.select("user")).distinct()
     shuffled = plan.withColumn("_h", hash_order(F.col("user"), F.lit(seed))).withColumn("_all", F.lit(1))
-    # A global order: positions are counted per hash prefix, never in one sorted task.
-    return text_position(shuffled, ["_all"], "_h", "position", chars=3).select("user", "position")
+    # A global order: positions are counted per slice of a range sort, never in one sorted task.
+    return text_position(shuffled, ["_all"], "_h", "position").select("user", "position")
 
 
 def candidate_funnel(candidates: DataFrame, top_score: int = 100, top_sharpe: int = 50) -> DataFrame:

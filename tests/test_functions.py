@@ -108,6 +108,20 @@ def test_ranks_and_quantiles(spark):
     assert [u for u, _ in sorted(pos.items(), key=lambda i: i[1])] == sorted(u for g, u, _ in data if g == "g")
 
 
+def test_positions_of_texts_with_a_common_start_are_spread(spark):
+    names = [f"0xaaaaaaaaaa{i:05d}" for i in range(4000)]
+    df = spark.createDataFrame([(g, n) for n in names for g in ("g", "h")], "k string, name string").repartition(3)
+    conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = df.filter("k = 'g'").repartitionByRange("k", "name").groupBy(F.spark_partition_id()).count().collect()
+        got = {(r.k, r["name"]): r.p for r in K.text_position(df, ["k"], "name", "p").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", conf)
+    assert len(cut) == 4 and max(r["count"] for r in cut) < 2000
+    assert got == {(g, n): i + 1 for i, n in enumerate(names) for g in ("g", "h")}
+
+
 def test_quantiles_of_a_value_that_most_rows_share(spark):
     data = [("g", 7.0)] * 900 + [("g", float(v)) for v in range(100)] + [("h", 1.0), ("h", 4.0)]
     df = spark.createDataFrame(data, "k string, v double")

@@ -74,17 +74,21 @@ def test_round_trips_and_exposure_of_a_known_tape(spark, rows):
 def test_round_trips_account_for_every_fill_whatever_the_slices(spark):
     perp = H.perp_fills(spark.createDataFrame(tape(1), FILLS)).persist()
     fills = perp.toPandas()
-    whole, cut = ({(t.user, t.coin, t.opened_ms, t.open_tid, t.open_leg): t.asDict() for t in H.round_trips(perp, n).collect()} for n in (10_000, 9))
-    assert whole.keys() == cut.keys() and len(whole) > 50
-    for k, t in whole.items():
-        assert {c: v for c, v in t.items() if not isinstance(v, float)} == {c: v for c, v in cut[k].items() if not isinstance(v, float)}
-        assert {c: v for c, v in t.items() if isinstance(v, float)} == pytest.approx({c: v for c, v in cut[k].items() if isinstance(v, float)})
-        assert t["n_adds_losing"] <= t["n_adds"] and t["initial_notional"] <= t["max_notional"] + 1e-9
+    # Nobody is hot, everybody is, one user is.
+    whole, *cuts = ({(t.user, t.coin, t.opened_ms, t.open_tid, t.open_leg): t.asDict() for t in H.round_trips(perp, n).collect()}
+                    for n in (10_000, 9, 120))
+    assert len(whole) > 50
+    for cut in cuts:
+        assert whole.keys() == cut.keys()
+        for k, t in whole.items():
+            assert {c: v for c, v in t.items() if not isinstance(v, float)} == {c: v for c, v in cut[k].items() if not isinstance(v, float)}
+            assert {c: v for c, v in t.items() if isinstance(v, float)} == pytest.approx({c: v for c, v in cut[k].items() if isinstance(v, float)})
+            assert t["n_adds_losing"] <= t["n_adds"] and t["initial_notional"] <= t["max_notional"] + 1e-9
     assert sum(t["n_fills"] for t in whole.values()) == len(fills)
     assert sum(t["pnl_net"] for t in whole.values()) == pytest.approx((fills.closed_pnl - fills.fee).sum())
     # Gross: the last value of each coin, summed.
     fills["x"] = fills.position_after.abs() * fills.px
-    for n in (10_000, 9):
+    for n in (10_000, 9, 300):
         path = {(r.user, r.time_ms, r.tid, r.leg): r.gross for r in H.gross_notional(perp, n).collect()}
         for user, g in fills.groupby("user"):
             wide = g.sort_values(["time_ms", "tid", "leg"]).set_index(["time_ms", "tid", "leg"]).pivot(columns="coin", values="x")
@@ -92,6 +96,16 @@ def test_round_trips_account_for_every_fill_whatever_the_slices(spark):
                 assert path[(user, *at)] == pytest.approx(total, abs=1e-6)
 
 
+def test_small_positions_are_not_taken_for_rounding(spark):
+    tiny = legs(("s", "A", 1, "Open Long", 1e-9, 2.0, 0.0, 0.0), ("s", "A", 2, "Close Long", 1e-9, -1.0, 2.0, 0.0), ("s", "A", 3, "Close Long", 1e-9, -1.0, 1.0, 0.0))
+    big = legs(*[("b", c, i, "Open Long", p, q, st, 0.0) for i, (c, p, q, st) in enumerate(
+        [("A", 0.1, 3.0, 0.0), ("B", 0.7, 1.0, 0.0), ("A", 0.1, -3.0, 3.0), ("B", 0.7, -1.0, 1.0)])])
+    perp = H.perp_fills(spark.createDataFrame(tiny + big, FILLS)).persist()
+    for n in (1, 10_000):
+        path = {(r.user, r.time_ms): r.gross for r in H.gross_notional(perp, n).collect()}
+        assert [path["s", t] for t in (1, 2, 3)] == pytest.approx([2e-9, 1e-9, 0.0], abs=1e-18) and path["s", 3] == path["b", 3] == 0.0
+
+
 def test_flip_is_split(spark):
     rows = [("u", 1, "BTC", "B", "Open Long", 100.0, 4.0, 0.0, 0.0, 4.0, False, 1, 1),
             ("u", 2, "BTC", "A", "Long > Short", 110.0, 7.0, 4.0, 40.0, 7.0, True, 2, 2),
