@@ -475,6 +475,17 @@ def _(t):
     return pairs(t)
 
 
+cte(crowd_ret="select user, day_ms, ret from fx_daily_ret where ret is not null",
+    crowd_pairs="""select 'all' as grp, a.user as a, b.user as b, count(*) as days, corr(a.ret, b.ret) as corr from crowd_ret a
+      join crowd_ret b on a.day_ms = b.day_ms and a.user < b.user group by all having count(*) >= 20 and corr(a.ret, b.ret) >= 0.5""")
+
+
+@query("P1_correlated_crowd", "grp a b days ~corr", "crowd_pairs")
+def _(t):
+    everyone = t.fx_daily_ret.select(F.lit("all").alias("grp"), "user").distinct()
+    return G.correlated_pairs(t.fx_daily_ret, everyone, 0.5, 20, block_users=64, step_ms=DAY)
+
+
 LINKS = ("select grp, a, b from corr_pairs union all select grp, b, a from corr_pairs union all "
          "select strategy, user, user from fx_chosen")
 cte(links=LINKS,

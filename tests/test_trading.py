@@ -188,6 +188,31 @@ def test_long_chain_is_one_component(spark):
     assert {r.component for r in G.correlation_groups(pairs, chosen).collect()} == {"u00"}
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_correlated_pairs_of_traders_who_come_and_go(spark, block):
+    r, rows = random.Random(5), []
+    mood = {d: r.gauss(0, 1) for d in range(200)}
+    for u in range(24):
+        begin, n = 8 * u, r.choice([5, 12, 40, 60])         # late traders share no days with early ones
+        rows += [(f"u{u:02d}", d * DAY_MS, (1 if u % 3 else -1) * mood[d] / 50 + r.gauss(0, 0.01))
+                 for d in range(begin, min(begin + n, 200)) if r.random() < 0.95]
+    rows += [("flat", d * DAY_MS, 0.0) for d in range(60)] + [("gone", 1, None)]
+    daily = spark.createDataFrame(rows, "user string, day_ms long, ret double")
+    users = sorted({u for u, _, _ in rows})
+    chosen = spark.createDataFrame([("g", u) for u in users] + [("h", u) for u in users[:4]] + [("g", "unknown")], "grp string, user string")
+    wide = daily.toPandas().dropna().pivot(index="day_ms", columns="user", values="ret")
+    want = {}
+    for group, among in (("g", users), ("h", users[:4])):
+        for i, a in enumerate(among):
+            for b in among[i + 1:]:
+                both = wide[[a, b]].dropna() if {a, b} <= set(wide) else []
+                if len(both) >= 12 and both.std().min() > 0 and both.corr().iloc[0, 1] >= 0.5:
+                    want[group, a, b] = (len(both), pytest.approx(both.corr().iloc[0, 1]))
+    got = {(x.grp, x.a, x.b): (x.days, x["corr"]) for x in G.correlated_pairs(daily, chosen, 0.5, 12, block, DAY_MS).collect()}
+    assert got == want and len(want) > 5
+    assert G.correlated_pairs(daily.limit(0), chosen).count() == G.correlated_pairs(daily, chosen.limit(0)).count() == 0
+
+
 def test_tracking_gap(spark):
     rows = []
     for h in range(6):
