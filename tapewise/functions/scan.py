@@ -126,15 +126,29 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, rig
     of the added columns: prefix + right_on and prefix + each value, null where nothing matches.
     The right side must be unique per (by, right_on). Both sides are shuffled once by entity; only
     entities with more than `rows_per_bucket` rows on both sides together are cut into buckets."""
-    names = [right_on, *values]
-    lcols = left.columns
-    lrows = left.select(*by, F.col(left_on).alias("_t"), F.struct(*lcols).alias("_left"))
+    cold, hot = split_hot(timeline(left, right, by, left_on, right_on, values), by, TIMELINE_ORDER, rows_per_bucket)
+    return asof_timeline(cold, hot, by, directions, tolerance_ms)
+
+
+# The order of a timeline: right rows come before left rows of the same instant, because it matches.
+TIMELINE_ORDER = ("_t", "_side")
+
+
+def timeline(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, values: Sequence[str]) -> DataFrame:
+    """The rows of both sides of an as-of join in one frame, which can also be stored: by, `_t`, `_side` (0 = right),
+    `_left` (the left row) and `_right` (`right_on`, then the values)."""
+    lrows = left.select(*by, F.col(left_on).alias("_t"), F.struct(*left.columns).alias("_left"))
     rrows = right.filter(F.col(right_on).isNotNull()).select(
-        *by, F.col(right_on).alias("_t"), F.struct(*names).alias("_right"))
-    # Ties in time: right rows come before left rows, because the same instant matches.
-    rows = (lrows.withColumn("_side", F.lit(1))
+        *by, F.col(right_on).alias("_t"), F.struct(right_on, *values).alias("_right"))
+    return (lrows.withColumn("_side", F.lit(1))
             .unionByName(rrows.withColumn("_side", F.lit(0)), allowMissingColumns=True))
-    cold, hot = split_hot(rows, by, ["_t", "_side"], rows_per_bucket)
+
+
+def asof_timeline(cold: DataFrame, hot: DataFrame | None, by: Sequence[str], directions: dict[str, str],
+                  tolerance_ms: int | None = None) -> DataFrame:
+    """`asof` over the two parts of a timeline: ordinary entities, and hot ones in slices (with `_bucket`)."""
+    lcols, names = (cold.schema[c].dataType.names for c in ("_left", "_right"))
+    right_on = names[0]
 
     def nearest(direction: str, w, found: Column) -> Column:
         order = F.col("_t").asc() if direction == "backward" else F.col("_t").desc()

@@ -136,8 +136,12 @@ def round_trips(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Data
 
     Adds are compared with the average entry before them: an add at a worse price averages down. The
     average entry is a linear recurrence over the fills of a trade."""
+    return trips_of(*split_hot(perp, ["user", "coin"], ORDER, rows_per_bucket))
+
+
+def trips_of(cold: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """`round_trips` of fills that come as ordinary users' and hot ones' slices, as a stored layout by user has them."""
     keys = ["user", "coin"]
-    cold, hot = split_hot(perp, keys, ORDER, rows_per_bucket)
     rows = _whole_trips(cold, keys)
     if hot is not None:
         rows = rows.unionByName(_sliced_trips(hot, keys))

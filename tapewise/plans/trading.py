@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -13,6 +15,7 @@ from ..operators import risk as G
 from ..operators import score as C
 from ..operators import select as L
 from ..session import shared
+from ..sources.layout import Layout, open_layout, write_layout
 from . import series as Z
 from .registry import cte, query
 
@@ -96,6 +99,15 @@ def _(t):
     return H.round_trips(shared(H.perp_fills(t.fx_fills))).fillna(-1, ["closed_ms"])
 
 
+@query("H2_round_trips_stored", TRIP_COLUMNS, "(select * replace (coalesce(closed_ms, -1) as closed_ms) from perp_trips)")
+def _(t):
+    layout = Layout(("user",), H.ORDER, 8)
+    name = f"perp_{uuid.uuid4().hex[:12]}"
+    path = write_layout(H.perp_fills(t.fx_fills), name, layout)
+    stored = open_layout(t.spark, name, layout, path)
+    return H.trips_of(stored.cold, stored.hot).fillna(-1, ["closed_ms"])
+
+
 @query("H3_equity_points", "user time_ms ~equity", "equity_curve")
 def _(t):
     return H.equity_points(t.fx_equity)
