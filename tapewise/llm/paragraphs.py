@@ -6,17 +6,19 @@ into other text falls into the same paragraphs there, but for its ends. A line t
 too, so that a change inside it does not hide a repeat. What is compared is the set of five-word shingles. Bands of MinHash
 values, tuned for recall, name candidates; candidates are verified by the exact Jaccard similarity of their sets; equal
 and linked ones make components. Of the lines of a component only the first stays; of the paragraphs that are left by
-then, again only the first of each component."""
+then, again only the first of each component. What so repeats goes if the passage around it is long enough: paragraphs side by side
+are one run, which is followed word by word into its neighbours as far as text and origin agree."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -280,6 +282,69 @@ def near_links(candidates: DataFrame, sets: DataFrame, similarity: float, cell:
     return placed.select("*", where).groupBy("bucket").applyInPandas(verify, "a long, b long")
 
 
+def surroundings(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """Written table (_doc, _tie, place, after, near) for the rows of wanted (without near): hashes of up to `least` words after, or
+    before, the paragraph at a place, nearest first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, asked = batch.column("text"), batch.column("asked").to_pylist()
+            for lo, hi in slices(text, 1 << 20):
+                raw = byte_texts(text.slice(lo, hi - lo))
+                units = paragraphs(raw)
+                begin = np.searchsorted(units.text, np.arange(hi - lo + 1))
+                rows, place, after, near = [], [], [], []
+                for i in range(hi - lo):
+                    words = raw[i].lower().split()
+                    starts = np.concatenate([[0], np.cumsum(units.words[begin[i]:begin[i + 1]])])
+                    for a in asked[lo + i]:
+                        at = int(starts[a["place"] + a["after"]])
+                        some = words[at:at + least] if a["after"] else words[max(0, at - least):at][::-1]
+                        rows.append(lo + i)
+                        place.append(a["place"])
+                        after.append(a["after"])
+                        near.append(np.array([zlib.crc32(w) for w in some], np.uint32).view(np.int32))
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_doc").take(rows), batch.column("_tie").take(rows), pa.array(place, pa.int32()), pa.array(after, pa.bool_()), pa.array(near, pa.list_(pa.int32()))],
+                    ["_doc", "_tie", "place", "after", "near"])
+
+    key = ["_doc", "_tie", "place", "after"]
+    rows = wanted.groupBy("_doc", "_tie").agg(F.collect_set(F.struct("place", "after")).alias("asked"))     # of one text
+    found = docs.select("_doc", "_tie", "text").join(rows, ["_doc", "_tie"]).select("_doc", "_tie", "text", "asked").mapInArrow(
+        run, "_doc long, _tie long, place int, after boolean, near array<int>")
+    return table(found.groupBy(*key).agg(F.first("near").alias("near")), "surroundings")
+
+
+def long_enough(docs: DataFrame, gone: DataFrame, least: int) -> DataFrame:
+    """The rows of gone (_doc, _tie, head, span, words, o__doc, o__tie, o_place, o_span, other columns) that lie in a repeated passage of at
+    least `least` words, or in one that is the whole text.
+
+    Rows side by side are a run. A shorter run is followed backwards from its first row, and onwards from its last, as far as
+    the words agree with those around that row's origin. All windows and lists are of one text."""
+    text = Window.partitionBy("_doc", "_tie").orderBy("head")
+    opens = F.coalesce(F.lag(F.col("head") + F.col("span")).over(text) != F.col("head"), F.lit(True))
+    rows = table(gone.withColumn("_opens", opens.cast("int")).withColumn("_run", F.sum("_opens").over(text)).drop("_opens"), "gone")
+    run = ["_doc", "_tie", "_run"]
+    ends = rows.groupBy(*run).agg(
+        F.sum("words").alias("words"), F.min(F.struct("head", "o__doc", "o__tie", "o_place")).alias("a"),
+        F.max(F.struct("head", "span", "o__doc", "o__tie", "o_place", "o_span")).alias("b"))
+    side = lambda after, place, of, o_place: F.struct(F.lit(after).alias("after"), place.cast("int").alias("place"), F.col(f"{of}.o__doc").alias("o__doc"),
+                                                      F.col(f"{of}.o__tie").alias("o__tie"), o_place.cast("int").alias("o_place"))
+    last, o_last = F.col("b.head") + F.col("b.span") - 1, F.col("b.o_place") + F.greatest(F.col("b.o_span"), F.lit(1)) - 1
+    short = table(ends.filter(F.col("words") < least).select(*run, "words", F.explode(F.array(
+        side(False, F.col("a.head"), "a", F.col("a.o_place")), side(True, last, "b", o_last))).alias("s")).select(*run, "words", "s.*"), "short-runs")
+    origin = [F.col("o__doc").alias("_doc"), F.col("o__tie").alias("_tie"), F.col("o_place").alias("place"), "after"]
+    words = surroundings(docs, short.select("_doc", "_tie", "place", "after").unionByName(short.select(*origin)).distinct(), least)
+    theirs = words.select(F.col("_doc").alias("o__doc"), F.col("_tie").alias("o__tie"), F.col("place").alias("o_place"), "after", F.col("near").alias("o_near"))
+    apart = F.array_position(F.zip_with("near", "o_near", lambda x, y: x.eqNullSafe(y)), False)
+    same = F.when(apart == 0, F.size("near")).otherwise(apart - 1)
+    stays = table(short.join(words, ["_doc", "_tie", "place", "after"]).join(theirs, ["o__doc", "o__tie", "o_place", "after"])
+                  .groupBy(*run).agg(F.first("words").alias("words"), F.sum(same).alias("more"), F.sum(F.size("near")).alias("around"))
+                  .filter((F.col("words") + F.col("more") < least) & (F.col("around") > 0)).select(*run), "short")
+    drop(short, words)
+    return rows.join(stays, run, "left_anti").drop("_run")
+
+
 def cut_texts(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (columns, text, gone: places or null) with the paragraphs in `gone` taken out of text, and n_paragraphs. What
     stays of a text that loses some keeps its paragraphs, with a line end between them where there was one, else a space."""
@@ -309,7 +374,7 @@ def cut_texts(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns, "text", "gone").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99, whole_lines: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99, whole_lines: bool = False, least: int = 0) -> DataFrame:
     """`docs` (doc_id, text, other columns) with repeated paragraphs taken out of text, and n_paragraphs, n_removed,
     words_removed and origins (sorted ids of the documents that hold what stays of them); columns of those names are
     replaced.
@@ -318,7 +383,8 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
     then of such paragraphs in what is left, the one stays whose document has the smallest doc_id (null last; rows of one
     id by text hash), the first in its text. A line goes with all its paragraphs; what it was first with does not count
     as a place for later ones. Paragraphs of fewer than five words are not compared
-    by themselves. A null text stays null. Rows equal in id and text are one document here: none of them is a repeat of
+    by themselves. With `least`, only what lies in a repeated passage of so many words, in whatever paragraphs, or repeats a whole text, goes.
+    A null text stays null. Rows equal in id and text are one document here: none of them is a repeat of
     the other.
 
     Contents are pre-aggregated before every shuffle, and only those that share a band's value with another paragraph
@@ -334,8 +400,8 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
     if whole_lines:
         # Paragraphs meet paragraphs, lines meet lines: each line shares values with its own parts. A line of one paragraph
         # is both, if it is long enough to be like one of several.
-        least = int(np.ceil(similarity * (LONGEST + 2 - SHINGLE) - 1e-9)) + SHINGLE - 1
-        values = F.explode(F.when(F.col("span") > 1, banded(bands)).when((F.col("span") == 1) & (F.col("words") >= least), F.concat(banded(0), banded(bands))).otherwise(banded(0)))
+        enough = int(np.ceil(similarity * (LONGEST + 2 - SHINGLE) - 1e-9)) + SHINGLE - 1
+        values = F.explode(F.when(F.col("span") > 1, banded(bands)).when((F.col("span") == 1) & (F.col("words") >= enough), F.concat(banded(0), banded(bands))).otherwise(banded(0)))
     shared = table(units.select(values.alias("v")).groupBy("v.band", "v.value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared")
     # Both sides are tables: adaptive execution splits a value that many paragraphs share.
     rows = units.select("content", values.alias("v")).select("content", "v.band", "v.value")
@@ -355,25 +421,27 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
     labelled = occurrences.join(linked.withColumnRenamed("node", "content"), "content", "left").select(
         "_doc", "_tie", "place", "head", "span", "words", F.coalesce("label", "content").alias("label"))
     labelled = table(labelled, "labelled")
-    place = ["_doc", "_tie", "place"]
+    place, at = ["_doc", "_tie", "place"], ["o__doc", "o__tie", "o_place", "o_span"]
 
     def later(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Rows that are not the first of their label, with `origin` and the first's span; and the table of firsts."""
+        """Rows that are not the first of their label, with the place and span of that first; and the table of firsts."""
         firsts = table(rows.groupBy("label").agg(F.min(F.struct(*place, "span")).alias("at"), F.count(F.lit(1)).alias("n"))
                        .filter("n > 1").select("label", *[F.col(f"at.{c}").alias(f"o_{c}") for c in [*place, "span"]]), name)
-        origin = F.when(F.col("o__doc") != LAST, F.col("o__doc")).alias("origin")
-        return rows.join(firsts, "label").filter("not (_doc = o__doc and _tie = o__tie and place = o_place)").select(*rows.columns, origin, "o_span"), firsts
+        return rows.join(firsts, "label").filter("not (_doc = o__doc and _tie = o__tie and place = o_place)").select(*rows.columns, *at), firsts
 
     # Lines among lines; those of one paragraph against each other are left to the next step.
     lines, firsts = later(labelled.filter("span > 0"), "line-firsts")
-    lines = table(lines.filter("span > 1 or o_span > 1").select("_doc", "_tie", "head", "span", "words", "origin").distinct(), "gone-lines")
+    lines = table(lines.filter("span > 1 or o_span > 1").select("_doc", "_tie", "head", "span", "words", *at).distinct(), "gone-lines")
     left = table(labelled.filter("span < 2").join(lines.select("_doc", "_tie", "head"), ["_doc", "_tie", "head"], "left_anti"), "left")
     pieces, more = later(left, "firsts")
     # One row per place: rows equal in id and text are one document.
-    all_gone = pieces.select("_doc", "_tie", F.col("place").alias("head"), F.lit(1).alias("span"), "words", "origin").unionByName(lines).distinct()
+    all_gone = pieces.select("_doc", "_tie", F.col("place").alias("head"), F.lit(1).alias("span"), "words", *at).unionByName(lines).distinct()
+    if least:
+        all_gone = long_enough(docs, all_gone, least)
+    origin = F.when(F.col("o__doc") != LAST, F.col("o__doc"))
     removed = table(all_gone.groupBy("_doc", "_tie").agg(
         F.flatten(F.collect_list(F.expr("sequence(head, head + span - 1)"))).alias("gone"), F.sum("span").alias("n_removed"), F.sum("words").alias("words_removed"),
-        F.sort_array(F.collect_set("origin")).alias("origins")), "removed")     # of one text
+        F.sort_array(F.collect_set(origin)).alias("origins")), "removed")     # of one text
     drop(occurrences, linked, labelled, firsts, lines, left, more)
     kept = [c for c in docs.columns if c not in ("text", "_doc", "_tie")]
     marked = docs.join(removed, ["_doc", "_tie"], "left").select(

@@ -121,8 +121,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without their repeated lines and paragraphs."""
-    return paragraphs.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), whole_lines=True)
+    """All documents without the lines and paragraphs of repeated passages of 50 words or more."""
+    return paragraphs.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), whole_lines=True, least=50)
 
 
 @query

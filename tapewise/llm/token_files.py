@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import new_folder
@@ -76,10 +76,16 @@ def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [d if p else None for d, p in zip(ids, present)], lengths, ranks
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host of the file system by which Spark reads it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def _put(path: str, content: bytes) -> None:
     from pyarrow import fs
 
-    store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    store, name = (fs.LocalFileSystem(), path.removeprefix("file:").replace("///", "/", 1)) if path.startswith("file:/") else fs.FileSystem.from_uri(path)
     store.create_dir(name.rpartition("/")[0], recursive=True)
     with store.open_output_stream(name) as out:
         out.write(content)
@@ -93,7 +99,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     One range shuffle of the texts; the ids are kept in a written table between counting and coding. A file takes
     documents until it holds `file_ids` ids, so memory is bounded by that and the longest document."""
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "token-files")
+    folder = qualified(spark, folder or new_folder(spark, "token-files"))
     # The hash spreads rows of one doc_id (null, say) over several tasks.
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     tokens = token_table(ordered, tokenizer, end_id)

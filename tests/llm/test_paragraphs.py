@@ -164,3 +164,22 @@ def test_what_a_removed_line_held_first_stays_elsewhere(spark):
     got = {r.doc_id: r for r in P.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), whole_lines=True).collect()}
     assert got[1].text == rows[0][1] and got[2].text == "" and got[2].origins == [1]
     assert set(changed) <= set(got[3].text.split())
+
+
+def test_only_passages_of_many_words_go(spark):
+    rng = random.Random(13)
+    make = lambda n: [word(rng) for _ in range(n)]
+    passage, phrase, line, block, short = make(55), make(30), make(12), [make(20) for _ in range(3)], make(9)
+    rows = [(i, "\n".join([" ".join(make(100) + passage + make(100) + phrase + make(100)), " ".join(line), " ".join(make(6))])) for i in range(12)]
+    rows += [(20 + i, "\n".join([" ".join(make(8)), *map(" ".join, block), " ".join(make(8))])) for i in range(2)]     # lines side by side
+    rows += [(30, " ".join(short)), (31, " ".join(short)), (32, None), (33, "")]
+    got = {r.doc_id: r for r in P.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), whole_lines=True, least=50).collect()}
+    assert len(got) == len(rows) and got[0].text == rows[0][1] and got[20].text == rows[12][1] and got[30].text == rows[14][1]
+    caught = [i for i in range(1, 12) if not set(passage) <= set(got[i].text.split())]
+    assert len(caught) >= 10
+    for i in range(1, 12):
+        kept = got[i].text.split()
+        assert set(line) | set(phrase) <= set(kept)
+        assert [w for w in rows[i][1].split() if w not in passage] == [w for w in kept if w not in passage]
+    assert got[21].n_removed == 3 and got[21].words_removed == 60 and got[21].origins == [20]
+    assert got[31].text == "" and got[32].text is None and got[33].text == ""
