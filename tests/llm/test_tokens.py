@@ -104,10 +104,54 @@ def test_packing_lays_every_id_once(spark, shard_ids):
 
 def test_neighbours_are_lexically_near():
     docs = [np.array([5, 6, 7, 8]), np.array([1, 2, 3]), np.array([5, 6, 9]), np.array([7, 7, 7, 1])]
-    index = packing.Index(docs, np.ones(10), 3.5, 1.2, 0.75, 24)
+    index = packing.Index(docs, np.ones(10), 3.5, 1.2, 0.75)
     found, score = index.neighbours(0, np.array([False, True, True, True]))
     assert found.tolist() == [2, 3] and score[0] > score[1] > 0
 
 
+def test_scores_against_brute_force():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 60, rng.integers(1, 90)) ** 2 // 60 for _ in range(50)] + [np.array([59, 59])]
+    docs += [docs[3], docs[3]]      # ties
+    idf, mean, k1, b = rng.random(60), float(np.mean([len(d) for d in docs])), 1.2, 0.75
+    index = packing.Index(docs, idf, mean, k1, b)
+    for doc in range(len(docs)):
+        unused = rng.random(len(docs)) < 0.8
+        want = np.zeros(len(docs))
+        for i, d in enumerate(docs):
+            for t in set(docs[doc].tolist()) & set(d.tolist()):
+                n = int((d == t).sum())
+                want[i] += idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(d) / mean))
+        found, score = index.neighbours(doc, unused)
+        assert sorted(found.tolist()) == np.flatnonzero((want > 0) & unused).tolist()
+        assert np.allclose(score, want[found], rtol=1e-4) and (np.diff(score) <= 0).all()
+        twins = [x for x in found.tolist() if x in (3, 51, 52)]
+        assert twins == sorted(twins)
+
+
+def test_near_documents_draw_the_same_tokens():
+    rng = np.random.default_rng(6)
+    docs = [rng.choice(5000, 300) for _ in range(200)]
+    near = [np.append(d, rng.choice(5000, 15)) for d in docs]
+    holders = np.bincount(np.concatenate([np.unique(d) for d in docs + near]), minlength=5000)
+    idf = np.log1p((400 - holders + 0.5) / (holders + 0.5))
+    drawn = packing.draws(docs + near, idf, holders, 3)
+    same = (drawn[:, :200] == drawn[:, 200:]).mean(axis=1)
+    assert (same > 0.8).all() and (drawn[0, :200] == np.roll(drawn[0, :200], 1)).mean() < 0.1
+    assert packing.draws([np.array([7])], np.ones(9), np.ones(9), 2).tolist() == [[-1], [-1]]
+
+
+def test_packing_does_not_depend_on_the_layout_of_the_input(spark):
+    random.seed(6)
+    words = [f"{a}{b}" for a in "river stone window garden market bridge".split() for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(i, " ".join(random.choices(words, k=80))) for i in range(80)]
+    packs = []
+    for n in (1, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n, "doc_id")
+        got = packing.pack(docs, tokenizer(FILES[0]), 1, length=1024, shard_ids=3000).collect()
+        packs.append({(r.doc_id, r.start, r.length, r.seed_doc_id, r.score) for r in got})
+    assert packs[0] == packs[1]
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack(corpus(spark, []), tokenizer(FILES[0]), 1).count() == 0
