@@ -80,8 +80,8 @@ def draws(docs: list[np.ndarray], idf: np.ndarray, holders: np.ndarray, times: i
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, shard_ids: int = 1 << 20, k1: float = 1.2,
-         b: float = 0.75) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, shard_ids: int = 1 << 20, task_ids: int = 1 << 25,
+         k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Pieces of documents (doc_id, text; a null text is empty) in sequences of `length` tokens: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset, and the sequence's seed_doc_id with the BM25 score by which it chose
     the document (null for the seed itself and for what it was continued with).
@@ -189,6 +189,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, shard
             yield flush()
 
     drawn = tokens.filter("ids is not null").select("doc_id", "ids").mapInArrow(draw, "doc_id long, ids binary, d0 long, d1 long, d2 long")
+    # Spark's own number of tasks, unless they would hold more than `task_ids` ids each.
+    least = -(-(sums["ids"] or 0) // task_ids)
+    parts = [least] if least > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
     order = ["d0", "d1", "d2", "_tie", "doc_id"]     # the tie spreads copies of one document
-    near = drawn.withColumn("_tie", F.xxhash64("ids", "doc_id")).repartitionByRange(*order).sortWithinPartitions(*order)
+    near = drawn.withColumn("_tie", F.xxhash64("ids", "doc_id")).repartitionByRange(*parts, *order).sortWithinPartitions(*order)
     return near.select("doc_id", "ids").mapInArrow(run, PIECES)

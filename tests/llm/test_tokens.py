@@ -77,12 +77,12 @@ def test_token_files_of_an_empty_table(spark):
     assert token_files.read_token_files(folder, manifest).count() == 0
 
 
-@pytest.mark.parametrize("shard_ids", [1 << 22, 100])
-def test_packing_lays_every_id_once(spark, shard_ids):
+@pytest.mark.parametrize("shard_ids, task_ids", [(1 << 22, 1 << 25), (100, 1 << 25), (100, 500)])
+def test_packing_lays_every_id_once(spark, shard_ids, task_ids):
     random.seed(5)
     words = [f"w{i}" for i in range(400)]
     rows = ROWS + [(1000 + i, " ".join(random.choices(words, k=random.randint(1, 400))), None, 1, 1, "x") for i in range(60)]
-    got = packing.pack(corpus(spark, rows), tokenizer(FILES[0]), 1, length=256, shard_ids=shard_ids).collect()
+    got = packing.pack(corpus(spark, rows), tokenizer(FILES[0]), 1, length=256, shard_ids=shard_ids, task_ids=task_ids).collect()
     whole = {}
     for d, t, *_ in rows:
         whole.setdefault(d, []).append(expected(FILES[0], t or "") + [1])
