@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import HOUR_MS
-from ..functions.scan import previous, running_max
+from ..functions.scan import ROWS_PER_BUCKET, previous, running_max
 
 # Longest accepted age of a job's last finished run, in ms; longest accepted failure rate.
 MAX_AGE_MS = {"leaderboard": 3 * HOUR_MS, "wallets": 10 * HOUR_MS, "normalize": 10 * HOUR_MS}
@@ -51,9 +53,10 @@ def failure_rate(runs: DataFrame, limit: float = MAX_FAILURE_RATE) -> DataFrame:
                       F.when(F.col("gaps") > 0, "WARN").otherwise("OK").alias("gap_level"))
 
 
-def version_changes(observations: DataFrame) -> DataFrame:
+def version_changes(observations: DataFrame, ties: Sequence[str] = ("etag",), rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """Source versions when they change (observations: source, seen_ms, etag): first sightings only of
-    each run of equal versions."""
-    seen = previous(observations, ["source"], ["seen_ms"], {"before": F.col("etag")})
+    each run of equal versions. Sightings of one instant are taken in the order of `ties`, so that the
+    changes do not depend on how the rows are dealt out."""
+    seen = previous(observations, ["source"], ["seen_ms", *ties], {"before": F.col("etag")}, rows)
     return seen.filter(F.col("before").isNull() | (F.col("before") != F.col("etag"))).select(
         "source", "etag", F.col("seen_ms").alias("first_seen_ms"))

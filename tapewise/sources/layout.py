@@ -6,7 +6,7 @@ they are: no count, no exchange and no second slicing."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,9 @@ from ..functions.scan import BUCKET, ROWS_PER_BUCKET, split_hot
 from ..session import new_folder, shared
 
 
+BUCKET_ROWS = 500_000       # of fills: some 100 MB in a sort
+
+
 @dataclass(frozen=True)
 class Layout:
     """How a table is stored. Choose `buckets` so that one fits a task: about bytes of the table / 256 MB."""
@@ -24,6 +27,10 @@ class Layout:
     buckets: int
     rows: int = ROWS_PER_BUCKET
 
+    def fitting(self, table_rows: int) -> Layout:
+        """The layout with as many buckets as a table of so many rows needs, so that one task can sort a bucket without spilling."""
+        return replace(self, buckets=max(self.buckets, -(-table_rows // BUCKET_ROWS)))
+
 
 @dataclass(frozen=True)
 class Stored:

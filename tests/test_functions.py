@@ -146,3 +146,44 @@ def test_zeros_between_gzip_members_are_no_padding():
     member = gzip.compress(b"{}")
     assert gzip_state(member + b"\0" * 500) == "whole" and gzip_state(member + member) == "whole"
     assert gzip_state(member + b"\0" * 500 + member) == "damaged"
+
+
+def test_deduplication_sorts_after_the_shuffle_only(spark):
+    from tapewise.operators import latest as K
+    fills = spark.createDataFrame([("a", 1, 1, "x"), ("a", 1, 1, "x"), ("a", 1, 1, "b"), (None, 2, 1, "c")], "user string, tid long, oid long, side string")
+    once = K.dedup_fills(fills)
+    assert once._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1].count("Sort") == 0
+    assert sorted(once.collect(), key=str) == sorted([("a", 1, 1, "b"), (None, 2, 1, "c")], key=str)
+
+
+def test_tasks_fit_tables_of_any_size(spark):
+    from tapewise.session import fit_tasks
+    split, part = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    keys = {k: spark.conf.get(k, None) for k in (split, part, first)}
+    try:
+        spark.conf.set(split, "128MB")
+        spark.conf.set(part, "3m")
+        fit_tasks(spark, 1 << 20)
+        assert spark.conf.get(split) == str(16 << 20) and spark.conf.get(part) == "3m" and spark.conf.get(first) == "4"
+        fit_tasks(spark, 6 << 30)
+        assert spark.conf.get(first) == "3072"
+    finally:
+        for k, v in keys.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_version_changes_of_one_instant_do_not_depend_on_slices(spark):
+    import random
+    from tapewise.operators import quality as Q
+    r = random.Random(3)
+    rows = [("s", r.randrange(8), r.choice("abc"), i) for i in range(120)]
+    want, before = [], None
+    for s, at, etag, _ in sorted(rows, key=lambda x: (x[1], x[3])):
+        if etag != before:
+            want.append((s, etag, at))
+        before = etag
+    for parts, cut in ((1, 1000), (7, 1000), (7, 10)):
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "source string, seen_ms long, etag string, id long").repartition(parts)
+        assert sorted(map(tuple, Q.version_changes(df, ("id",), cut).collect())) == sorted(want)

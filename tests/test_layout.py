@@ -69,3 +69,8 @@ def test_an_empty_table_can_be_stored(spark):
     table = open_layout(spark, name, layout, path)
     assert table.hot is None and H.trips_of(table.cold, table.hot).count() == 0
     spark.sql(f"drop table {name}")
+
+
+def test_large_tables_get_more_buckets():
+    layout = Layout(("user",), H.ORDER, 8)
+    assert layout.fitting(4_000_000) == layout and layout.fitting(4_000_001).buckets == 9 and layout.fitting(10 ** 9).buckets == 2000
