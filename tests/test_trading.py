@@ -317,3 +317,9 @@ def test_stream_ingest_quarantines(spark, tmp_path):
                        str(tmp_path / "bad"), settle_seconds=-60).awaitTermination()
     assert [r.tid for r in tables.read_table(spark, str(tmp_path / "out"), "fills").collect()] == [1]
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+def test_blocks_of_a_large_group_grow(spark):
+    members = spark.range(3000).selectExpr("if(id < 2900, 'large', 'small') as grp", "id as user")
+    assert {r.grp: r._size for r in G.block_sizes(members, 4).collect()} == {"large": 91, "small": 4}
+    assert {r._size for r in G.block_sizes(members, 5000).collect()} == {5000}
