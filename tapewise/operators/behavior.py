@@ -32,10 +32,11 @@ EXIT_RULES = (("liquidated", "liquidations", 0.0, 1), ("leverage", "p95_leverage
 ORDER = ("time_ms", "tid", "leg")
 
 
-def perp_fills(fills: DataFrame) -> DataFrame:
+def perp_fills(fills: DataFrame, unique: bool = False) -> DataFrame:
     """Deduplicated perp fills with signed sizes; a fill that crosses zero becomes a closing and an
-    opening leg: fee split by size, realized PnL and a liquidation belong to the closing leg."""
-    f = dedup_fills(fills)
+    opening leg: fee split by size, realized PnL and a liquidation belong to the closing leg.
+    Fills that are known to be `unique` are not deduplicated again."""
+    f = fills if unique else dedup_fills(fills)
     size, start = F.col("sz").cast("double"), F.col("start_position").cast("double")
     signed = F.when(F.col("side") == "B", size).otherwise(-size)
     f = (f.filter(~F.col("dir").isin(*SPOT_DIRS) & ~F.col("coin").contains("/") & ~F.col("coin").startswith("@"))
@@ -339,12 +340,12 @@ def copyability(trades: DataFrame) -> DataFrame:
 
 
 def behavior_features(fills: DataFrame, equity: DataFrame, now_ms: int, window_days: int = 90,
-                      recent_days: int = 30) -> DataFrame:
+                      recent_days: int = 30, unique: bool = False) -> DataFrame:
     """One row per user with every behavior feature over the last `window_days`.
 
     Trades belong to the window by their opening fill; open trades count in activity only."""
     start_ms = now_ms - window_days * DAY_MS
-    perp = shared(perp_fills(fills))
+    perp = shared(perp_fills(fills, unique))
     cover = perp.groupBy("user").agg(
         F.min("time_ms").alias("first_fill_ms"), F.count(F.lit(1)).alias("fills_total"),
         F.count_if(F.col("time_ms") >= start_ms).alias("_in"),

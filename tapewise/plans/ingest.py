@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import new_folder
+from ..session import new_folder, path_bytes
 from ..sources import raw, tables
 from ..streaming import jobs, watch
 from .registry import cte, query
@@ -254,11 +254,16 @@ def _(t):
     return jobs.run_to_table(jobs.stream_last_hour_equity(snaps), "hourly")
 
 
+STREAM_FILE_BYTES = 12 << 20       # of lines, some 800,000 of them: four fills each
+
+
 def fill_stream(t, fills: DataFrame, batches: int) -> DataFrame:
-    """The fills as a stream of so many batches, in order of time."""
+    """The fills as a stream of so many batches, roughly in order of time: a batch of a large table is many files, which are
+    written by as many tasks."""
     path = new_folder(t.spark, "fills")
-    fills.repartitionByRange(batches, "time_ms").write.parquet(path)
-    return t.spark.readStream.schema(fills.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = -(-path_bytes(t.spark, f"{t.sf_dir}/lineitem.parquet") // STREAM_FILE_BYTES)
+    fills.repartitionByRange(batches * files, "time_ms").write.parquet(path)
+    return t.spark.readStream.schema(fills.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 cte(watch_hits=" union all ".join(

@@ -76,18 +76,20 @@ def watch_batch(batch: DataFrame, batch_id: int, equity: DataFrame, sink: str, n
     spark = batch.sparkSession
     state = State(spark, f"{sink}/state", batch_id)
     with releasing():
-        batch = shared(batch.withColumn("bucket", F.pmod(F.xxhash64("user"), F.lit(buckets)).cast("int")))
-        newest = batch.agg(F.max("time_ms")).first()[0]
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64("user"), F.lit(buckets)).cast("int"))
+        # One row per user of the batch; its fills are read again, those of the window only.
+        arrived = shared(batch.groupBy("user", "bucket").agg(F.max("time_ms").alias("time_ms")))
+        newest = arrived.agg(F.max("time_ms")).first()[0]
         now = now_ms if now_ms is not None else max((t for t in (newest, state.now_ms) if t is not None), default=None)
         if now is None:
-            return state.write(batch, [], None)
+            return state.write(arrived, [], None)
         start = F.col("time_ms") >= now - window_days * DAY_MS
         expired = state.read(batch.schema).filter(~start).select("user", "bucket")
-        touched = shared(batch.select("user", "bucket").unionByName(expired).distinct())
+        touched = shared(arrived.select("user", "bucket").unionByName(expired).distinct())
         some = [r.bucket for r in touched.select("bucket").distinct().collect()]        # at most `buckets`
-        fills = shared(dedup_fills(state.read(batch.schema, some).unionByName(batch).filter(start)))
+        fills = shared(dedup_fills(state.read(batch.schema, some).unionByName(batch.filter(start)).filter(start)))
         users = touched.select("user")
-        features = behavior_features(fills.drop("bucket").join(users, "user", "left_semi"), equity.join(users, "user", "left_semi"), now, window_days)
+        features = behavior_features(fills.drop("bucket").join(users, "user", "left_semi"), equity.join(users, "user", "left_semi"), now, window_days, unique=True)
         exit_rules(features, rules).write.mode("overwrite").parquet(f"{sink}/hits/batch={batch_id}")
         users.select(F.col("user").alias("trader")).write.mode("overwrite").parquet(f"{sink}/looked_at/batch={batch_id}")
         state.write(fills, some, now)

@@ -73,3 +73,14 @@ def test_state_follows_the_window_and_repeated_batches(spark, tmp_path, world):
     assert sorted(os.listdir(f"{sink}/state/markers")) == ["batch=2", "batch=3"]
     versions = {v: [b for b in os.listdir(f"{sink}/state/fills/{v}") if b.startswith("bucket=")] for v in os.listdir(f"{sink}/state/fills")}
     assert sum(map(len, versions.values())) == 1        # what no marker names is gone
+
+
+def test_fills_before_the_window_are_not_stored(spark, tmp_path, world, monkeypatch):
+    fills, equity = world
+    written = []
+    monkeypatch.setattr(watch, "shared", lambda df: written.append(df) or df.localCheckpoint())
+    now = 30 * DAY_MS + sorted(f[1] for f in fills)[len(fills) // 2]
+    watch.watch_batch(spark.createDataFrame(fills, FILLS), 0, equity, str(tmp_path), now, 30, RULES, buckets=2)
+    with_fills = [df for df in written if "tid" in df.columns]
+    assert len(with_fills) == 1 and with_fills[0].filter(F.col("time_ms") < now - 30 * DAY_MS).count() == 0
+    assert rows_of(watch.current_hits(spark, str(tmp_path))) == expected(spark, fills, equity, now, 30)
