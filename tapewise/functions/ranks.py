@@ -19,6 +19,7 @@ from .scan import BUCKET, SEED, drop_seeds, in_bucket, seeded
 PER_OCTAVE = 64
 # Larger than 64 * 1074, the grid cell of the smallest positive double.
 GRID_OFFSET = 70_000
+ROWS_PER_GROUP = 100_000    # of a group whose values are sorted in memory
 
 
 def value_bucket(v: Column | str) -> Column:
@@ -114,6 +115,29 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     return hit.groupBy(*keys).agg(*aggs)
 
 
+def collected_quantiles(df: DataFrame, keys: Sequence[str], values: dict[str, Column], nearest: dict[str, float] | None = None) -> DataFrame:
+    """`exact_quantiles` of several columns at once, for groups small enough to sort in memory (see `split_large`): the medians
+    under the columns' names, nearest-rank quantiles as "<column>_<name>". One shuffle, whatever the number of columns."""
+    lists = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(finite(v), v.cast("double") + 0.0))).alias(n) for n, v in values.items()])
+
+    def at(n: str, place: Column) -> Column:
+        return F.get(F.col(n), place.cast("int"))
+
+    last = lambda n: F.size(n) - 1
+    return lists.select(
+        *keys, *[((at(n, F.floor(last(n) / 2)) + at(n, F.ceil(last(n) / 2))) / 2).alias(n) for n in values],
+        *[at(n, F.floor(last(n) * q + 0.5)).alias(f"{n}_{c}") for c, q in (nearest or {}).items() for n in values])
+
+
+def split_large(df: DataFrame, keys: Sequence[str], rows: int = ROWS_PER_GROUP) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups of at most `rows` rows, rows of larger groups or None)."""
+    large = shared(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).drop("_n"))
+    if large.isEmpty():
+        return df, None
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(large[k]) for k in keys])
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows per group. Spark prunes each map task to n rows per group before the shuffle
     (window group limit; top-k without keys), so group size does not matter."""

@@ -26,15 +26,17 @@ SEED = "_seed"      # 0 = seed row, 1 = ordinary row: seeds sort first
 Combine = Callable[[Column], Column]
 
 
-def split_hot(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame | None]:
+def split_hot(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int = ROWS_PER_BUCKET,
+              counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary entities, rows of entities with more than `rows` rows with `_bucket`, or None).
 
     Buckets number the slices of a range sort by (by, order, hash of the row): increasing in `order` within an
     entity, and balanced by rows whatever the distribution of the order columns, ties included. The sorted
     slices are written once, so a bucket means the same rows wherever the result is read. The list of hot
-    entities has at most (table rows / `rows`) entries; Spark decides by its size how to join it."""
+    entities has at most (table rows / `rows`) entries; Spark decides by its size how to join it. `counted` may be another
+    frame with the same number of rows per entity that is cheaper to count."""
     by = list(by)
-    hot = shared(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows))
+    hot = shared((df if counted is None else counted).groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows))
     found = hot.agg(F.sum("_n")).first()[0]
     if not found:
         return df, None
@@ -119,14 +121,15 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: d
 
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
          values: Sequence[str], directions: dict[str, str], tolerance_ms: int | None = None,
-         rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+         rows_per_bucket: int = ROWS_PER_BUCKET, counted: DataFrame | None = None) -> DataFrame:
     """Each left row with the nearest right row of the same entity, within the tolerance.
 
     directions: "backward" (at or before the left row) and/or "forward" (at or after it) -> prefix
     of the added columns: prefix + right_on and prefix + each value, null where nothing matches.
     The right side must be unique per (by, right_on). Both sides are shuffled once by entity; only
-    entities with more than `rows_per_bucket` rows on both sides together are cut into buckets."""
-    cold, hot = split_hot(timeline(left, right, by, left_on, right_on, values), by, TIMELINE_ORDER, rows_per_bucket)
+    entities with more than `rows_per_bucket` rows on both sides together are cut into buckets. `counted` (see `split_hot`)
+    spares computing both sides once more to count them."""
+    cold, hot = split_hot(timeline(left, right, by, left_on, right_on, values), by, TIMELINE_ORDER, rows_per_bucket, counted)
     return asof_timeline(cold, hot, by, directions, tolerance_ms)
 
 

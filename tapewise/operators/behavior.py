@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY_MS, HOUR_MS, ratio
-from ..functions.ranks import exact_quantiles
+from ..functions.ranks import ROWS_PER_GROUP, collected_quantiles, exact_quantiles, split_large
 from ..functions.scan import BUCKET, ROWS_PER_BUCKET, SEED, affine_scan, asof, previous, split_hot
 from ..session import shared
 from .latest import dedup_fills
@@ -31,12 +31,26 @@ EXIT_RULES = (("liquidated", "liquidations", 0.0, 1), ("leverage", "p95_leverage
 
 ORDER = ("time_ms", "tid", "leg")
 
-
-def perp_fills(fills: DataFrame, unique: bool = False) -> DataFrame:
+# What the features need of trades and exposure.
+TRADE_COLUMNS = ("user", "coin", "opened_ms", "open_tid", "open_leg", "closed_ms", "n_fills", "n_adds", "n_adds_losing", "n_partial_exits",
+                 "initial_notional", "max_notional", "liquidated", "pnl_net", "duration_h")
+EXPOSURE_COLUMNS = ("user", "time_ms", "equity", "leverage")
+# The columns of each part of the features.
+TRADE_FEATURES = ("n_trades", "trades_per_day", "win_rate", "profit_factor", "avg_down_share", "adds_losing_share", "liquidations",
+                  "best_trade_share", "worst_trade_pnl", "n_coins", "median_duration_h")
+COIN_FEATURES = ("top_coin_share", "hhi")
+SIZING_FEATURES = ("martingale_share", "post_loss_size_ratio", "post_win_size_ratio")
+LEVERAGE_FEATURES = ("max_leverage", "leverage_unknown_share", "median_leverage", "p95_leverage")
+STYLE_FEATURES = ("change_size", "change_duration", "change_leverage", "coin_overlap")
+COPY_FEATURES = ("invisible_share", "short_trade_share", "median_fills_per_trade", "median_partial_exits", "copyability_estimate")
+
+
+def perp_fills(fills: DataFrame, unique: bool = False, since_ms: int | None = None) -> DataFrame:
     """Deduplicated perp fills with signed sizes; a fill that crosses zero becomes a closing and an
     opening leg: fee split by size, realized PnL and a liquidation belong to the closing leg.
-    Fills that are known to be `unique` are not deduplicated again."""
-    f = fills if unique else dedup_fills(fills)
+    Fills that are known to be `unique` are not deduplicated again. Of fills before `since_ms` only user, coin, time, tid and
+    leg need be right: they are there to be counted."""
+    f = fills if unique else dedup_fills(fills, since_ms)
     size, start = F.col("sz").cast("double"), F.col("start_position").cast("double")
     signed = F.when(F.col("side") == "B", size).otherwise(-size)
     f = (f.filter(~F.col("dir").isin(*SPOT_DIRS) & ~F.col("coin").contains("/") & ~F.col("coin").startswith("@"))
@@ -210,12 +224,19 @@ def gross_notional(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, dust
     return out.select("user", *order, F.when(flat, 0.0).otherwise(F.col("gross")).alias("gross"))
 
 
-def gross_exposure(perp: DataFrame, equity: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def gross_exposure(perp: DataFrame, equity: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, since_ms: int | None = None) -> DataFrame:
     """Gross notional with the equity of that moment. Equity is the sample at or before the fill; if
     that is over a day old (or missing) the larger of it and the next sample. Leverage is null when
-    equity is not positive or the leverage is impossible."""
-    both = asof(gross_notional(perp, rows_per_bucket), equity_points(equity), ["user"], "time_ms", "time_ms", ["equity"],
-                {"backward": "b_", "forward": "f_"}, EQUITY_TOLERANCE_MS, rows_per_bucket)
+    equity is not positive or the leverage is impossible.
+
+    Where all fills are of `since_ms` or later, samples out of their reach are left out."""
+    points = equity_points(equity)
+    if since_ms is not None:
+        points = points.filter(F.col("time_ms") >= since_ms - EQUITY_TOLERANCE_MS)
+    points = shared(points)
+    both = asof(gross_notional(perp, rows_per_bucket), points, ["user"], "time_ms", "time_ms", ["equity"],
+                {"backward": "b_", "forward": "f_"}, EQUITY_TOLERANCE_MS, rows_per_bucket,
+                counted=perp.select("user").unionByName(points.filter(F.col("time_ms").isNotNull()).select("user")))
     stale = F.col("b_equity").isNull() | (F.col("time_ms") - F.col("b_time_ms") > DAY_MS)
     used = F.when(stale, F.greatest("b_equity", "f_equity")).otherwise(F.col("b_equity"))
     rows = both.withColumn("equity", used)
@@ -227,17 +248,21 @@ def gross_exposure(perp: DataFrame, equity: DataFrame, rows_per_bucket: int = RO
 # --- features -------------------------------------------------------------------------------------
 
 def medians_by_user(df: DataFrame, values: dict[str, Column], nearest: dict[str, float] | None = None,
-                    by: Sequence[str] = ("user",)) -> DataFrame:
-    """Exact medians (and nearest-rank quantiles named "<value>@<q>") of several columns per user in
-    one pass over long rows."""
+                    by: Sequence[str] = ("user",), rows: int = ROWS_PER_GROUP) -> DataFrame:
+    """Exact medians (and nearest-rank quantiles named "<value>_<name>") of several columns per user in one pass. The values
+    of ordinary users are sorted in memory, those of users with over `rows` rows spread over a grid."""
     by = list(by)
-    long = df.select(*by, F.explode(F.array(*[
+    small, large = split_large(df, by, rows)
+    out = collected_quantiles(small, by, values, nearest)
+    if large is None:
+        return out
+    long = large.select(*by, F.explode(F.array(*[
         F.struct(F.lit(n).alias("metric"), v.cast("double").alias("v")) for n, v in values.items()])).alias("p")).select(
         *by, "p.metric", "p.v")
     q = exact_quantiles(long, [*by, "metric"], "v", nearest=nearest)
-    return q.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == n, F.col("median"))).alias(n) for n in values],
-                              *[F.max(F.when(F.col("metric") == n, F.col(c))).alias(f"{n}_{c}")
-                                for c in (nearest or {}) for n in values])
+    return out.unionByName(q.groupBy(*by).agg(
+        *[F.max(F.when(F.col("metric") == n, F.col("median"))).alias(n) for n in values],
+        *[F.max(F.when(F.col("metric") == n, F.col(c))).alias(f"{n}_{c}") for c in (nearest or {}) for n in values]))
 
 
 def _closed(trades: DataFrame) -> DataFrame:
@@ -275,14 +300,15 @@ def coin_concentration(trades: DataFrame) -> DataFrame:
 
 def size_sequence(trades: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Each closed trade with the size ratio to the user's previous closed trade and that one's PnL."""
-    seq = previous(_closed(trades), ["user"], ["opened_ms", "coin", "open_tid", "open_leg"],
+    order = ["opened_ms", "coin", "open_tid", "open_leg"]
+    seq = previous(_closed(trades).select("user", *order, "pnl_net", "initial_notional"), ["user"], order,
                    {"prev_pnl": F.col("pnl_net"), "prev_notional": F.col("initial_notional")}, rows_per_bucket)
     return seq.filter(F.col("prev_notional") > 0).withColumn("ratio", F.col("initial_notional") / F.col("prev_notional"))
 
 
 def martingale(trades: DataFrame) -> DataFrame:
     """Sizing after losses: median size ratios after a loss / a win, share of at least 1.5x after a loss."""
-    seq = shared(size_sequence(trades))
+    seq = shared(size_sequence(trades).select("user", "prev_pnl", "ratio"))
     lost = F.col("prev_pnl") < 0
     share = seq.groupBy("user").agg(_share(F.when(lost, F.col("ratio")) >= 1.5).alias("martingale_share"))
     med = medians_by_user(seq, {"post_loss_size_ratio": F.when(lost, F.col("ratio")),
@@ -294,8 +320,8 @@ def leverage_stats(exposure: DataFrame) -> DataFrame:
     """Median, 95th percentile (nearest rank) and maximum leverage, share of unknown leverage."""
     per = exposure.groupBy("user").agg(F.max("leverage").alias("max_leverage"),
                                        _share(F.col("leverage").isNull()).alias("leverage_unknown_share"))
-    q = exact_quantiles(exposure, ["user"], "leverage", medians="median_leverage", nearest={"p95_leverage": 0.95})
-    return per.join(q, "user", "left")
+    q = medians_by_user(exposure, {"leverage": F.col("leverage")}, {"p95": 0.95})
+    return per.join(q.select("user", F.col("leverage").alias("median_leverage"), F.col("leverage_p95").alias("p95_leverage")), "user", "left")
 
 
 def _growth(now: Column, prior: Column) -> Column:
@@ -307,13 +333,15 @@ def style_change(trades: DataFrame, exposure: DataFrame, now_ms: int, recent_day
     """Last `recent_days` against the rest of the window: ratios of median relative size, duration and
     leverage, and the overlap of the coins traded."""
     cut = now_ms - recent_days * DAY_MS
-    at_open = exposure.groupBy("user", F.col("time_ms").alias("opened_ms")).agg(
-        F.min_by("equity", F.struct("tid", "leg")).alias("_eq"))
+    # All fills of a user's instant have the same equity.
+    at_open = exposure.groupBy("user", F.col("time_ms").alias("opened_ms")).agg(F.max("equity").alias("_eq"))
     t = shared(trades.select("user", "coin", "opened_ms", "initial_notional", "duration_h").join(
-        at_open, ["user", "opened_ms"], "left").withColumn("recent", F.col("opened_ms") >= cut))
-    med = medians_by_user(t, {"size": F.when(F.col("_eq") > 0, F.col("initial_notional") / F.col("_eq")),
-                              "duration": F.col("duration_h")}, by=("user", "recent"))
-    lev = exact_quantiles(exposure.withColumn("recent", F.col("time_ms") >= cut), ["user", "recent"], "leverage", medians="lev")
+        at_open, ["user", "opened_ms"], "left").select(
+        "user", "coin", "duration_h", (F.col("opened_ms") >= cut).alias("recent"),
+        F.when(F.col("_eq") > 0, F.col("initial_notional") / F.col("_eq")).alias("size")))
+    med = medians_by_user(t, {"size": F.col("size"), "duration": F.col("duration_h")}, by=("user", "recent"))
+    lev = medians_by_user(exposure.select("user", (F.col("time_ms") >= cut).alias("recent"), "leverage"), {"lev": F.col("leverage")},
+                          by=("user", "recent"))
     per = (t.select("user", "recent").distinct().join(med, ["user", "recent"], "left").join(lev, ["user", "recent"], "left"))
     part = lambda c, r: F.max(F.when(F.col("recent") == r, F.col(c)))
     sides = per.groupBy("user").agg(
@@ -340,24 +368,31 @@ def copyability(trades: DataFrame) -> DataFrame:
 
 
 def behavior_features(fills: DataFrame, equity: DataFrame, now_ms: int, window_days: int = 90,
-                      recent_days: int = 30, unique: bool = False) -> DataFrame:
-    """One row per user with every behavior feature over the last `window_days`.
+                      recent_days: int = 30, unique: bool = False, wanted: Sequence[str] | None = None) -> DataFrame:
+    """One row per user with every behavior feature over the last `window_days`, or at least those in `wanted`.
 
-    Trades belong to the window by their opening fill; open trades count in activity only."""
+    Trades belong to the window by their opening fill; open trades count in activity only. Fills before the window are
+    only counted, so nothing but their user and time is stored."""
     start_ms = now_ms - window_days * DAY_MS
-    perp = shared(perp_fills(fills, unique))
+    inside = F.col("time_ms") >= start_ms
+    perp = perp_fills(fills, unique, start_ms)
+    perp = shared(perp.select("user", "time_ms", *[F.when(inside, F.col(c)).alias(c) for c in perp.columns if c not in ("user", "time_ms")],
+                              F.when(inside, 1).otherwise(0).alias("_in")), ["_in"])
     cover = perp.groupBy("user").agg(
         F.min("time_ms").alias("first_fill_ms"), F.count(F.lit(1)).alias("fills_total"),
-        F.count_if(F.col("time_ms") >= start_ms).alias("_in"),
-        F.count_if((F.col("time_ms") >= start_ms) & F.col("liquidated")).alias("liquidation_fills"))
-    cover = cover.filter(F.col("_in") > 0).withColumn("fills_per_day", F.col("_in") / window_days).drop("_in")
-    window = perp.filter(F.col("time_ms") >= start_ms)
-    trades = shared(round_trips(window))
-    exposure = shared(gross_exposure(window, equity))
+        F.sum("_in").alias("_n"), F.count_if((F.col("_in") == 1) & F.col("liquidated")).alias("liquidation_fills"))
+    cover = cover.filter(F.col("_n") > 0).withColumn("fills_per_day", F.col("_n") / window_days).drop("_n")
+    window = perp.filter(F.col("_in") == 1).drop("_in")
+    trades = shared(round_trips(window).select(*TRADE_COLUMNS))
+    exposed = wanted is None or not {*LEVERAGE_FEATURES, *STYLE_FEATURES}.isdisjoint(wanted)
+    exposure = shared(gross_exposure(window, equity, since_ms=start_ms).select(*EXPOSURE_COLUMNS)) if exposed else None
+    parts = ((TRADE_FEATURES, lambda: trade_features(trades, window_days * DAY_MS)), (COIN_FEATURES, lambda: coin_concentration(trades)),
+             (SIZING_FEATURES, lambda: martingale(trades)), (LEVERAGE_FEATURES, lambda: leverage_stats(exposure)),
+             (STYLE_FEATURES, lambda: style_change(trades, exposure, now_ms, recent_days)), (COPY_FEATURES, lambda: copyability(trades)))
     out = cover
-    for part in (trade_features(trades, window_days * DAY_MS), coin_concentration(trades), martingale(trades),
-                 leverage_stats(exposure), style_change(trades, exposure, now_ms, recent_days), copyability(trades)):
-        out = out.join(part, "user", "left")
+    for names, part in parts:
+        if wanted is None or not set(names).isdisjoint(wanted):
+            out = out.join(part(), "user", "left")
     return out.withColumn("window_complete", F.col("first_fill_ms") < start_ms)
 
 

@@ -180,7 +180,7 @@ cte(
 
 
 def window_perp(t):
-    return shared(H.perp_fills(t.fx_fills).filter(F.col("time_ms") >= START))
+    return shared(H.perp_fills(t.fx_fills, since_ms=START).filter(F.col("time_ms") >= START))
 
 
 def window_trades(t):
@@ -205,13 +205,13 @@ def _(t):
 
 @query("H8_leverage_stats", "user ~median_leverage ~p95_leverage ~max_leverage ~leverage_unknown_share", "lev")
 def _(t):
-    return H.leverage_stats(shared(H.gross_exposure(window_perp(t), t.fx_equity)))
+    return H.leverage_stats(shared(H.gross_exposure(window_perp(t), t.fx_equity, since_ms=START)))
 
 
 @query("H9_style_change", "user ~change_size ~change_duration ~change_leverage ~coin_overlap", "style")
 def _(t):
     perp = window_perp(t)
-    return H.style_change(shared(H.round_trips(perp)), shared(H.gross_exposure(perp, t.fx_equity)), NOW, RECENT)
+    return H.style_change(shared(H.round_trips(perp)), shared(H.gross_exposure(perp, t.fx_equity, since_ms=START)), NOW, RECENT)
 
 
 @query("H10_copyability", "user ~invisible_share ~short_trade_share ~median_fills_per_trade ~median_partial_exits ~copyability_estimate",
@@ -220,8 +220,13 @@ def _(t):
     return H.copyability(window_trades(t))
 
 
-def features(t):
-    return shared(H.behavior_features(t.fx_fills, t.fx_equity, NOW, WINDOW, RECENT))
+def features(t, wanted=None):
+    return shared(H.behavior_features(t.fx_fills, t.fx_equity, NOW, WINDOW, RECENT, wanted=wanted))
+
+
+def named(rules):
+    """The features that the (feature, ...) rules look at."""
+    return [r[0] for r in rules]
 
 
 @query("H11_behavior_features", "user first_fill_ms fills_total ~fills_per_day liquidation_fills window_complete ~win_rate "
@@ -240,7 +245,7 @@ cte(hits=" union all ".join(
 
 @query("H12_exit_rules", "trader rule feature ~value ~limit n_trades actionable", "hits")
 def _(t):
-    return H.exit_rules(features(t), RULES)
+    return H.exit_rules(features(t, ["n_trades", *(feature for _, feature, _, _ in RULES)]), RULES)
 
 
 FLAGS_SINCE = 1_705_536_000_000     # 2024-01-18
@@ -281,12 +286,12 @@ def _(t):
 
 @query("C2_behavior_penalties", "formation_ms user ~trader_score ~behavior_penalty behavior_known", "scored")
 def _(t):
-    return C.score_from_signals(shared(Z.eligible(t)), features(t))
+    return C.score_from_signals(shared(Z.eligible(t)), features(t, named(C.PENALTIES)))
 
 
 @query("C3_behavior_exclusions", "formation_ms user exclusion_reason behavior_excluded", "scored")
 def _(t):
-    return C.behavior_exclusions(Z.eligible(t), features(t))
+    return C.behavior_exclusions(Z.eligible(t), features(t, named(C.EXCLUSIONS)))
 
 
 @query("C4_top_by", "formation_ms user rank", f"({Z.top_sql('low_dd', 10, 'ret > 0')})")
@@ -308,14 +313,14 @@ def _(t):
        "(select formation_ms, user, row_number() over (partition by formation_ms order by trader_score desc, user) as rank "
        "from scored where trader_score is not null qualify rank <= 10)")
 def _(t):
-    return C.top_by_score(shared(Z.eligible(t)), 10, features(t))
+    return C.top_by_score(shared(Z.eligible(t)), 10, features(t, named(C.PENALTIES)))
 
 
 @query("C8_top_by_sharpe_v2", "formation_ms user rank",
        "(select formation_ms, user, row_number() over (partition by formation_ms order by sharpe desc, user) as rank "
        "from scored where not behavior_excluded and vol >= 0.002 and sharpe is not null qualify rank <= 10)")
 def _(t):
-    return C.top_by_sharpe_v2(Z.eligible(t), 10, features(t))
+    return C.top_by_sharpe_v2(Z.eligible(t), 10, features(t, named(C.EXCLUSIONS)))
 
 
 ACT_DAYS, ACT_MAX = 60, 0.5

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,19 +90,39 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting inside the block; afterwards it is as before."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def shared(df: DataFrame) -> DataFrame:
+def shared(df: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
     """Write a frame that several branches of one plan read to a table in the shared folder, and read it
     from there: computed once, its lineage cut, safe against lost executors, columns still pruned.
+    `parts` are columns of few values in whose folders the rows lie, so that a filter on them reads no others.
 
     The tables stay until `release_shared()`."""
     if getattr(df, "_is_shared", False):
         return df
     spark = df.sparkSession
     path = new_folder(spark, "shared")
-    df.write.parquet(path)
+    if parts:
+        # A task keeps a file open for each value instead of sorting its rows.
+        with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "8"):
+            df.write.partitionBy(*parts).parquet(path)
+    else:
+        df.write.parquet(path)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._is_shared, out._shared_path = True, path
