@@ -41,9 +41,10 @@ def _calendar_columns(returns: DataFrame) -> Column:
 def expand_lookback(returns: DataFrame, lookback_weeks: int = 12, hold_weeks: int = 4) -> DataFrame:
     """Each step once per formation whose lookback window (at - lookback, at] contains its end.
 
-    Adds formation_ms and step_ms."""
+    Adds formation_ms and step_ms. The steps are dealt out by user before they are repeated, so what follows by (formation,
+    user) shuffles no repeats; a user has at most one step per step of the calendar."""
     hold, look = hold_weeks * WEEK_MS, lookback_weeks * WEEK_MS
-    rows = returns.withColumn("_c", _calendar_columns(returns))
+    rows = returns.repartition("user").withColumn("_c", _calendar_columns(returns))
     offset = F.col("end_ms") - (F.col("_c.first_ms") + look)
     last_k = int_div(F.col("_c.last_ms") - hold - F.col("_c.first_ms") - look, hold)
     lo = F.greatest(F.lit(0), F.ceil(offset / hold)).cast("long")
@@ -73,8 +74,9 @@ def min_steps(step_ms: Column, weeks: int, frac: float, least: int) -> Column:
 
 # --- signals and outcomes -------------------------------------------------------------------------
 
-def signals_of(steps: DataFrame, seed: int | str = 0) -> DataFrame:
-    """Signals per (formation_ms, user) from rows of steps (formation_ms, user, end_ms, ret, dpnl).
+def signals_of(steps: DataFrame, seed: int | str = 0, carried: Sequence[str] = ()) -> DataFrame:
+    """Signals per (formation_ms, user) from rows of steps (formation_ms, user, end_ms, ret, dpnl) and the `carried` columns,
+    which have one value per (formation_ms, user).
 
     The windows run over the steps of one lookback, a handful of rows. Ratios with a zero
     denominator are null (they count as missing wherever signals are ranked)."""
@@ -99,22 +101,25 @@ def signals_of(steps: DataFrame, seed: int | str = 0) -> DataFrame:
         ratio(F.avg(ret), F.sqrt(F.avg(loss * loss))).alias("sortino"),
         F.when(F.min("_dd") < 0, total / -F.min("_dd")).alias("calmar"),
         F.when(F.sum(loss) < 0, F.sum(gain) / -F.sum(loss)).alias("profit_factor"),
-        (-F.abs(F.avg(F.when(F.col("_rn") <= half, ret)) - F.avg(F.when(F.col("_rn") > half, ret)))).alias("stability"))
+        (-F.abs(F.avg(F.when(F.col("_rn") <= half, ret)) - F.avg(F.when(F.col("_rn") > half, ret)))).alias("stability"),
+        *[F.max(c).alias(c) for c in carried])
     return out.withColumn("random", hash_uniform(F.col("user"), F.lit(seed), F.col("formation_ms")))
 
 
 def formation_signals(returns: DataFrame, lookback_weeks: int = 12, hold_weeks: int = 4,
-                      min_obs: int | None = None, min_obs_frac: float = 0.75, seed: int | str = 0) -> DataFrame:
-    """Signals of every user at every formation date, from steps ending at or before it only."""
-    steps = expand_lookback(returns, lookback_weeks, hold_weeks)
+                      min_obs: int | None = None, min_obs_frac: float = 0.75, seed: int | str = 0, last: Sequence[str] = ()) -> DataFrame:
+    """Signals of every user at every formation date, from steps ending at or before it only. The columns in `last` are
+    added as they are in the user's last step of the lookback, whether that has a return or not."""
+    steps = expand_lookback(returns.select("user", "end_ms", "ret", "dpnl", *last), lookback_weeks, hold_weeks)
+    whole = Window.partitionBy("formation_ms", "user")
+    steps = steps.withColumns({c: F.max_by(c, "end_ms").over(whole) for c in last}) if last else steps
     if min_obs is not None:
-        return signals_of(steps, seed).filter(F.col("n_obs") >= min_obs)
+        return signals_of(steps, seed, last).filter(F.col("n_obs") >= min_obs)
     # The threshold follows from the data's own grid, so it travels with the rows.
     need = min_steps(F.col("step_ms"), lookback_weeks, min_obs_frac, 2)
-    w = Window.partitionBy("formation_ms", "user")
     enough = (steps.withColumn("_need", need)
-              .withColumn("_have", F.count("ret").over(w)).filter(F.col("_have") >= F.col("_need")))
-    return signals_of(enough.drop("_need", "_have", "step_ms"), seed)
+              .withColumn("_have", F.count("ret").over(whole)).filter(F.col("_have") >= F.col("_need")))
+    return signals_of(enough.drop("_need", "_have", "step_ms"), seed, last)
 
 
 def signals_at(returns: DataFrame, at_ms: int | Column, lookback_weeks: int = 12, min_obs: int = 4,
