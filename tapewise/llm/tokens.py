@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import byte_texts, slices, table
 
 OTHER, LETTER, PUNCT, SPACE, NEWLINE, BLANK, QUOTE = range(7)
+# One pre-token whatever the rules are: letters of ASCII or U+00C0 to U+00FF, after one space at most.
+PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 LONGEST = 64        # longer pieces are encoded without the cache: the hash is made for short ones
 
 
@@ -33,7 +37,15 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters for which the byte-level tokenizers take bytes: printable ones are themselves, all others follow U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 CLASSES = _classes()
+BYTE_CHARACTERS = _byte_characters()
 _rng = np.random.default_rng(20_240_731)
 VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 POWERS = np.full(LONGEST + 1, 0x9E3779B97F4A7C17, np.uint64)     # powers of an odd base, then a zero
@@ -43,6 +55,29 @@ POWERS[LONGEST] = 0
 LENGTH_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in ascending order, a place of each, which of them each value is). Any place serves, so
+    the sort need not be stable, as that of np.unique with places is."""
+    order = np.argsort(values)
+    ascending = values[order]
+    head = np.ones(len(values), bool)
+    head[1:] = ascending[1:] != ascending[:-1]
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(head) - 1
+    return ascending[head], order[head], which
+
+
+def n_holders(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> np.ndarray:
+    """By token, how many documents hold it; `ids` are those of all documents, `sizes` how many each has."""
+    pairs = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * vocabulary + ids
+    if len(sizes) * vocabulary < 1 << 32:
+        pairs = pairs.astype(np.uint32)
+    pairs.sort()
+    head = np.ones(len(pairs), bool)
+    head[1:] = pairs[1:] != pairs[:-1]
+    return np.bincount(pairs[head] % vocabulary, minlength=vocabulary)
+
+
 class Encoder:
     """encode(texts) -> (ids of all texts, ids per text). `cache` bounds the pieces that are remembered."""
 
@@ -61,6 +96,14 @@ class Encoder:
                 and not cutter.get("add_prefix_space"))
         ends = plain and model.get("end_of_word_suffix") == "</w>" and cutter.get("type") == "Sequence"
         self.kind = "lead" if lead else "drop" if ends else "whole"
+        self.model = self.library.model
+        # What the normalizer of the second kind does to letters: they are composed already.
+        self.lower = ends and [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        steps = cutter.get("pretokenizers") or []
+        byte_level = lead or (self.lower and [c.get("type") for c in steps] == ["Split", "ByteLevel"]
+                              and r"[\p{L}]+" in (steps[0].get("pattern") or {}).get("Regex", "").split("|"))
+        names = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.direct = byte_level and not any(map(PLAIN.fullmatch, names))
         self.values = VALUES.copy()
         if self.kind == "drop":     # white space belongs to no piece
             self.values[np.isin(CLASSES, (SPACE, NEWLINE, BLANK))] = 0
@@ -68,21 +111,35 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        # Hashes of the remembered pieces in ascending order, and their slots: a block's hashes are sorted too, so that all are
+        # looked up in one search.
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.filled = 0
 
-    def _add(self, pieces: list[str]) -> np.ndarray:
+    def _ids(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece. A plain word is one pre-token, so the library's model gets it at once, which is less work than
+        the way through normalizer, pre-tokenizer and batch. All other pieces go that way."""
+        plain = [self.direct and PLAIN.fullmatch(p) is not None for p in pieces]
+        rest = iter(self.library.encode_batch_fast([p.decode("utf-8", "replace") for p, x in zip(pieces, plain) if not x], add_special_tokens=False))
+        return [[t.id for t in self.model.tokenize(self._characters(p))] if x else next(rest).ids for p, x in zip(pieces, plain)]
+
+    def _characters(self, piece: bytes) -> str:
+        if self.lower:
+            piece = piece.decode().lower().encode()
+        return piece.decode("latin-1").translate(BYTE_CHARACTERS)
+
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
         """Encode pieces and append them; their slots."""
-        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = self._ids(pieces)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while self.filled + len(found) > len(self.start):
             self.start, self.size = (np.concatenate([a, np.empty_like(a)]) for a in (self.start, self.size))
-        self.flat[self.used:self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         at = slice(self.filled, self.filled + len(found))
         self.size[at] = sizes
         self.start[at] = self.used + np.cumsum(sizes) - sizes
@@ -93,7 +150,7 @@ class Encoder:
         if self.kind == "whole":
             found = [self.library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
         buffer = b"\0".join(texts) + b"\0"
         raw = np.frombuffer(buffer, np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
@@ -141,7 +198,7 @@ class Encoder:
         return places[:-1][keep], places[1:][keep]
 
     def _block(self, buffer: bytes, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.slots) > self.limit:
+        if len(self.keys) > self.limit:
             self._forget()
         base, lengths = starts[0], stops - starts
         short = lengths <= LONGEST
@@ -154,19 +211,23 @@ class Encoder:
             gaps = np.diff(np.append(offsets, len(span)))
             place = np.minimum(np.arange(len(span)) - np.repeat(offsets, gaps), LONGEST)
             keys = np.add.reduceat(self.values[span] * POWERS[place], offsets) + lengths.astype(np.uint64) * LENGTH_MIX
-            unique, first, inverse = np.unique(keys[short], return_index=True, return_inverse=True)
-            names = unique.tolist()
-            got = np.fromiter((self.slots.get(k, -1) for k in names), np.int64, len(names))
-            new = np.flatnonzero(got < 0)
+            unique, first, inverse = distinct(keys[short])
+            near = np.searchsorted(self.keys, unique)
+            known = near < len(self.keys)
+            known[known] = self.keys[near[known]] == unique[known]
+            got = np.empty(len(unique), np.int64)
+            got[known] = self.slots[near[known]]
+            new = np.flatnonzero(~known)
             if len(new):
                 at = np.flatnonzero(short)[first[new]]
-                got[new] = self._add([buffer[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), stops[at].tolist())])
-                self.slots.update(zip(unique[new].tolist(), got[new].tolist()))
+                got[new] = self._add([buffer[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())])
+                self.keys = np.insert(self.keys, near[new], unique[new])
+                self.slots = np.insert(self.slots, near[new], got[new])
                 kept = self.used, self.filled
             slots[short] = got[inverse]
         if not short.all():
             at = np.flatnonzero(~short)
-            slots[at] = self._add([buffer[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), stops[at].tolist())])
+            slots[at] = self._add([buffer[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())])
         sizes = self.size[slots]
         before = np.cumsum(sizes) - sizes
         ids = self.flat[np.repeat(self.start[slots] - before, sizes) + np.arange(int(sizes.sum()))]
@@ -226,9 +287,7 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 rows = [np.append(x, np.uint32(end_id)) for x in np.split(ids, cuts[:-1])]
                 times += np.bincount(ids, minlength=vocabulary)
                 times[end_id] += hi - lo
-                # (document, token) pairs, each once
-                pairs = np.repeat(np.arange(hi - lo, dtype=np.int64), sizes) * vocabulary + ids
-                holders += np.bincount(np.unique(pairs) % vocabulary, minlength=vocabulary)
+                holders += n_holders(ids, sizes, vocabulary)
                 holders[end_id] += hi - lo
                 k = hi - lo
                 yield made([part] * k, range(place, place + k), batch.column("doc_id").slice(lo, k), [len(r) for r in rows],
