@@ -34,9 +34,11 @@ def split_hot(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int
     entity, and balanced by rows whatever the distribution of the order columns, ties included. The sorted
     slices are written once, so a bucket means the same rows wherever the result is read. The list of hot
     entities has at most (table rows / `rows`) entries; Spark decides by its size how to join it. `counted` may be another
-    frame with the same number of rows per entity that is cheaper to count."""
+    frame with as many rows per entity (or a few more) that is cheaper to count; a row with a `_rows` column stands for so many."""
     by = list(by)
-    hot = shared((df if counted is None else counted).groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows))
+    counted = df if counted is None else counted
+    n = F.sum("_rows") if "_rows" in counted.columns else F.count(F.lit(1))
+    hot = shared(counted.groupBy(*by).agg(n.alias("_n")).filter(F.col("_n") > rows))
     found = hot.agg(F.sum("_n")).first()[0]
     if not found:
         return df, None

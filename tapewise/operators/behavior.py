@@ -45,12 +45,31 @@ STYLE_FEATURES = ("change_size", "change_duration", "change_leverage", "coin_ove
 COPY_FEATURES = ("invisible_share", "short_trade_share", "median_fills_per_trade", "median_partial_exits", "copyability_estimate")
 
 
-def perp_fills(fills: DataFrame, unique: bool = False, since_ms: int | None = None) -> DataFrame:
+def leg_counts(fills: DataFrame) -> DataFrame:
+    """At most how many rows `perp_fills` makes of these fills: (user, coin, `_rows`), two legs for each fill, copies and spot
+    counted. Written once; needs users and coins only."""
+    return shared(fills.groupBy("user", "coin").agg((2 * F.count(F.lit(1))).alias("_rows")))
+
+
+def _ordinary(counts: DataFrame, rows: int = ROWS_PER_BUCKET) -> bool:
+    """Whether no user is hot."""
+    return counts.groupBy("user").agg(F.sum("_rows").alias("_n")).filter(F.col("_n") > rows).isEmpty()
+
+
+def perp_by_user(fills: DataFrame, counts: DataFrame, parts: int | None = None, rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """`perp_fills` for what follows per user. Where no user is hot by `counts` (see `leg_counts`), a user's fills meet in
+    one task (of `parts`): the deduplication, and round trips or gross notional of these fills, take one shuffle and
+    nothing is written. Otherwise they are dealt out finely and written once, since hot users' slices are sorted from them."""
+    return perp_fills(fills, whole_users=True, parts=parts) if _ordinary(counts, rows) else shared(perp_fills(fills))
+
+
+def perp_fills(fills: DataFrame, unique: bool = False, since_ms: int | None = None, whole_users: bool = False,
+               parts: int | None = None) -> DataFrame:
     """Deduplicated perp fills with signed sizes; a fill that crosses zero becomes a closing and an
     opening leg: fee split by size, realized PnL and a liquidation belong to the closing leg.
     Fills that are known to be `unique` are not deduplicated again. Of fills before `since_ms` only user, coin, time, tid and
     leg need be right: they are there to be counted."""
-    f = fills if unique else dedup_fills(fills, since_ms)
+    f = fills if unique else dedup_fills(fills, since_ms, whole_users, parts)
     size, start = F.col("sz").cast("double"), F.col("start_position").cast("double")
     signed = F.when(F.col("side") == "B", size).otherwise(-size)
     f = (f.filter(~F.col("dir").isin(*SPOT_DIRS) & ~F.col("coin").contains("/") & ~F.col("coin").startswith("@"))
@@ -146,12 +165,13 @@ def _sliced_trips(perp: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("_avg_before", F.when(F.col("_first"), F.col("_avg_in")).otherwise(F.lag("_avg").over(here))).select(*TRIP_ROW)
 
 
-def round_trips(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def round_trips(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, counts: DataFrame | None = None) -> DataFrame:
     """One row per trade, from flat to flat (still open: closed_ms is null).
 
     Adds are compared with the average entry before them: an add at a worse price averages down. The
-    average entry is a linear recurrence over the fills of a trade."""
-    return trips_of(*split_hot(perp, ["user", "coin"], ORDER, rows_per_bucket))
+    average entry is a linear recurrence over the fills of a trade. `counts` (see `leg_counts`) spare computing the fills
+    once more to count them."""
+    return trips_of(*split_hot(perp, ["user", "coin"], ORDER, rows_per_bucket, counts))
 
 
 def trips_of(cold: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -192,19 +212,21 @@ def _gross(rows: DataFrame, w_coin, w_user, first: Column) -> DataFrame:
         "*", F.sum("_d").over(w_user).alias("gross"), F.max("x").over(w_user).alias("_peak"))
 
 
-def gross_notional(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, dust: float = RELATIVE_DUST) -> DataFrame:
+def gross_notional(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, dust: float = RELATIVE_DUST,
+                   counts: DataFrame | None = None) -> DataFrame:
     """Gross notional across coins after every fill: each position at its own last fill price.
 
     The gross is a running sum of changes per coin. Ordinary users take two windows over one shuffle; a slice of a hot
     user starts from what the coins were worth at the end of earlier slices. What a sum leaves below `dust` times the
-    largest notional so far is rounding and counts as flat."""
+    largest notional so far is rounding and counts as flat. With `counts`, fills are taken as `perp_by_user` deals them out."""
     order = list(ORDER)
     cold, hot = split_hot(perp.select("user", "coin", *order, (F.abs(F.col("position_after")) * F.col("px")).alias("x")),
-                          ["user"], order, rows_per_bucket)
+                          ["user"], order, rows_per_bucket, counts)
     shown = ("user", *order, "gross", "_peak")
     upto = Window.unboundedPreceding, 0
-    # One shuffle by user serves both windows.
-    out = _gross(cold.withColumn(SEED, F.lit(1)).repartition("user"), Window.partitionBy("user", "coin").orderBy(*order),
+    # One shuffle by user serves both windows; ordinary users' fills that `perp_by_user` deals out have had it.
+    dealt = counts is not None and hot is None
+    out = _gross((cold if dealt else cold.repartition("user")).withColumn(SEED, F.lit(1)), Window.partitionBy("user", "coin").orderBy(*order),
                  Window.partitionBy("user").orderBy(*order).rowsBetween(*upto), F.lit(0.0)).select(*shown)
     if hot is not None:
         per = hot.groupBy("user", "coin", BUCKET).agg(F.max_by("x", F.struct(*order)).alias("x"), F.max("x").alias("top"))
@@ -224,19 +246,30 @@ def gross_notional(perp: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, dust
     return out.select("user", *order, F.when(flat, 0.0).otherwise(F.col("gross")).alias("gross"))
 
 
-def gross_exposure(perp: DataFrame, equity: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, since_ms: int | None = None) -> DataFrame:
+def gross_exposure(perp: DataFrame, equity: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, since_ms: int | None = None,
+                   counts: DataFrame | None = None) -> DataFrame:
     """Gross notional with the equity of that moment. Equity is the sample at or before the fill; if
     that is over a day old (or missing) the larger of it and the next sample. Leverage is null when
     equity is not positive or the leverage is impossible.
 
-    Where all fills are of `since_ms` or later, samples out of their reach are left out."""
+    Where all fills are of `since_ms` or later, samples out of their reach are left out. With `counts` (see `leg_counts`), fills
+    are taken as `perp_by_user` deals them out, and of ordinary users they are not shuffled to meet the equity."""
     points = equity_points(equity)
     if since_ms is not None:
         points = points.filter(F.col("time_ms") >= since_ms - EQUITY_TOLERANCE_MS)
     points = shared(points)
-    both = asof(gross_notional(perp, rows_per_bucket), points, ["user"], "time_ms", "time_ms", ["equity"],
-                {"backward": "b_", "forward": "f_"}, EQUITY_TOLERANCE_MS, rows_per_bucket,
-                counted=perp.select("user").unionByName(points.filter(F.col("time_ms").isNotNull()).select("user")))
+    gross = gross_notional(perp, rows_per_bucket, counts=counts)
+    known = points.filter(F.col("time_ms").isNotNull())
+    if counts is None:
+        counted = perp.select("user").unionByName(known.select("user"))
+    else:
+        counted = counts.select("user", "_rows").unionByName(known.groupBy("user").agg(F.count(F.lit(1)).alias("_rows")))
+        if _ordinary(counted, rows_per_bucket):
+            points = points.repartition("user")
+        else:
+            gross = shared(gross)
+    both = asof(gross, points, ["user"], "time_ms", "time_ms", ["equity"],
+                {"backward": "b_", "forward": "f_"}, EQUITY_TOLERANCE_MS, rows_per_bucket, counted=counted)
     stale = F.col("b_equity").isNull() | (F.col("time_ms") - F.col("b_time_ms") > DAY_MS)
     used = F.when(stale, F.greatest("b_equity", "f_equity")).otherwise(F.col("b_equity"))
     rows = both.withColumn("equity", used)

@@ -32,20 +32,25 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Column | None = None, la
         *[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
-def _sorted_once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`keep_one` of rows that are nearly all different: dealt out by key first. The smallest of whole rows is found by
-    sorting, and before the shuffle that would sort (and spill) a whole map task for next to no copies."""
-    return keep_one(df.repartition(*keys), keys)
+def _first_copies(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`keep_one` of rows that are nearly all different: the smallest of whole rows is found by sorting, and before the
+    shuffle that would sort (and spill) a whole map task for next to no copies. Rows that are dealt out by some of the
+    keys already, say by user, stay where they are."""
+    copies = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") == 1).drop("_copy")
 
 
 def dedup_equity(equity: DataFrame) -> DataFrame:
     """One row per (user, period, time_ms)."""
-    return _sorted_once(equity, EQUITY_KEY)
+    return _first_copies(equity, EQUITY_KEY, [c for c in equity.columns if c not in EQUITY_KEY])
 
 
-def dedup_fills(fills: DataFrame, since_ms: int | None = None) -> DataFrame:
+def dedup_fills(fills: DataFrame, since_ms: int | None = None, whole_users: bool = False, parts: int | None = None) -> DataFrame:
     """One row per (user, tid, oid): fetches overlap. The rows are sorted by numbers first, which is cheaper than by texts.
 
+    With `whole_users`, for fills of which no user has too many for one task, a user's rows go to one task (of `parts`), and what
+    follows per user needs no further shuffle.
+
     With `since_ms`, an earlier fill keeps its time, coin and direction and what comes before them in a row; the other
     columns become null, so that they are not shuffled. The choice among copies stays the same: later columns decide only
     between copies that agree in the time."""
@@ -53,12 +58,13 @@ def dedup_fills(fills: DataFrame, since_ms: int | None = None) -> DataFrame:
         rest = [c for c in fills.columns if c not in FILL_KEY]
         kept = {*FILL_KEY, *rest[:1 + max(rest.index(c) for c in ("time_ms", "coin", "dir"))]}
         fills = fills.select(*[F.col(c) if c in kept else F.when(F.col("time_ms") >= since_ms, F.col(c)).alias(c) for c in fills.columns])
+    rest = [c for c in fills.columns if c not in FILL_KEY]
+    if whole_users:
+        return _first_copies(fills.repartition(*([parts] if parts else []), "user"), ["tid", "oid", "user"], rest)
     # A user's rows go to a few tasks: not to one, since a user may own a third of them, and not to all, so that what is
     # counted per user later is combined before it is shuffled. Neighbouring ids stay together: they resemble each other.
     dealt = fills.withColumn("_deal", F.pmod(F.xxhash64(F.shiftright("tid", 6), "oid"), F.lit(DEALS)))
-    copies = Window.partitionBy("tid", "oid", "user", "_deal").orderBy(*[c for c in fills.columns if c not in FILL_KEY])
-    return (dealt.repartition("user", "_deal").withColumn("_copy", F.row_number().over(copies))
-            .filter(F.col("_copy") == 1).drop("_deal", "_copy"))
+    return _first_copies(dealt.repartition("user", "_deal"), ["tid", "oid", "user", "_deal"], rest).drop("_deal")
 
 
 def latest_by_snapshot(df: DataFrame, keys: Sequence[str], snapshot: str = "snapshot_at") -> DataFrame:

@@ -96,7 +96,8 @@ TRIP_COLUMNS = ("user coin opened_ms open_tid open_leg closed_ms side n_fills n_
 
 @query("H2_round_trips", TRIP_COLUMNS, "(select * replace (coalesce(closed_ms, -1) as closed_ms) from perp_trips)")
 def _(t):
-    return H.round_trips(shared(H.perp_fills(t.fx_fills))).fillna(-1, ["closed_ms"])
+    counts = H.leg_counts(t.fx_fills)
+    return H.round_trips(H.perp_by_user(t.fx_fills, counts), counts=counts).fillna(-1, ["closed_ms"])
 
 
 @query("H2_round_trips_stored", TRIP_COLUMNS, "(select * replace (coalesce(closed_ms, -1) as closed_ms) from perp_trips)")

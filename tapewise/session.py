@@ -104,6 +104,8 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -112,17 +114,15 @@ def shared(df: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
     from there: computed once, its lineage cut, safe against lost executors, columns still pruned.
     `parts` are columns of few values in whose folders the rows lie, so that a filter on them reads no others.
 
-    The tables stay until `release_shared()`."""
+    Shuffle files of the writing go as soon as it has ended: what follows reads the table. The tables stay until
+    `release_shared()` (or `forget`)."""
     if getattr(df, "_is_shared", False):
         return df
     spark = df.sparkSession
     path = new_folder(spark, "shared")
-    if parts:
-        # A task keeps a file open for each value instead of sorting its rows.
-        with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "8"):
-            df.write.partitionBy(*parts).parquet(path)
-    else:
-        df.write.parquet(path)
+    # A task keeps a file open for each value of `parts` instead of sorting its rows.
+    with setting(spark, CLEANUP, "true"), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "8"):
+        df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._is_shared, out._shared_path = True, path
