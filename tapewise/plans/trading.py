@@ -102,10 +102,10 @@ def _(t):
 
 @query("H2_round_trips_stored", TRIP_COLUMNS, "(select * replace (coalesce(closed_ms, -1) as closed_ms) from perp_trips)")
 def _(t):
-    perp = shared(H.perp_fills(t.fx_fills))
-    layout = Layout(("user",), H.ORDER, 8).fitting(perp.count())
+    counts = H.leg_counts(t.fx_fills)
+    layout = Layout(("user",), H.ORDER, 8).fitting(counts.agg(F.sum("_rows")).first()[0] or 0)
     name = f"perp_{uuid.uuid4().hex[:12]}"
-    path = write_layout(perp, name, layout)
+    path = write_layout(H.perp_by_user(t.fx_fills, counts, layout.buckets), name, layout, counts=counts)
     stored = open_layout(t.spark, name, layout, path)
     return H.trips_of(stored.cold, stored.hot).fillna(-1, ["closed_ms"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scan import BUCKET, ROWS_PER_BUCKET, split_hot
-from ..session import new_folder, shared
+from ..session import CLEANUP, new_folder, setting, shared
 
 
 BUCKET_ROWS = 500_000       # of fills: some 100 MB in a sort
@@ -38,14 +38,19 @@ class Stored:
     hot: DataFrame | None      # with `_bucket`
 
 
-def write_layout(df: DataFrame, name: str, layout: Layout, path: str | None = None) -> str:
+def write_layout(df: DataFrame, name: str, layout: Layout, path: str | None = None, counts: DataFrame | None = None) -> str:
     """Write `df` as table `name` below `path` (default: a new folder of the shared one) and return the path.
-    A table of that name must not exist. Rows with a null key lie in a bucket like any other."""
+    A table of that name must not exist. Rows with a null key lie in a bucket like any other.
+
+    With `counts` (see `split_hot`) `df` is not counted, and where no entity is hot by them it must be dealt out to
+    `layout.buckets` tasks by `layout.by` already: it is written as it comes, without a copy or another shuffle."""
     path = path or new_folder(df.sparkSession, name)
-    cold, hot = split_hot(shared(df), layout.by, layout.order, layout.rows)
+    cold, hot = split_hot(shared(df) if counts is None else df, layout.by, layout.order, layout.rows, counts)
     # One file per bucket: rows are dealt out as the buckets are.
-    (cold.repartition(layout.buckets, *layout.by).write.format("parquet").option("path", f"{path}/cold")
-     .bucketBy(layout.buckets, *layout.by).sortBy(*layout.by, *layout.order).saveAsTable(name))
+    dealt = cold if counts is not None and hot is None else cold.repartition(layout.buckets, *layout.by)
+    with setting(df.sparkSession, CLEANUP, "true"):
+        (dealt.write.format("parquet").option("path", f"{path}/cold").option("compression", "zstd")
+         .bucketBy(layout.buckets, *layout.by).sortBy(*layout.by, *layout.order).saveAsTable(name))
     if hot is None:
         hot = df.limit(0).withColumn(BUCKET, F.lit(0).cast("long"))
     hot.write.parquet(f"{path}/hot")

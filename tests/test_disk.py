@@ -6,6 +6,7 @@ from tapewise.operators import behavior as H
 from tapewise.operators.latest import dedup_equity
 from tapewise.operators.returns import daily_pnl_returns
 from tapewise.session import shared
+from tapewise.sources.layout import Layout, open_layout, write_layout
 
 FILL = ("user string, time_ms long, coin string, side string, dir string, px double, sz double, start_position double, "
         "closed_pnl double, fee double, liquidated boolean, oid long, tid long")
@@ -47,6 +48,21 @@ def test_round_trips_take_one_shuffle_of_the_fills(spark):
     assert "FileScan" in plan(hot) and rows_of(H.round_trips(hot, 10, counts)) == want
 
 
+def test_a_layout_is_written_from_the_shuffle_that_deduplicates(spark):
+    fills, layout = tape(spark), Layout(("user",), H.ORDER, 3)
+    counts = H.leg_counts(fills)
+    perp = H.perp_by_user(fills, counts, layout.buckets)
+    assert plan(perp).count("Exchange hashpartitioning(user") == 1
+    spark.sql("drop table if exists disk_perp")
+    path = write_layout(perp, "disk_perp", layout, counts=counts)
+    stored = open_layout(spark, "disk_perp", layout, path)
+    files = [f for f in spark.table("disk_perp").inputFiles()]
+    assert len(files) <= layout.buckets and stored.hot is None
+    got = H.trips_of(stored.cold, stored.hot)
+    assert "Exchange" not in plan(got) and rows_of(got) == rows_of(H.round_trips(H.perp_fills(fills)))
+    spark.sql("drop table disk_perp")
+
+
 def test_equity_that_lies_by_user_is_not_dealt_out_again(spark):
     equity = curve(spark)
     by_user = dedup_equity(equity.repartition("user"))
