@@ -117,7 +117,8 @@ def _(t):
 
 @query("H4_gross_exposure", "user time_ms tid leg ~~gross ~equity ~leverage", "perp_expo")
 def _(t):
-    return H.gross_exposure(shared(H.perp_fills(t.fx_fills)), t.fx_equity)
+    counts = H.leg_counts(t.fx_fills)
+    return H.gross_exposure(H.perp_by_user(t.fx_fills, counts), t.fx_equity, counts=counts)
 
 
 def style_sql(cut: int, suffix: str = "") -> dict[str, str]:

@@ -1,5 +1,6 @@
 """What is shuffled and written at all: rows that lie together by user are not dealt out again, nor written to be counted."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapewise.operators import behavior as H
@@ -63,6 +64,17 @@ def test_a_layout_is_written_from_the_shuffle_that_deduplicates(spark):
     spark.sql("drop table disk_perp")
 
 
+@pytest.mark.parametrize("rows", [1_000, 150, 10])
+def test_exposure_of_ordinary_users_meets_the_equity_without_a_shuffle_of_fills(spark, rows):
+    """1,000: nobody is hot; 150: fills are not, with the equity some are; 10: all are."""
+    fills, equity = tape(spark), curve(spark)
+    counts = H.leg_counts(fills)
+    got = H.gross_exposure(H.perp_by_user(fills, counts, rows=rows), equity, rows, counts=counts)
+    if rows == 1_000:
+        assert plan(got).count("Exchange hashpartitioning(user") == 2      # the fills and the equity, once each
+    assert rows_of(got) == rows_of(H.gross_exposure(H.perp_fills(fills), equity))
+
+
 def test_equity_that_lies_by_user_is_not_dealt_out_again(spark):
     equity = curve(spark)
     by_user = dedup_equity(equity.repartition("user"))
