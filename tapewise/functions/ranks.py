@@ -52,15 +52,16 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, keys: Sequence[str], value: str, rank: str = "rank",
-           extra: Sequence[str] = ()) -> DataFrame:
+           extra: Sequence[str] = (), counted: DataFrame | None = None) -> DataFrame:
     """Adds the average rank (1 = smallest, ties share their mean rank) of finite values per group,
     null for other values.
 
     `extra` may name "n" (finite values in the group), "above" (rows with a greater value),
-    "below" and "ties" (rows with the same value, itself included)."""
+    "below" and "ties" (rows with the same value, itself included). `counted` may be another frame with the same keys and
+    values that is cheaper to count."""
     cum, c, n = F.col("_cum"), F.col("_c"), F.col("_n")
     made = {"n": n, "above": n - cum, "below": cum - c, "ties": c}
-    ranks = _cumulative(value_counts(df, keys, value), keys, value).select(
+    ranks = _cumulative(value_counts(df if counted is None else counted, keys, value), keys, value).select(
         *keys, F.col(value), (cum - c + (c + 1) / 2).alias(rank), *[made[e].alias(e) for e in extra])
     # An equi-join on (keys, value): adaptive execution splits the rows of a value shared by many.
     joined = df.alias("l").join(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY_MS, HOUR_MS, WEEK_MS, finite, hash_uniform, int_div, ratio
 from ..functions.ranks import exact_quantiles, ranked, text_position
-from ..session import shared
+from ..session import forget, shared
 from .latest import snapshot_versions
 from .returns import benchmark_step_returns, calendar
 
@@ -155,7 +155,8 @@ def rank_stats(df: DataFrame, keys: Sequence[str], signal: str, outcome: str, en
         *keys, F.col(entity).alias("entity"), F.col(signal).cast("double").alias("sig"),
         F.col(outcome).cast("double").alias("out")))
     r = ranked(both, keys, "sig", rank="sig_rank", extra=("n", "above", "below", "ties"))
-    r = shared(ranked(r, keys, "out", rank="out_rank"))
+    r = shared(ranked(r, keys, "out", rank="out_rank", counted=both))      # the rows of r, before they were joined
+    forget(both)
     ic = r.groupBy(*keys).agg(
         F.max("n").alias("n"),
         ratio(F.covar_samp("sig_rank", "out_rank"), F.stddev_samp("sig_rank") * F.stddev_samp("out_rank")).alias("ic"))

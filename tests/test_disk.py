@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tapewise.functions import ranks as K
 from tapewise.operators import behavior as H
 from tapewise.operators.latest import dedup_equity
 from tapewise.operators.returns import daily_pnl_returns
@@ -90,3 +91,12 @@ def test_shuffle_files_go_when_a_shared_table_is_written(spark):
     before = kept()
     table = shared(frame)
     assert kept() <= before and table.count() == 7
+
+
+def test_ranks_of_a_joined_frame_are_counted_before_the_join(spark):
+    both = shared(spark.range(200).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 11).cast("double").alias("sig"),
+                                          F.when(F.col("id") % 13 > 0, F.col("id") * 5 % 17).cast("double").alias("out")))
+    first = K.ranked(both, ["k"], "sig", rank="r")
+    once, twice = K.ranked(first, ["k"], "out", rank="s", counted=both), K.ranked(first, ["k"], "out", rank="s")
+    assert plan(once).count("FileScan") < plan(twice).count("FileScan")
+    assert rows_of(once) == rows_of(twice)
