@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tapewise.functions import ranks as K
 from tapewise.operators import behavior as H
+from tapewise.operators import risk as G
 from tapewise.operators.latest import dedup_equity
 from tapewise.operators.returns import daily_pnl_returns
 from tapewise.session import shared
@@ -100,3 +101,10 @@ def test_ranks_of_a_joined_frame_are_counted_before_the_join(spark):
     once, twice = K.ranked(first, ["k"], "out", rank="s", counted=both), K.ranked(first, ["k"], "out", rank="s")
     assert plan(once).count("FileScan") < plan(twice).count("FileScan")
     assert rows_of(once) == rows_of(twice)
+
+
+def test_returns_that_lie_by_user_are_packed_without_a_shuffle(spark):
+    daily = daily_pnl_returns(dedup_equity(curve(spark).repartition("user")), min_prev=0.0)
+    packed = G.packed_returns(daily, by_user=True)
+    assert plan(packed).count("Exchange") == 1
+    assert rows_of(packed) == rows_of(G.packed_returns(daily)) and packed.count() == 2
