@@ -104,7 +104,8 @@ def test_ranks_of_a_joined_frame_are_counted_before_the_join(spark):
 
 
 def test_returns_that_lie_by_user_are_packed_without_a_shuffle(spark):
-    daily = daily_pnl_returns(dedup_equity(curve(spark).repartition("user")), min_prev=0.0)
+    equity = curve(spark).withColumn("time_ms", F.col("time_ms") * 86_400)      # days, not seconds
+    daily = daily_pnl_returns(dedup_equity(equity.repartition("user")), min_prev=0.0)
     packed = G.packed_returns(daily, by_user=True)
     assert plan(packed).count("Exchange") == 1
     assert rows_of(packed) == rows_of(G.packed_returns(daily)) and packed.count() == 2
